@@ -5,8 +5,8 @@ into one task.  If one competitor holds a third of all rows that task never ends
 Running values are therefore built over three nested levels, each with a bound on
 the rows of one window partition:
 
-* rows within (competitor, day, id block) - at most ``BLOCK`` rows, ids being unique;
-* blocks within (competitor, day)         - at most id range / ``BLOCK`` rows;
+* rows within (competitor, day, id block) - at most 2**``BLOCK_BITS`` rows, ids being unique;
+* blocks within (competitor, day)         - at most id range / 2**``BLOCK_BITS`` rows;
 * days within competitor                  - at most the number of calendar days.
 
 Upper levels only see one row per lower group, and their running values are joined
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 1 << 20
+BLOCK_BITS = 20
 TAIL = 5
 COUNTS = ("n", "won", "lost", "fin", "sub")
 
@@ -44,7 +44,7 @@ def _close(df: DataFrame, keys: list[str]) -> DataFrame:
         _last(F.concat("tail_before", "tail")).alias("tail"))
 
 
-def point_in_time(sides: DataFrame, block: int = BLOCK) -> DataFrame:
+def point_in_time(sides: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
     """Record before each bout.  ``sides``: bout_id, bout_date, fid, won, lost, fin, sub, plus any others.
 
     Order is (bout_date, bout_id).  Adds recent_wins, form, wins, losses, exp,
@@ -53,7 +53,7 @@ def point_in_time(sides: DataFrame, block: int = BLOCK) -> DataFrame:
     result = F.when(F.col("won") == 1, "W").when(F.col("lost") == 1, "L").otherwise("D")
     rows = sides.withColumns({
         "day": F.datediff("bout_date", F.lit("1970-01-01").cast("date")),
-        "blk": F.floor(F.col("bout_id") / block), "n": F.lit(1), "tail": F.array(result)})
+        "blk": F.shiftright("bout_id", bits), "n": F.lit(1), "tail": F.array(result)})
     rows = _scan(rows, ["fid", "day", "blk"], "bout_id")
     blocks = _scan(_close(rows, ["fid", "day", "blk"]), ["fid", "day"], "blk")
     days = _scan(_close(blocks, ["fid", "day"]), ["fid"], "day")
@@ -86,14 +86,14 @@ def point_in_time(sides: DataFrame, block: int = BLOCK) -> DataFrame:
     return out.drop(*scratch, "tail_before", "tail_b", "tail_d", "prev_day", "year_n", "blk", "day")
 
 
-def global_position(df: DataFrame, day: str, ident: str, name: str = "seq", block: int = BLOCK) -> DataFrame:
+def global_position(df: DataFrame, day: str, ident: str, name: str = "seq", bits: int = BLOCK_BITS) -> DataFrame:
     """1-based position in the total order (day, id) of the whole table.
 
     Counted at the same three levels.  Only the day level, one row per calendar day,
     is ordered without partitioning.
     """
     keyed = df.withColumns({
-        "_d": F.datediff(F.col(day), F.lit("1970-01-01").cast("date")), "_b": F.floor(F.col(ident) / block)})
+        "_d": F.datediff(F.col(day), F.lit("1970-01-01").cast("date")), "_b": F.shiftright(ident, bits)})
     blocks = keyed.groupBy("_d", "_b").agg(F.count("*").alias("_n"))
     before_block = Window.partitionBy("_d").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     before_day = Window.orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)

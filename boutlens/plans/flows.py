@@ -10,6 +10,7 @@ from boutlens.functions.dates import age_on, with_mystic_factor
 from boutlens.operators import features as X
 from boutlens.operators import scoring as S
 from boutlens.operators.history import point_in_time
+from boutlens.session import stored
 from boutlens.sources import tables
 
 SIDE_STATS = [
@@ -54,7 +55,8 @@ def with_features(stats: DataFrame) -> DataFrame:
 
 
 def bout_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_features(bout_stats(spark, sf_dir))
+    """The stored feature table: scaling statistics and scoring each pass over it."""
+    return stored(spark, f"features{sf_dir}", lambda: with_features(bout_stats(spark, sf_dir)))
 
 
 def score(df: DataFrame, weights=FIXED_WEIGHTS, bias=FIXED_BIAS, scaling: DataFrame | None = None) -> DataFrame:

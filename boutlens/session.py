@@ -50,3 +50,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/boutlens/{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+_STORED: dict[tuple[str, str], DataFrame] = {}
+
+
+def stored(spark: SparkSession, label: str, build) -> DataFrame:
+    """`materialize` once per session and label, for tables that many plans read in several passes."""
+    key = (spark.sparkContext.applicationId, label)
+    if key not in _STORED:
+        _STORED[key] = materialize(build(), label.strip("/").replace("/", "_"))
+    return _STORED[key]
+
+
+def forget() -> None:
+    """Drop the memory of stored tables, so that the next plan builds them again."""
+    _STORED.clear()

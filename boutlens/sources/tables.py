@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from boutlens.functions import text as T
+from boutlens.session import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bout_core(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored bout table.  History needs it in three passes, so it is written once."""
+    return stored(spark, f"bouts{sf_dir}", lambda: build_bouts(spark, sf_dir))
+
+
+def build_bouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per bout: the first two suppliers of an order meet, the larger sum wins.
 
     Lines are summed per (order, supplier) before the shuffle, so an order with any
