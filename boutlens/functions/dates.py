@@ -91,7 +91,7 @@ def phase_value(phase: Column) -> Column:
     """Eight linear pieces over the cycle, kept in 0.3..0.9, two places."""
     slot = F.least(F.floor(phase * 8).cast("int"), F.lit(7))
     value = _lookup(K.MOON_STARTS, slot) + (phase - slot * 0.125) / 0.125 * _lookup(K.MOON_SLOPES, slot)
-    return F.bround(F.greatest(F.lit(0.3), F.least(F.lit(0.9), value)), 2)
+    return F.when(phase.isNotNull(), F.bround(F.greatest(F.lit(0.3), F.least(F.lit(0.9), value)), 2))
 
 
 def moon_value(day: Column) -> Column:

@@ -28,7 +28,8 @@ def safe_int(text: Column, default: int) -> Column:
 
 
 def clamp(x: Column, low, high) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    """Into low..high; null stays null (``greatest`` and ``least`` alone would skip it)."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def r6(x: Column) -> Column:
