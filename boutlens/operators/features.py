@@ -56,11 +56,11 @@ def feature_columns(a: Column, b: Column) -> list[Column]:
     return [v.alias(n) for v, n in zip(values, K.FEATURE_NAMES)]
 
 
-def scaling_stats(df: DataFrame, batch: bool = False) -> DataFrame:
+def scaling_stats(df: DataFrame, batch: bool = False, skip_ages: bool = True) -> DataFrame:
     """One row ``scaling`` struct(means, stds): population statistics per feature.
 
     Stored-model form: variance up to 1e-8 gives std 1, the age features stay (0, 1).
-    Batch form: every feature, std at least 1e-8.
+    Batch form: every feature, std at least 1e-8.  ``skip_ages=False`` measures the age features too.
     """
     means, stds = [], []
     for i, n in enumerate(K.FEATURE_NAMES):
@@ -68,7 +68,7 @@ def scaling_stats(df: DataFrame, batch: bool = False) -> DataFrame:
         if batch:
             means.append(F.avg(n))
             stds.append(F.greatest(sd, F.lit(1e-8)))
-        elif i in K.UNSCALED:
+        elif skip_ages and i in K.UNSCALED:
             means.append(F.lit(0.0))
             stds.append(F.lit(1.0))
         else:
