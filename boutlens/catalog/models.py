@@ -85,7 +85,7 @@ Q.cte("mpairs", ["mlong"], """SELECT c.model_id, c.idx, c.name, c.weight, c.std,
 
 @query("weights_diff", Q.with_(["mpairs"], f"SELECT model_id, idx, name, {Q.r6('diff')} AS diff FROM mpairs WHERE abs(diff) > 0.000001"))
 def weights_diff(spark, d):
-    out = M.changes(pairs(spark, d)).select("model_id", F.inline("changes"))
+    out = M.changes(pairs(spark, d)).select("model_id", F.inline_outer("changes")).filter("idx IS NOT NULL")
     return out.select("model_id", "idx", "name", r6(F.col("diff")).alias("diff"))
 
 
@@ -99,7 +99,7 @@ def weights_diff_summary(spark, d):
 @query("weights_top_changes", Q.with_(["mpairs"], f"""SELECT model_id, CAST(rn AS INT) AS rank, name, {Q.r6('diff')} AS diff FROM (SELECT *, row_number() OVER
   (PARTITION BY model_id ORDER BY abs(diff) DESC, idx) AS rn FROM mpairs WHERE abs(diff) > 0.000001) WHERE rn <= 20"""))
 def weights_top_changes(spark, d):
-    out = M.changes(pairs(spark, d)).select("model_id", F.posexplode(F.slice("changes", 1, 20)).alias("p", "c"))
+    out = M.changes(pairs(spark, d)).select("model_id", F.posexplode_outer(F.slice("changes", 1, 20)).alias("p", "c")).filter("p IS NOT NULL")
     return out.select("model_id", (F.col("p") + 1).alias("rank"), F.col("c.name").alias("name"), r6(F.col("c.diff")).alias("diff"))
 
 
@@ -126,13 +126,13 @@ def constrain_sql(src: str, key: str, extra: str = "") -> str:
 l AS (SELECT model_id, idx, weight AS w FROM mlong), c AS ({constrain_sql('l', 'model_id')})
 SELECT model_id, idx, {Q.r6('w2')} AS weight, CASE WHEN w2 <> w THEN 1 ELSE 0 END AS corrected FROM c""")
 def pair_constraints(spark, d):
-    df = tables.model_versions(spark, d).withColumn("fixed", M.constrain_pairs(F.col("weights")))
-    out = df.select("model_id", F.posexplode(F.arrays_zip(F.col("weights").alias("o"), F.col("fixed").alias("n"))).alias("idx", "z"))
+    df = tables.model_versions(spark, d).withColumn("fixed", M.constrain_pairs("weights"))
+    out = df.select("model_id", F.posexplode_outer(F.arrays_zip(F.col("weights").alias("o"), F.col("fixed").alias("n"))).alias("idx", "z"))
     return out.select("model_id", "idx", r6(F.col("z.n")).alias("weight"), (F.col("z.n") != F.col("z.o")).cast("int").alias("corrected"))
 
 
-_PAIRS_SQL = f"""SELECT a.model_id, pair, {Q.r6('a.weight')} AS w1, {Q.r6('b.weight')} AS w2, round(a.weight + b.weight, 4) AS total,
-  round(abs(a.weight - b.weight), 4) AS gap, CASE WHEN abs(a.weight) <= bound AND abs(b.weight) <= bound THEN 1 ELSE 0 END AS in_bounds
+_PAIRS_SQL = f"""SELECT a.model_id, pair, {Q.r6('a.weight')} AS w1, {Q.r6('b.weight')} AS w2, floor((a.weight + b.weight) * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS total,
+  floor(abs(a.weight - b.weight) * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS gap, CASE WHEN abs(a.weight) <= bound AND abs(b.weight) <= bound THEN 1 ELSE 0 END AS in_bounds
   FROM {PAIR_DIM} JOIN mlong a ON a.idx = i JOIN mlong b ON b.model_id = a.model_id AND b.idx = j"""
 
 
@@ -168,14 +168,14 @@ u6 AS (SELECT u5.model_id, idx, new_bias, CASE WHEN abs(w) < lift THEN CASE WHEN
 u7 AS ({constrain_sql('u6', 'model_id', ', a.new_bias')})
 SELECT model_id, idx, {Q.r6('w2')} AS weight, CASE WHEN abs(new_bias) > 0.3 THEN 0.0::DOUBLE ELSE greatest(-0.05::DOUBLE, least(0.05::DOUBLE, new_bias)) END AS bias FROM u7""")
 def weights_update(spark, d):
-    df = M.update_weights(pairs(spark, d)).select("model_id", "updated_bias", F.posexplode("updated").alias("idx", "w"))
+    df = M.update_weights(pairs(spark, d)).select("model_id", "updated_bias", F.posexplode_outer("updated").alias("idx", "w"))
     return df.select("model_id", "idx", r6(F.col("w")).alias("weight"), F.col("updated_bias").alias("bias"))
 
 
 def eval_rows(spark, d):
     """The evaluation slice as one scalar: an array of at most 100 (features, a_won)."""
     rows = DS.eval_slice(flows.bout_features(spark, d))
-    one = F.struct(F.array(*K.FEATURE_NAMES).alias("features"), (F.col("winner_side") == "a").alias("a_won"), F.col("winner_side").isNotNull().alias("decided"))
+    one = F.struct(F.array(*K.FEATURE_NAMES).alias("x"), (F.col("winner_side") == "a").alias("a_won"))
     return rows.agg(F.collect_list(one).alias("rows"))
 
 
@@ -195,14 +195,12 @@ p AS MATERIALIZED (SELECT c.*, n.means AS nmeans, n.stds AS nstds, n.bias AS nbi
 s AS (SELECT model_id, accuracy, {_acc_sql('', 'weights')} AS champion, {_acc_sql('n', 'nw')} AS challenger FROM p, slice GROUP BY 1, 2)
 SELECT model_id, {Q.r6('champion')} AS champion, {Q.r6('challenger')} AS challenger, CASE WHEN challenger / 100.0 > accuracy THEN 1 ELSE 0 END AS promoted FROM s""")
 def champion_challenger(spark, d):
-    df = pairs(spark, d).withColumn("_rows", eval_rows(spark, d).scalar())
-    rows = F.transform("_rows", lambda r: F.struct(r["features"].alias("features"), F.when(r["decided"], r["a_won"]).alias("a_won")))
-    df = df.withColumn("_slice", rows)
-    df = df.withColumns({
-        "champion": M.slice_accuracy(F.col("_slice"), F.col("weights"), F.col("bias"), F.col("means"), F.col("stds")),
-        "challenger": M.slice_accuracy(F.col("_slice"), F.col("new_weights"), F.col("new_bias"), F.col("new_means"), F.col("new_stds"))})
-    return df.select("model_id", r6(F.col("champion")).alias("champion"), r6(F.col("challenger")).alias("challenger"),
-                     (F.col("challenger") / 100.0 > F.col("accuracy")).cast("int").alias("promoted"))
+    df, rows = pairs(spark, d), eval_rows(spark, d)
+    old = M.accuracy_on_slice(df, rows).withColumnRenamed("slice_accuracy", "champion")
+    new = M.accuracy_on_slice(df, rows, "new_").withColumnRenamed("slice_accuracy", "challenger")
+    out = df.select("model_id", "accuracy").join(old, "model_id").join(new, "model_id")
+    return out.select("model_id", r6(F.col("champion")).alias("champion"), r6(F.col("challenger")).alias("challenger"),
+                      (F.col("challenger") / 100.0 > F.col("accuracy")).cast("int").alias("promoted"))
 
 
 @query("rollback_rule", Q.with_(["models"], """SELECT m.model_id, m.label, m.accuracy, b.accuracy AS best_accuracy, CASE WHEN r THEN 1 ELSE 0 END AS restored,
@@ -224,18 +222,14 @@ def scaler_ewma(spark, d):
     return out.select("model_id", "idx", r6(F.col("mean")).alias("mean"), r6(F.col("std")).alias("std"))
 
 
-def fixed_weights():
-    return F.array(*[F.lit(float(w)) for w in flows.FIXED_WEIGHTS])
-
-
 _contrib = " UNION ALL ".join(f"SELECT bout_id, {i} AS idx, '{n}' AS name, {n} * ({flows.FIXED_WEIGHTS[i]})::DOUBLE AS value FROM feats" for i, n in enumerate(K.FEATURE_NAMES))
 
 
 @query("contributions", Q.with_(["feats"], f"""SELECT bout_id, CAST(row_number() OVER (PARTITION BY bout_id ORDER BY abs(value) DESC, idx) AS INT) AS rank, name, {Q.r6('value')} AS value
   FROM ({_contrib}) WHERE abs(value) > 0.0001"""))
 def contributions(spark, d):
-    df = flows.bout_features(spark, d).select("bout_id", M.contributions(F.array(*K.FEATURE_NAMES), fixed_weights()).alias("c"))
-    out = df.select("bout_id", F.posexplode("c").alias("p", "c"))
+    df = flows.bout_features(spark, d).select("bout_id", M.contributions(flows.FIXED_WEIGHTS).alias("c"))
+    out = df.select("bout_id", F.posexplode_outer("c").alias("p", "c")).filter("p IS NOT NULL")
     return out.select("bout_id", (F.col("p") + 1).alias("rank"), F.col("c.name").alias("name"), r6(F.col("c.value")).alias("value"))
 
 
@@ -246,13 +240,15 @@ TOP3_SQL = f"SELECT bout_id, idx, name, push, row_number() OVER (PARTITION BY bo
 
 def with_top3(spark, d):
     """Scored bouts with ``top``: their three strongest contributors."""
-    df = flows.score(flows.bout_features(spark, d)).withColumn("_s", X.scaling_stats(flows.bout_features(spark, d)).scalar())
-    scaled = F.array(*X.zscored([F.get("_s.means", F.lit(j)) for j in range(K.WIDTH)], [F.get("_s.stds", F.lit(j)) for j in range(K.WIDTH)]))
-    df = df.withColumn("_z", scaled)
-    return df.withColumn("top", M.top_contributors(F.col("_z"), fixed_weights(), F.col("proba_a") > 0.5)).drop("_s", "_z")
+    feats = flows.bout_features(spark, d)
+    df = flows.score(feats).withColumn("_s", X.scaling_stats(feats).scalar())
+    scaled = X.zscored([F.get("_s.means", F.lit(j)) for j in range(K.WIDTH)], [F.get("_s.stds", F.lit(j)) for j in range(K.WIDTH)])
+    names = [f"z{j}" for j in range(K.WIDTH)]
+    df = df.select("*", F.when(F.col("proba_a") > 0.5, 1.0).otherwise(-1.0).alias("_sign"), *[c.alias(n) for c, n in zip(scaled, names)])
+    return df.withColumn("top", M.top_contributors(names, flows.FIXED_WEIGHTS, "_sign")).drop("_s", "_sign", *names)
 
 
 @query("top_contributors", Q.with_(["raw"], f"SELECT bout_id, CAST(rn AS INT) AS rank, name, {Q.r6('push')} AS push FROM ({TOP3_SQL}) WHERE rn <= 3"))
 def top_contributors(spark, d):
-    df = with_top3(spark, d).select("bout_id", F.posexplode("top").alias("p", "c"))
+    df = with_top3(spark, d).select("bout_id", F.posexplode_outer("top").alias("p", "c"))
     return df.select("bout_id", (F.col("p") + 1).alias("rank"), F.col("c.name").alias("name"), r6(-F.col("c.neg")).alias("push"))

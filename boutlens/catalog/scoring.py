@@ -49,7 +49,7 @@ def _scaling_rows(spark, d, batch):
     stats = X.scaling_stats(flows.bout_features(spark, d), batch=batch)
     named = F.arrays_zip(F.array(*[F.lit(n) for n in K.FEATURE_NAMES]).alias("name"),
                          F.col("scaling.means").alias("mean"), F.col("scaling.stds").alias("std"))
-    out = stats.select(F.posexplode(named).alias("idx", "z"))
+    out = stats.select(F.posexplode_outer(named).alias("idx", "z"))
     return out.select("idx", F.col("z.name").alias("name"), r6(F.col("z.mean")).alias("mean"), r6(F.col("z.std")).alias("std"))
 
 

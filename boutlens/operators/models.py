@@ -3,6 +3,10 @@
 A bundle is one row (model_id, weights, bias, means, stds).  Everything here is a
 row expression over arrays of at most 46 elements, so nothing is shuffled except
 where two versions are joined.
+
+Computed arrays are unfolded with the outer generators.  For the plain ones Spark
+infers a filter "array is not empty", pushes it below the projections, and expands
+the whole computation once more inside it.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boutlens import constants as K
-from boutlens.operators.scoring import array_proba
+from boutlens.operators.scoring import predict_proba
 
 
 def _table(values: dict[int, float]) -> Column:
@@ -60,10 +64,11 @@ def sanitize(df: DataFrame) -> DataFrame:
     def stale(i: Column) -> Column:
         return F.get(record, i).isNotNull() & (F.get(F.col("means"), i) > 1.0)
 
+    # The stds first and on their own: inside a lambda, "means" would otherwise resolve to the new column.
+    df = df.withColumn("stds", _each(F.col("stds"), lambda s, i: F.when(stale(i), s / 100.0).otherwise(s)))
     return df.withColumns({
         "weights": weights,
-        "means": _each(F.col("means"), lambda m, i: F.when(stale(i), m / 100.0).otherwise(m)),
-        "stds": _each(F.col("stds"), lambda s, i: F.when(stale(i), s / 100.0).otherwise(s)),
+        "means": _each(F.col("means"), lambda m, i: F.when(F.get(record, i).isNotNull() & (m > 1.0), m / 100.0).otherwise(m)),
         "bias": F.when(F.abs("bias") > K.BIAS_RESET, 0.0).otherwise(F.col("bias"))})
 
 
@@ -71,7 +76,7 @@ def explode_bundle(df: DataFrame) -> DataFrame:
     """(model_id, idx, name, weight, mean, std), one row per feature."""
     names = F.array(*[F.lit(n) for n in K.FEATURE_NAMES])
     zipped = F.arrays_zip(names.alias("name"), F.col("weights").alias("weight"), F.col("means").alias("mean"), F.col("stds").alias("std"))
-    out = df.select("model_id", F.posexplode(zipped).alias("idx", "z"))
+    out = df.select("model_id", F.posexplode_outer(zipped).alias("idx", "z"))
     return out.select("model_id", "idx", "z.name", "z.weight", "z.mean", "z.std")
 
 
@@ -100,18 +105,19 @@ def frozen(old: Column, new: Column) -> Column:
     return F.filter(idx, lambda i: i.isNotNull())
 
 
-def constrain_pairs(weights: Column) -> Column:
-    """Pair limits.  One weight out: clip it.  Both out: shrink both by one factor, then clip."""
-    partner, bound = F.array(*[F.lit(_PARTNER.get(i)).cast("int") for i in range(K.WIDTH)]), _table(_PAIR_BOUND)
+def _pair_fix(w: Column, other: Column | None, bound: float | None) -> Column:
+    if other is None:
+        return w
+    limit = F.lit(bound)
+    shrunk = _clip(w * (limit / F.greatest(F.abs(w), F.abs(other))), limit)
+    return (F.when(F.abs(w) <= limit, w).when(F.abs(other) <= limit, _clip(w, limit))
+            .otherwise(F.when(F.abs(w - shrunk) > 0.0001, shrunk).otherwise(w)))
 
-    def fix(w: Column, i: Column) -> Column:
-        limit, other = F.get(bound, i), F.get(weights, F.get(partner, i))
-        shrunk = _clip(w * (limit / F.greatest(F.abs(w), F.abs(other))), limit)
-        return (F.when(limit.isNull() | (F.abs(w) <= limit), w)
-                .when(F.abs(other) <= limit, _clip(w, limit))
-                .otherwise(F.when(F.abs(w - shrunk) > 0.0001, shrunk).otherwise(w)))
 
-    return F.transform(weights, fix)
+def constrain_pairs(weights: str) -> Column:
+    """Pair limits.  One weight out: clip it.  Both out: shrink both by one factor, then clip."""
+    at = [F.get(weights, F.lit(j)) for j in range(K.WIDTH)]
+    return F.array(*[_pair_fix(at[j], at[_PARTNER[j]] if j in _PARTNER else None, _PAIR_BOUND.get(j)) for j in range(K.WIDTH)])
 
 
 def pair_rows(df: DataFrame) -> DataFrame:
@@ -121,7 +127,8 @@ def pair_rows(df: DataFrame) -> DataFrame:
              for name, i, j, b in K.PAIR_LIMITS]
     long = df.select("model_id", F.inline(F.array(*items)))
     return long.withColumns({
-        "total": F.round(F.col("w1") + F.col("w2"), 4), "gap": F.round(F.abs(F.col("w1") - F.col("w2")), 4),
+        "total": F.floor((F.col("w1") + F.col("w2")) * 10000.0 + 0.5) / 10000.0,
+        "gap": F.floor(F.abs(F.col("w1") - F.col("w2")) * 10000.0 + 0.5) / 10000.0,
         "in_bounds": ((F.abs("w1") <= F.col("bound")) & (F.abs("w2") <= F.col("bound"))).cast("int")})
 
 
@@ -133,51 +140,80 @@ def limit_hits(weights: Column) -> Column:
     return F.filter(at, lambda n: n.isNotNull())
 
 
+def _unpack(arr: str, prefix: str) -> list[Column]:
+    return [F.get(arr, F.lit(j)).alias(f"{prefix}{j}") for j in range(K.WIDTH)]
+
+
 def update_weights(df: DataFrame) -> DataFrame:
     """Move stored weights half way to ``new_weights`` and apply every guard, in this order.
 
     Half step, clip by the spread of the feature, named limits, floors, age limit,
     lift off zero, repair of NaN, pair limits.  The order is part of the result: the
     lift may undo an earlier limit.  The bias is reset beyond 0.3, then kept in +-0.05.
+
+    The arrays are unpacked into scalar columns: each stage is then compiled code over
+    named columns, where nested array lambdas would be expanded into one another and
+    evaluated again for every element.
     """
-    def half(z: Column) -> Column:
-        d = z["n"] - z["o"]
-        return F.when(~F.isnan(d) & (F.abs(d) > K.STEP_MIN), z["o"] + d * K.STEP_SHARE).otherwise(z["o"])
+    idx = range(K.WIDTH)
+    keep = df.columns
+    df = df.select("*", *_unpack("weights", "_o"), *_unpack("new_weights", "_n"), *_unpack("stds", "_s"))
+
+    def staged(name: str, fn) -> list[Column]:
+        return [fn(j).alias(f"{name}{j}") for j in idx]
 
-    df = df.withColumn("_w", F.transform(F.arrays_zip(F.col("weights").alias("o"), F.col("new_weights").alias("n")), half))
+    def half(j: int) -> Column:
+        o, d = F.col(f"_o{j}"), F.col(f"_n{j}") - F.col(f"_o{j}")
+        return F.when(~F.isnan(d) & (F.abs(d) > K.STEP_MIN), o + d * K.STEP_SHARE).otherwise(o)
 
-    def spread(i: Column) -> Column:
-        sd = F.get(F.col("stds"), i)
+    def spread(j: int) -> Column:
+        sd = F.col(f"_s{j}")
         return K.ADAPTIVE_CLIP / (F.when(sd < 1e-8, F.lit(1.0)).otherwise(sd) + 1e-8)
 
-    limits, floors = _table(_LIMITS), _table(_FLOORS)
-    ages = _table({i: K.AGE_LIMIT for i in K.UNSCALED})
-    df = df.withColumn("_w", _each(F.col("_w"), lambda w, i: _clip(
-        _floor(_clip(_clip(w, spread(i)), F.get(limits, i)), F.get(floors, i)), F.get(ages, i))))
-    total = F.aggregate("_w", F.lit(0.0), lambda s, w: s + F.abs(w))
+    def guard(j: int) -> Column:
+        w = F.col(f"_b{j}")
+        if j in _LIMITS:
+            w = _clip(w, F.lit(_LIMITS[j]))
+        if j in _FLOORS:
+            w = _floor(w, F.lit(_FLOORS[j]))
+        return _clip(w, F.lit(K.AGE_LIMIT)) if j in K.UNSCALED else w
+
+    df = df.select("*", *staged("_a", half))
+    df = df.select("*", *staged("_b", lambda j: _clip(F.col(f"_a{j}"), spread(j))))
+    df = df.select("*", *staged("_c", guard))
+    total = sum((F.abs(F.col(f"_c{j}")) for j in idx), F.lit(0.0))
     df = df.withColumn("_total", total)
     usable = ~F.isnan("_total") & (F.col("_total") > 0)
-    df = df.withColumn("_lift", F.when(usable, F.greatest(F.col("_total") / F.size("_w") * 0.01, F.lit(0.00001))).otherwise(F.lit(0.0001)))
+    df = df.withColumn("_lift", F.when(usable, F.greatest(F.col("_total") / K.WIDTH * 0.01, F.lit(0.00001))).otherwise(F.lit(0.0001)))
 
-    def lift(w: Column) -> Column:
-        return F.when(F.abs(w) < F.col("_lift"), F.when(w >= 0, F.col("_lift")).otherwise(-F.col("_lift"))).otherwise(w)
+    def lift_and_repair(j: int) -> Column:
+        w, new, least = F.col(f"_c{j}"), F.col(f"_n{j}"), F.col("_lift")
+        repaired = F.when(F.isnan(new), F.lit(0.001)).otherwise(new)
+        return (F.when(F.isnan(w) | (F.abs(w) == float("inf")), repaired)
+                .when((F.abs(w) < least) & (w >= 0), least).when(F.abs(w) < least, -least).otherwise(w))
 
-    df = df.withColumn("_w", F.transform("_w", lift))
-    df = df.withColumn("_w", F.transform(F.arrays_zip(F.col("_w").alias("w"), F.col("new_weights").alias("n")), lambda z: F.when(
-        F.isnan(z["w"]) | (F.abs(z["w"]) == float("inf")), F.when(F.isnan(z["n"]), 0.001).otherwise(z["n"])).otherwise(z["w"])))
+    df = df.select("*", *staged("_w", lift_and_repair))
+    fixed = [_pair_fix(F.col(f"_w{j}"), F.col(f"_w{_PARTNER[j]}") if j in _PARTNER else None, _PAIR_BOUND.get(j)) for j in idx]
     finite = ~F.isnan("new_bias") & (F.abs("new_bias") <= K.BIAS_RESET)
     bias = F.when(finite, F.greatest(F.lit(-K.BIAS_LIMIT), F.least(F.lit(K.BIAS_LIMIT), F.col("new_bias")))).otherwise(F.lit(0.0))
-    return df.withColumns({"updated": constrain_pairs(F.col("_w")), "updated_bias": bias}).drop("_w", "_total", "_lift")
+    return df.select(*keep, F.array(*fixed).alias("updated"), bias.alias("updated_bias"))
 
 
-def slice_accuracy(rows: Column, weights: Column, bias: Column, means: Column, stds: Column) -> Column:
-    """Accuracy in percent of one model on a collected slice: array of (features, a_won).
+def accuracy_on_slice(models: DataFrame, rows: DataFrame, prefix: str = "") -> DataFrame:
+    """Accuracy in percent (``slice_accuracy``) of every model on one slice.
 
-    The slice has at most 100 rows by definition, so it travels with the plan as one
-    scalar, and thousands of models are scored without pairing them with bouts.
+    ``rows`` is a one-row frame holding the slice as an array of (x, a_won); a slice has
+    at most 100 rows by definition, so it travels as one scalar and every model unfolds
+    it in place.  The mean is combined before the shuffle, to one row per model.
     """
-    hits = F.filter(rows, lambda r: (array_proba(r["features"], weights, bias, means, stds) > 0.5) == r["a_won"])
-    return F.when(F.size(rows) > 0, F.size(hits) * 100.0 / F.size(rows)).otherwise(F.lit(0.0))
+    names = [f"{prefix}{c}" for c in ("weights", "bias", "means", "stds")]
+    wide = models.select("model_id", *[F.col(n).alias(c) for n, c in zip(names, ("weights", "bias", "means", "stds"))])
+    unfolded = wide.withColumn("_rows", rows.scalar()).select("model_id", "weights", "bias", "means", "stds", F.inline_outer("_rows"))
+    columns = unfolded.select("*", *[F.get("x", F.lit(j)).alias(n) for j, n in enumerate(K.FEATURE_NAMES)])
+    means, stds, weights = ([F.get(c, F.lit(j)) for j in range(K.WIDTH)] for c in ("means", "stds", "weights"))
+    proba = predict_proba(weights, F.col("bias"), means, stds)
+    hit = F.coalesce(((proba > 0.5) == F.col("a_won")).cast("double"), F.lit(0.0))
+    return columns.groupBy("model_id").agg((F.avg(hit) * 100.0).alias("slice_accuracy"))
 
 
 def rollback(df: DataFrame, lineage: str) -> DataFrame:
@@ -203,18 +239,15 @@ def drift_scaler(df: DataFrame, recent: Column, alpha: float = K.SCALER_ALPHA) -
     return df.withColumns({"means": blend("means", "means"), "stds": blend("stds", "stds")})
 
 
-def contributions(features: Column, weights: Column, least: float = 0.0001) -> Column:
-    """Array of (name, value, raw) by falling size; raw features, tiny ones dropped."""
-    names = F.array(*[F.lit(n) for n in K.FEATURE_NAMES])
-    items = F.transform(F.arrays_zip(features.alias("x"), weights.alias("w")), lambda z, i: F.struct(
-        (-F.abs(z["x"] * z["w"])).alias("neg"), i.alias("idx"), F.get(names, i).alias("name"), (z["x"] * z["w"]).alias("value"), z["x"].alias("raw")))
-    return F.array_sort(F.filter(items, lambda c: c["neg"] < -least))
+def contributions(weights: list[float], least: float = 0.0001) -> Column:
+    """Array of (neg, idx, name, value) by falling size; raw features, tiny ones dropped."""
+    items = [F.struct((-F.abs(F.col(n) * w)).alias("neg"), F.lit(i).alias("idx"), F.lit(n).alias("name"), (F.col(n) * w).alias("value"))
+             for i, (n, w) in enumerate(zip(K.FEATURE_NAMES, weights))]
+    return F.array_sort(F.filter(F.array(*items), lambda c: c["neg"] < -least))
 
 
-def top_contributors(scaled: Column, weights: Column, towards_a: Column, k: int = 3) -> Column:
-    """The ``k`` features that pushed most towards the predicted side."""
-    names = F.array(*[F.lit(n) for n in K.FEATURE_NAMES])
-    sign = F.when(towards_a, F.lit(1.0)).otherwise(F.lit(-1.0))
-    items = F.transform(F.arrays_zip(scaled.alias("x"), weights.alias("w")), lambda z, i: F.struct(
-        (-sign * z["x"] * z["w"]).alias("neg"), i.alias("idx"), F.get(names, i).alias("name"), (z["x"] * z["w"]).alias("value")))
-    return F.slice(F.array_sort(items), 1, k)
+def top_contributors(scaled: list[str], weights: list[float], sign: str, k: int = 3) -> Column:
+    """The ``k`` features that pushed most towards the predicted side (``sign``: column of 1 or -1)."""
+    items = [F.struct((-F.col(sign) * F.col(c) * w).alias("neg"), F.lit(i).alias("idx"), F.lit(K.FEATURE_NAMES[i]).alias("name"))
+             for i, (c, w) in enumerate(zip(scaled, weights))]
+    return F.slice(F.array_sort(F.array(*items)), 1, k)

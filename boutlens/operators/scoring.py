@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boutlens import constants as K
-from boutlens.functions.numbers import clamp, implied_prob, is_stub, safe_int, safe_val
+from boutlens.functions.numbers import clamp, implied_prob, is_stub, safe_int
 from boutlens.operators.features import zscored
 
 
@@ -26,26 +26,6 @@ def predict_proba(weights: list, bias, means: list, stds: list) -> Column:
     return sigmoid(linear(zscored(means, stds), weights, bias))
 
 
-def model_arrays(model: Column) -> tuple[list[Column], Column, list[Column], list[Column]]:
-    """Elements of a model struct(weights, bias, means, stds) for `predict_proba`."""
-    def at(name: str) -> list[Column]:
-        return [F.get(model[name], F.lit(j)) for j in range(K.WIDTH)]
-    return at("weights"), model["bias"], at("means"), at("stds")
-
-
-def array_proba(features: Column, weights: Column, bias: Column, means: Column, stds: Column) -> Column:
-    """`predict_proba` over an array, for models that differ by row.  Missing statistics count as (0, 1)."""
-    def scale(x: Column, i: Column) -> Column:
-        clean = safe_val(x)
-        sd = F.coalesce(F.get(stds, i), F.lit(1.0))
-        z = (clean - F.coalesce(F.get(means, i), F.lit(0.0))) / F.when(sd <= 1e-12, F.lit(1.0)).otherwise(sd)
-        return F.when(i.isin(*K.UNSCALED), clean).otherwise(z)
-
-    dot = F.aggregate(F.zip_with(F.transform(features, scale), weights, lambda x, w: F.coalesce(x * w, F.lit(0.0))),
-                      F.lit(0.0), lambda s, t: s + t)
-    return F.when(features.isNull(), F.lit(0.5)).otherwise(sigmoid(dot + bias))
-
-
 def final_prediction(df: DataFrame, proba: str = "proba_a", odds: tuple[str, str] = ("odds_a", "odds_b")) -> DataFrame:
     """Damped and market-adjusted prediction.
 
