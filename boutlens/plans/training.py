@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boutlens import constants as K
@@ -33,20 +33,19 @@ def scaled_batch(batch: DataFrame, scaling: DataFrame) -> DataFrame:
     return df.select("label", "sample_weight", *X.zscored(means, stds))
 
 
-def gradient(batch: DataFrame, weights: list[float] | Column, bias: float) -> DataFrame:
+def gradient(batch: DataFrame, weights: list[float], bias: float) -> DataFrame:
     """One row: weighted gradient per feature, weighted error, and hits, each over n.
 
-    The weights enter as one array literal, so every epoch runs the same compiled code.
+    Written as SQL expressions: one call each instead of some hundred column objects,
+    which matters when a loop builds this plan once per epoch.
     """
-    w = weights if isinstance(weights, Column) else F.lit([float(x) for x in weights])
-    terms = [F.col(n) for n in K.FEATURE_NAMES]
-    p = S.sigmoid(S.linear(terms, [F.get(w, F.lit(j)) for j in range(K.WIDTH)], F.get(F.lit([float(bias)]), F.lit(0))))
-    df = batch.select("label", "sample_weight", *K.FEATURE_NAMES, p.alias("_p"))
-    df = df.withColumn("_e", (F.col("_p") - F.col("label")) * F.col("sample_weight"))
-    n = F.count("*")
-    return df.agg(F.array(*[F.sum(F.col("_e") * F.col(c)) / n for c in K.FEATURE_NAMES]).alias("gradient"),
-                  (F.sum("_e") / n).alias("error"),
-                  (F.count_if((F.col("_p") > 0.5) == (F.col("label") == 1)) / n).alias("train_accuracy"))
+    names = K.FEATURE_NAMES
+    z = " + ".join(f"{n} * ({float(w)!r}D)" for n, w in zip(names, weights)) + f" + ({float(bias)!r}D)"
+    df = batch.select("label", "sample_weight", *names, F.expr(f"1D / (1D + exp(-greatest(-500D, least(500D, {z}))))").alias("_p"))
+    df = df.select(*names, F.expr("(_p - label) * sample_weight").alias("_e"), F.expr("(_p > 0.5D) = (label = 1)").alias("_hit"))
+    sums = ", ".join(f"sum(_e * {n}) / count(*)" for n in names)
+    return df.agg(F.expr(f"array({sums})").alias("gradient"), F.expr("sum(_e) / count(*)").alias("error"),
+                  F.expr("count_if(_hit) / count(*)").alias("train_accuracy"))
 
 
 def _step(weights: list[float], grad: list[float], rng: random.Random) -> list[float]:
