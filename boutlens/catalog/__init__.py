@@ -19,4 +19,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from boutlens.catalog import dataset, entities, evaluate, models, names, scalars, scoring  # noqa: F401
+    from boutlens.catalog import dataset, entities, evaluate, ledger, models, names, scalars, scoring  # noqa: F401
