@@ -11,9 +11,9 @@ _SCALE_BITS = 54
 
 
 def safe_val(x: Column, default: float = 0.0) -> Column:
-    """Null, NaN and infinities become ``default``."""
-    bad = x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    return F.when(bad, F.lit(default)).otherwise(x.cast("double"))
+    """Null, NaN and infinities become ``default``: only finite numbers give x - x = 0."""
+    v = x.cast("double")
+    return F.when(v - v == 0.0, v).otherwise(F.lit(default))
 
 
 def safe_float(text: Column, default: float) -> Column:

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_BITS = 20
+EPOCH = "1970-01-01"
 TAIL = 5
 COUNTS = ("n", "won", "lost", "fin", "sub")
 
@@ -51,10 +52,13 @@ def point_in_time(sides: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
     months_off, days_off, fights_12m, fin_rate and sub_rate.
     """
     result = F.when(F.col("won") == 1, "W").when(F.col("lost") == 1, "L").otherwise("D")
-    rows = sides.withColumns({
-        "day": F.datediff("bout_date", F.lit("1970-01-01").cast("date")),
-        "blk": F.shiftright("bout_id", bits), "n": F.lit(1), "tail": F.array(result)})
-    rows = _scan(rows, ["fid", "day", "blk"], "bout_id")
+    # Everything the upper levels do not need travels inside the ordering key.  All three
+    # levels then read the same shuffle of the same columns, and Spark runs it once.
+    extras = [c for c in sides.columns if c not in ("bout_id", "bout_date", "fid", *COUNTS)]
+    rows = sides.select(
+        "fid", F.datediff("bout_date", F.lit(EPOCH).cast("date")).alias("day"), F.shiftright("bout_id", bits).alias("blk"),
+        F.struct("bout_id", *extras).alias("key"), *COUNTS[1:], F.lit(1).alias("n"), F.array(result).alias("tail"))
+    rows = _scan(rows, ["fid", "day", "blk"], "key")
     blocks = _scan(_close(rows, ["fid", "day", "blk"]), ["fid", "day"], "blk")
     days = _scan(_close(blocks, ["fid", "day"]), ["fid"], "day")
     by_day = Window.partitionBy("fid").orderBy("day")
@@ -65,7 +69,8 @@ def point_in_time(sides: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
     carry = blocks.select(
         "fid", "day", "blk", *[F.col(f"{c}_before").alias(f"{c}_b") for c in COUNTS],
         F.col("tail_before").alias("tail_b")).join(days, ["fid", "day"])
-    joined = rows.drop("tail", *[c for c in COUNTS if c == "n"], "closes").join(carry, ["fid", "day", "blk"])
+    joined = rows.drop("tail", "n", "closes").join(carry, ["fid", "day", "blk"])
+    joined = joined.select("*", "key.*", F.date_add(F.lit(EPOCH).cast("date"), F.col("day")).alias("bout_date")).drop("key")
 
     def total(c: str) -> Column:
         return F.col(f"{c}_before") + F.col(f"{c}_b") + F.col(f"{c}_d")

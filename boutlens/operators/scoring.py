@@ -111,6 +111,24 @@ def blind_tilt(df: DataFrame) -> DataFrame:
         "tilt_ci_hi": F.least(F.lit(1.0), F.col("tilt_prob") + K.CI_HALF_WIDTH)})
 
 
+def fold_scaling(scaling: DataFrame, weights: list[float], bias: float) -> DataFrame:
+    """One row ``model`` struct(c0..c45, intercept): the z-scores folded into the weights.
+
+    w.(x - m)/s + b is x.(w/s) + (b - w.m/s), so scoring a bout is 46 products and
+    needs no statistics per feature.
+    """
+    coef, shift = [], F.lit(float(bias))
+    for j, w in enumerate(weights):
+        if j in K.UNSCALED:
+            coef.append(F.lit(float(w)))
+            continue
+        sd = F.get("scaling.stds", F.lit(j))
+        c = F.lit(float(w)) / F.when(sd <= 1e-12, F.lit(1.0)).otherwise(sd)
+        coef.append(c)
+        shift = shift - c * F.get("scaling.means", F.lit(j))
+    return scaling.select(F.struct(*[c.alias(f"c{j}") for j, c in enumerate(coef)], shift.alias("intercept")).alias("model"))
+
+
 def opinion_record(answer: Column, a: Column, b: Column) -> dict[str, Column]:
     """Clean a named opinion: winner must mention a side, confidence 55-92, reason up to 400 characters."""
     winner = F.coalesce(answer["winner"], F.lit(""))

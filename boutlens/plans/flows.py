@@ -61,11 +61,10 @@ def bout_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def score(df: DataFrame, weights=FIXED_WEIGHTS, bias=FIXED_BIAS, scaling: DataFrame | None = None) -> DataFrame:
     """Add ``proba_a``.  ``scaling`` is a one-row frame from `scaling_stats`, read as a scalar subquery."""
-    stats = (scaling if scaling is not None else X.scaling_stats(df)).scalar()
-    df = df.withColumn("_scaling", stats)
-    means = [F.get(F.col("_scaling")["means"], F.lit(j)) for j in range(K.WIDTH)]
-    stds = [F.get(F.col("_scaling")["stds"], F.lit(j)) for j in range(K.WIDTH)]
-    return df.withColumn("proba_a", S.predict_proba(weights, bias, means, stds)).drop("_scaling")
+    model = S.fold_scaling(scaling if scaling is not None else X.scaling_stats(df), weights, bias)
+    df = df.withColumn("_model", model.scalar())
+    z = S.linear([F.col(n) for n in K.FEATURE_NAMES], [F.col(f"_model.c{j}") for j in range(K.WIDTH)], F.col("_model.intercept"))
+    return df.withColumn("proba_a", S.sigmoid(z)).drop("_model")
 
 
 def scored_bouts(spark: SparkSession, sf_dir: str) -> DataFrame:
