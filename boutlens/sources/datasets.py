@@ -17,6 +17,11 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("value", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_size").alias("bytes"))
 
 
+def _list_text() -> Column:
+    """The file text when it is a JSON list; an object would otherwise be read as a list of one."""
+    return F.when(F.startswith(F.ltrim("value"), F.lit("[")), F.col("value"))
+
+
 def read_parts(spark: SparkSession, path: str, stats_as_map: bool = False) -> DataFrame:
     """Bouts of all part files with part, pos and seq.  Files that hold no list are left out.
 
@@ -25,7 +30,7 @@ def read_parts(spark: SparkSession, path: str, stats_as_map: bool = False) -> Da
     audit, where a missing key differs from a null.
     """
     schema = schemas.BOUT.replace(schemas.STATS, "map<string,string>") if stats_as_map else schemas.BOUT
-    rows = _files(spark, path).withColumn("rows", F.from_json("value", f"array<struct<{_as_struct(schema)}>>"))
+    rows = _files(spark, path).withColumn("rows", F.from_json(_list_text(), f"array<struct<{_as_struct(schema)}>>"))
     part = F.regexp_extract("file_name", r"part(\d+)\.json$", 1).try_cast("bigint")
     out = rows.filter(F.col("rows").isNotNull()).select("file_name", "bytes", F.coalesce(part, F.lit(0)).alias("part"), F.posexplode_outer("rows").alias("pos", "b"))
     out = out.filter(F.col("b").isNotNull()).select("file_name", "bytes", "part", "pos", "b.*")
@@ -52,7 +57,7 @@ def _as_struct(ddl: str) -> str:
 
 def unreadable_parts(spark: SparkSession, path: str) -> DataFrame:
     """Files that are not a JSON list."""
-    rows = _files(spark, path).withColumn("rows", F.from_json("value", "array<map<string,string>>"))
+    rows = _files(spark, path).withColumn("rows", F.from_json(_list_text(), "array<map<string,string>>"))
     return rows.filter(F.col("rows").isNull()).select("file_name", "bytes")
 
 
