@@ -27,6 +27,9 @@ def local_session(cores: int | str = "*", app: str = "boutlens", **conf: str) ->
     return spark
 
 
+_FALLBACK: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
@@ -35,9 +38,12 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    made = tempfile.mkdtemp(prefix="boutlens-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _FALLBACK:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        _FALLBACK[app] = tempfile.mkdtemp(prefix="boutlens-")
+    return _FALLBACK[app]
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
