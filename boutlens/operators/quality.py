@@ -20,11 +20,23 @@ def _lacks(m: Column, key: str) -> Column:
 
 
 def missing_keys(df: DataFrame) -> DataFrame:
-    """Counts of absent keys in ``top``, ``stats_a`` and ``stats_b`` (maps of texts), one pass."""
-    spec = ([("top", k) for k in K.BOUT_KEYS] + [("stats_a", k) for k in K.STAT_KEYS] + [("stats_b", k) for k in K.STAT_KEYS])
-    aggs = [F.count_if(_lacks(F.col(s), k)).alias(f"c{i}") for i, (s, k) in enumerate(spec)]
-    wide = df.agg(F.count("*").alias("total"), *aggs)
-    return _unpivot(wide, "total", [(s, k, f"c{i}") for i, (s, k) in enumerate(spec)]).filter("n > 0")
+    """Counts of absent keys in ``top``, ``stats_a`` and ``stats_b`` (maps of texts), one pass.
+
+    Present keys are unfolded and counted, combined before the shuffle; what a key lacks
+    to the number of maps is missing.  A row without the map is not counted against its keys.
+    """
+    spec = {"top": K.BOUT_KEYS, "stats_a": K.STAT_KEYS, "stats_b": K.STAT_KEYS}
+    spark = df.sparkSession
+    scoped = df.select(F.inline_outer(F.array(*[F.struct(F.lit(s).alias("scope"), F.map_keys(s).alias("keys")) for s in spec])))
+    # The empty key stands for the map itself.
+    keys = scoped.filter(F.col("keys").isNotNull()).select("scope", F.explode_outer(F.concat(F.array(F.lit("")), F.col("keys"))).alias("key"))
+    known = keys.filter(F.col("key").isin("", *{k for names in spec.values() for k in names}))
+    present = known.groupBy("scope", "key").agg(F.count("*").alias("present"))
+    maps = present.filter("key = ''").select("scope", F.col("present").alias("maps"))
+    wanted = spark.createDataFrame([(s, k) for s, names in spec.items() for k in names], "scope string, key string")
+    joined = wanted.join(maps, "scope").join(present, ["scope", "key"], "left").withColumn("total", df.agg(F.count("*")).scalar())
+    out = joined.withColumn("n", F.col("maps") - F.coalesce("present", F.lit(0))).filter("n > 0")
+    return out.select("scope", "key", "n", "total", F.round(F.col("n") * 100.0 / F.col("total"), 1).alias("pct"))
 
 
 def fill_counts(df: DataFrame) -> DataFrame:
