@@ -52,12 +52,13 @@ def spans(raw: np.ndarray, cut: np.ndarray = SPACES) -> tuple[np.ndarray, np.nda
     return edges[::2], edges[1::2]
 
 
-def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range; equal bytes give equal hashes wherever they stand.
+def hashes_to(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, cuts: list[np.ndarray]) -> list[np.ndarray]:
+    """64-bit hashes of the ranges from ``starts`` to each of ``cuts``, which lie inside the words.
 
-    Ranges are in order of their starts; blocks grow where one range is longer than a block.
+    Equal bytes give equal hashes wherever they stand.  Words are in order of their starts; blocks grow where one
+    word is longer than a block.
     """
-    out = np.empty(len(starts), np.uint64)
+    out = [np.empty(len(starts), np.uint64) for _ in cuts]
     at = 0
     while at < len(starts):
         first = starts[at]
@@ -66,10 +67,18 @@ def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         up, down = powers(BYTE_BASE, len(part))
         total = np.zeros(len(part) + 1, np.uint64)
         np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=total[1:])
-        s, e = starts[at:to] - first, ends[at:to] - first
-        out[at:to] = (total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)
+        s = starts[at:to] - first
+        below, scale = total[s], down[s]
+        for o, cut in zip(out, cuts, strict=True):
+            e = cut[at:to] - first
+            o[at:to] = (total[e] - below) * scale + (e - s).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)
         at = to
-    return mix(out)
+    return [mix(o) for o in out]
+
+
+def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of whole words."""
+    return hashes_to(raw, starts, ends, [ends])[0]
 
 
 def text_hashes(text: str | bytes | None, lower: bool = False) -> np.ndarray:
