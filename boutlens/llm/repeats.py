@@ -113,7 +113,8 @@ def repeated_spans(docs: DataFrame, match: Matcher, window: int = 50, gram: int
     first = near.groupBy("anchor", "body").agg(F.min(F.struct("doc_id", "tid", "pos", "n")).alias("f")).select("anchor", "body", "f.*")
     first = materialize(first, f"{label}-first")
     owner = first.select("anchor", "body", F.col("doc_id").alias("owner"))
-    copies = near.join(owner, ["anchor", "body"]).where("doc_id > owner").select("doc_id", "tid", F.col("pos").alias("start"), (F.col("pos") + F.col("n") + (window - 1)).alias("end"))
+    held = materialize(near.join(owner, ["anchor", "body"]).where("doc_id >= owner"), f"{label}-held")
+    copies = held.where("doc_id > owner").select("doc_id", "tid", F.col("pos").alias("start"), (F.col("pos") + F.col("n") + (window - 1)).alias("end"))
 
     many = first.groupBy("anchor").agg(F.count("*").alias("bodies")).where("bodies > 1").select("anchor", (F.col("bodies") > ANCHOR_PIECES).alias("hot"))
     found = materialize(_words_of(docs, first.join(many, "anchor"), window, text), f"{label}-words")
@@ -135,7 +136,7 @@ def repeated_spans(docs: DataFrame, match: Matcher, window: int = 50, gram: int
     hits = materialize(cold.unionByName(hot), f"{label}-hits")
     # offsets of one piece become ranges before they meet the places of the piece
     hits = hits.groupBy("anchor", "body", "owner").agg(F.collect_list("off").alias("offs"))
-    own = near.join(hits, ["anchor", "body"]).where("doc_id = owner").select("doc_id", "tid", F.explode("offs").alias("off"), "pos")
+    own = held.where("doc_id = owner").join(hits, ["anchor", "body", "owner"]).select("doc_id", "tid", F.explode("offs").alias("off"), "pos")
     own = own.select("doc_id", "tid", (F.col("pos") + F.col("off")).alias("start"), (F.col("pos") + F.col("off") + window).alias("end"))
     return copies.unionByName(own)
 
