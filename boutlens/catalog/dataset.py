@@ -290,7 +290,8 @@ def audit_years(spark, d):
 @query("audit_drift", " UNION ALL ".join(
     f"SELECT '{k}' AS key, n, CASE WHEN n = 0 THEN 'ok' WHEN n < total * 0.1 THEN 'some' ELSE 'many' END AS level FROM "
     f"(SELECT count(*) AS total, count(*) FILTER (WHERE {_absent(_J['stats_a', k])}) AS n FROM orders)" for k in K.STAT_KEYS)
-    + " UNION ALL SELECT 'nickname', count(*), 'unexpected' FROM orders WHERE o_orderkey % 2000 < 50 AND o_orderkey % 50 = 7")
+    + "".join(f" UNION ALL SELECT '{k}', count(*), CASE WHEN count(*) = 0 THEN 'ok' ELSE 'many' END FROM orders" for k in K.EXPECTED_FIELDS if k not in K.STAT_KEYS)
+    + " UNION ALL SELECT 'nickname', count(*), 'unexpected' FROM orders WHERE o_orderkey % 50 = 7")
 def audit_drift(spark, d):
     return QA.drift(_audit_frame(spark, d))
 

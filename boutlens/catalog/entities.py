@@ -117,20 +117,41 @@ def name_pool(spark, d):
 _LEV = "1.0::DOUBLE - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b), 1)"
 
 
-@query("fuzzy_topk_lev", f"""SELECT input, name, {Q.r6('1.0 - s')} AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY input ORDER BY s, name) AS rank FROM
+def full_pool(spark, d):
+    """All name sources and all aliases of the dictionary."""
+    alias = entities(spark, d).select(F.explode("aliases").alias("alias"))
+    return EN.name_pool(_pool_sources(spark, d) + [(alias, "alias")])
+
+
+@query("fuzzy_topk_lev", Q.with_(["ents_alias"], f"""SELECT input, name, {Q.r6('1.0 - s')} AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY input ORDER BY s, name) AS rank FROM
   (SELECT input, name, levenshtein(a, b)::DOUBLE / greatest(length(a), length(b), 1) AS s FROM (SELECT DISTINCT n_name AS input, {Q.norm_latin('n_name')} AS a FROM nation),
-  (SELECT name, {Q.norm_latin('name')} AS b FROM (SELECT s_name AS name FROM supplier UNION SELECT c_name FROM customer UNION SELECT p_name FROM part)))) WHERE rank <= 50""")
+  (SELECT name, {Q.norm_latin('name')} AS b FROM (SELECT name FROM ({_POOL} UNION SELECT alias FROM ents_alias) WHERE length(name) > 2)))) WHERE rank <= 50"""))
 def fuzzy_topk_lev(spark, d):
-    out = EN.fuzzy_top(tables.table(spark, d, "nation").select(F.col("n_name").alias("input")), EN.name_pool(_pool_sources(spark, d)[:3]))
+    out = EN.fuzzy_top(tables.table(spark, d, "nation").select(F.col("n_name").alias("input")), full_pool(spark, d))
     return out.select("input", "name", r6(F.col("score")).alias("score"), "rank")
 
 
 @query("fuzzy_topk_ratio")
 def fuzzy_topk_ratio(spark, d):
-    out = EN.fuzzy_top(tables.table(spark, d, "nation").select(F.col("n_name").alias("input")), EN.name_pool(_pool_sources(spark, d)[:3]), method="ratio")
+    out = EN.fuzzy_top(tables.table(spark, d, "nation").select(F.col("n_name").alias("input")), full_pool(spark, d), method="ratio")
     return out.select("input", "name", r6(F.col("score")).alias("score"), "rank")
 
 
+@query("candidate_union", Q.with_(["ents_alias"], f"""SELECT pair_id, name, {Q.r6('1.0 - s')} AS score, CAST(place AS INT) AS place FROM (
+  SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY s, name) AS place FROM (SELECT pair_id, name, min(s) AS s FROM (
+    SELECT pair_id, input, name, s, row_number() OVER (PARTITION BY pair_id, input ORDER BY s, name) AS rank FROM (
+      SELECT pair_id, input, name, levenshtein(a, b)::DOUBLE / greatest(length(a), length(b), 1) AS s
+      FROM (SELECT DISTINCT pair_id, input, {Q.norm_latin('input')} AS a FROM (SELECT n_regionkey AS pair_id, min(n_name) AS input FROM nation GROUP BY 1 UNION ALL SELECT n_regionkey, max(n_name) FROM nation GROUP BY 1)),
+           (SELECT name, {Q.norm_latin('name')} AS b FROM (SELECT name FROM ({_POOL} UNION SELECT alias FROM ents_alias) WHERE length(name) > 2))))
+    WHERE rank <= 50 GROUP BY 1, 2)) WHERE place <= 100"""))
+def candidate_union(spark, d):
+    """The two top-50 lists of a typed pair, united and cut at 100."""
+    pairs = tables.table(spark, d, "nation").groupBy(F.col("n_regionkey").alias("pair_id")).agg(F.min("n_name").alias("name_a"), F.max("n_name").alias("name_b"))
+    top = EN.fuzzy_top(pairs.select(F.explode(F.array("name_a", "name_b")).alias("input")), full_pool(spark, d))
+    out = EN.pair_candidates(pairs, top)
+    return out.select("pair_id", "name", r6(F.col("score")).alias("score"), "place")
+
+
 FEED = {
     "home_team": "CASE WHEN bout_id % 2 = 0 THEN CASE WHEN bout_id % 3 = 0 THEN 'Team ' || fighter_a || ' Jr.' ELSE upper(fighter_a) END ELSE fighter_b END",
     "away_team": "CASE WHEN bout_id % 2 = 0 THEN fighter_b ELSE CASE WHEN bout_id % 4 = 1 THEN fighter_a || ' II' ELSE fighter_a END END",

@@ -215,3 +215,14 @@ def fit_model(spark, d):
     out = training.train_incremental(feats, feats.filter("held_out = 1"), model, pending=100, best_accuracy=0.5)
     rows = [(i, n, float(w), float(out["bias"]), float(out["accuracy"]), int(out["promoted"])) for i, (n, w) in enumerate(zip(K.FEATURE_NAMES, out["weights"]))]
     return spark.createDataFrame(rows, "idx int, name string, weight double, bias double, accuracy double, promoted int")
+
+
+@query("wrong_predictions", Q.with_(["scored"], "SELECT bout_id, fighter_a, fighter_b, pred_winner AS predicted, winner AS fact FROM scored WHERE pred_winner <> winner"))
+def wrong_predictions(spark, d):
+    return E.wrong_predictions(flows.scored_bouts(spark, d)).select("bout_id", "fighter_a", "fighter_b", "predicted", "fact")
+
+
+@query("batch_composition", BATCH_CTES + f""" SELECT count(*) AS total, count(*) FILTER (WHERE is_fresh = 1) AS fresh, count(*) FILTER (WHERE is_fresh = 0) AS historical,
+  count(*) FILTER (WHERE sample_weight > CASE WHEN is_fresh = 1 THEN {K.FRESH_WEIGHT}::DOUBLE ELSE {K.HISTORICAL_WEIGHT}::DOUBLE END + 1e-9::DOUBLE) AS up_weighted FROM batch""")
+def batch_composition(spark, d):
+    return E.batch_composition(_batch(spark, d), K.FRESH_WEIGHT, K.HISTORICAL_WEIGHT)

@@ -130,12 +130,13 @@ def registrations(spark, d):
     return out.select("user_id", "created_by", F.coalesce("language", F.lit("")).alias("language"), "calls", "granted")
 
 
-@query("activations", f"""SELECT user_id, activated_by, CAST(1000 + coalesce(moved, 0) AS BIGINT) AS balance FROM (SELECT s.user_id, s.activated_by, sum({DELTA}) AS moved FROM
+@query("activations", f"""SELECT user_id, activated_by, CAST(CASE WHEN moves IS NULL THEN 3 ELSE list_reduce(list_prepend(3, moves), lambda acc, x: greatest(0, acc + x)) END AS BIGINT) AS balance
+  FROM (SELECT s.user_id, s.activated_by, list(CAST({DELTA} AS INT) ORDER BY ts, event_id) FILTER (WHERE event_id IS NOT NULL) AS moves FROM
   (SELECT user_id, arg_max(event_id, (ts, event_id)) AS activated_by, max((ts, event_id)) AS k FROM events WHERE event_type = 'purchase' AND event_id % 10 = 0 GROUP BY 1) s
   LEFT JOIN events e ON e.user_id = s.user_id AND (e.ts, e.event_id) > s.k GROUP BY 1, 2)""")
 def activations(spark, d):
     df = events(spark, d).withColumn("delta", F.expr(DELTA))
-    return L.activations(df, "user_id", F.expr("event_type = 'purchase' AND event_id % 10 = 0"), 1000)
+    return L.activations(df, "user_id", F.expr("event_type = 'purchase' AND event_id % 10 = 0"), 3)
 
 
 @query("user_status", """SELECT c_custkey AS user_id, coalesce(balance, 0) AS balance, coalesce(plan, 'free') AS plan, coalesce(strftime(expires_at, '%Y-%m-%d'), 'unlimited') AS expires, coalesce(is_active, 0) AS is_active
@@ -166,17 +167,27 @@ def events_session(spark, d):
     return g.select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("start"), "n")
 
 
-@query("license_audit")
+_SECRET = "example-secret"
+
+
+def _hmac_sql(payload: str) -> str:
+    inner, outer = L.pads(_SECRET)
+    return f"substr(sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({payload})))), 1, 16)"
+
+
+@query("license_audit", f"""WITH k AS (SELECT c_custkey AS k, 'dev' || c_custkey AS device_id, CASE WHEN c_custkey % 5 = 0 THEN '20200101' WHEN c_custkey % 7 = 0 THEN '2030x101' ELSE '20300101' END AS day FROM customer),
+  g AS (SELECT *, {_hmac_sql("device_id || ':' || day")} AS sig FROM k),
+  l AS (SELECT device_id, day, sig, CASE WHEN k % 17 = 0 THEN 'KEY-short' ELSE concat_ws('-', 'KEY', CASE WHEN k % 11 = 0 THEN 'devX' ELSE device_id END, day, CASE WHEN k % 13 = 0 THEN repeat('0', 16) ELSE sig END) END AS license_key FROM g)
+  SELECT device_id, license_key, CASE WHEN len(string_split(license_key, '-')) <> 4 THEN 'bad format' WHEN string_split(license_key, '-')[2] <> device_id THEN 'other device'
+    WHEN string_split(license_key, '-')[4] <> sig THEN 'bad signature' WHEN NOT regexp_full_match(day, '[0-9]{{8}}') THEN 'bad date' WHEN day < '20240601' THEN 'expired' ELSE '' END AS reason FROM l""")
 def license_audit(spark, d):
-    """Signature check by Arrow batches; HMAC is not SQL-expressible, so rows only."""
-    secret, k = "example-secret", F.col("c_custkey")
+    """Signature check by nested digests, without leaving the JVM."""
+    k = F.col("c_custkey")
     device = F.concat(F.lit("dev"), k.cast("string"))
     day = F.when(k % 5 == 0, "20200101").when(k % 7 == 0, "2030x101").otherwise("20300101")
     keys = tables.table(spark, d, "customer").select(device.alias("device_id"), day.alias("day"), k)
-    signed = keys.withColumn("sig", L.signature(secret)(F.concat("device_id", F.lit(":"), "day")))
+    signed = keys.withColumn("sig", L.signature(_SECRET)(F.concat("device_id", F.lit(":"), "day")))
     owner = F.when(k % 11 == 0, "devX").otherwise(F.col("device_id"))
     sig = F.when(k % 13 == 0, "0" * 16).otherwise(F.col("sig"))
     text = F.when(k % 17 == 0, "KEY-short").otherwise(F.concat_ws("-", F.lit("KEY"), owner, "day", sig))
-    return L.audit_keys(signed.select("device_id", text.alias("license_key")), secret, "KEY", "2024-06-01 00:00:00")
-
-
+    return L.audit_keys(signed.select("device_id", text.alias("license_key")), _SECRET, "KEY", "2024-06-01 00:00:00").select("device_id", "license_key", "reason")

@@ -76,12 +76,12 @@ def stamp_ids(fights: DataFrame, registry: DataFrame) -> DataFrame:
 def recent_split(df: DataFrame, pending: int, window: int = K.RECENT_WINDOW) -> DataFrame:
     """Stratum of every row: new (last ``pending``), recent (rest of the last ``window``), historical.
 
-    The join side is the ``window`` latest ids, a fixed number of rows, so it is broadcast.
+    All pending rows are new, also where there are more of them than the window holds.
     """
-    last = latest(df.select("bout_id", "bout_date"), window).select("bout_id", "from_end")
-    tagged = df.join(F.broadcast(last), "bout_id", "left")
+    last = latest(df.select("bout_id", "bout_date"), max(window, pending)).select("bout_id", "from_end")
+    tagged = df.join(last, "bout_id", "left")
     return tagged.withColumn("stratum", F.when(F.col("from_end") <= pending, "new")
-                             .when(F.col("from_end").isNotNull(), "recent").otherwise("historical"))
+                             .when(F.col("from_end") <= window, "recent").otherwise("historical"))
 
 
 def eval_slice(df: DataFrame, day: str = "bout_date", ident: str = "bout_id") -> DataFrame:

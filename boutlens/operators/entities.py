@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import math
 
@@ -121,17 +122,29 @@ def name_pool(sources: list[tuple[DataFrame, str]], cyrillic_only: list[tuple[Da
 _SCORED = DT.ArrayType(DT.StructType([DT.StructField("neg", DT.DoubleType()), DT.StructField("name", DT.StringType())]))
 
 
-@F.pandas_udf(_SCORED)
-def _ratio_top(name: pd.Series, norms: pd.Series, names: pd.Series) -> pd.Series:
-    out = []
-    for target, ns, raw in zip(name, norms, names):
-        matcher = difflib.SequenceMatcher(None)
-        scored = []
-        for n, r in zip(ns, raw):
-            matcher.set_seqs(target, n)
-            scored.append((-matcher.ratio(), r))
-        out.append([{"neg": s, "name": r} for s, r in sorted(scored)[:50]])
-    return pd.Series(out)
+def _ratio_top(k: int):
+    """The ``k`` best names of a shard.  Upper bounds (lengths, then letter counts) come first; a ratio is only worked out where
+    its bound reaches the worst of the best so far, so the result is exact.
+    """
+
+    @F.pandas_udf(_SCORED)
+    def top(name: pd.Series, norms: pd.Series, names: pd.Series) -> pd.Series:
+        out = []
+        for target, ns, raw in zip(name, norms, names):
+            matcher = difflib.SequenceMatcher(None)
+            best: list[tuple[float, str]] = []
+            size = len(target)
+            order = sorted(range(len(ns)), key=lambda i: abs(len(ns[i]) - size))
+            for i in order:
+                matcher.set_seqs(target, ns[i])
+                if len(best) >= k and (matcher.real_quick_ratio() < -best[-1][0] or matcher.quick_ratio() < -best[-1][0]):
+                    continue
+                bisect.insort(best, (-matcher.ratio(), raw[i]))
+                del best[k:]
+            out.append([{"neg": s, "name": r} for s, r in best])
+        return pd.Series(out)
+
+    return top
 
 
 def fuzzy_top(inputs: DataFrame, pool: DataFrame, k: int = 50, method: str = "levenshtein", per_shard: int = 2000) -> DataFrame:
@@ -149,7 +162,7 @@ def fuzzy_top(inputs: DataFrame, pool: DataFrame, k: int = 50, method: str = "le
         "target": T.norm_latin(F.col("input")), "shard": F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>"))})
     met = asked.join(packed, "shard")
     if method == "ratio":
-        met = met.withColumn("best", _ratio_top("target", F.col("items.norm"), F.col("items.name")))
+        met = met.withColumn("best", _ratio_top(k)("target", F.col("items.norm"), F.col("items.name")))
     else:
         def lev(p: Column) -> Column:
             longest = F.greatest(F.length(F.col("target")), F.length(p["norm"]), F.lit(1))
@@ -160,6 +173,17 @@ def fuzzy_top(inputs: DataFrame, pool: DataFrame, k: int = 50, method: str = "le
     return flat.withColumn("rank", rank).filter(F.col("rank") <= k).select("input", "name", (-F.col("neg")).alias("score"), "rank")
 
 
+def pair_candidates(pairs: DataFrame, top: DataFrame, limit: int = 100) -> DataFrame:
+    """(pair_id, name, score, place): the candidates of both names of a pair, each once, the best ``limit`` first.
+
+    ``pairs``: pair_id, name_a, name_b; ``top``: result of `fuzzy_top` for these names.
+    """
+    sides = pairs.select("pair_id", F.explode(F.array("name_a", "name_b")).alias("input")).distinct()
+    both = sides.join(top.select("input", "name", "score"), "input").groupBy("pair_id", "name").agg(F.max("score").alias("score"))
+    place = F.row_number().over(Window.partitionBy("pair_id").orderBy(F.desc("score"), "name"))
+    return both.withColumn("place", place).filter(F.col("place") <= limit)
+
+
 def as_of(left: DataFrame, snapshots: DataFrame, lag_days: int = 1) -> DataFrame:
     """Latest snapshot at or before ``bout_date - lag_days`` for each (fid, bout_date).
 

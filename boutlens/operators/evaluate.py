@@ -50,3 +50,19 @@ def prequential(df: DataFrame, batch_size: int) -> DataFrame:
     g = hit_counts(df.withColumn("month", F.date_format("bout_date", "yyyy-MM")), ["month"])
     running = Window.orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
     return g.withColumn("batches_done", F.floor(F.sum("total").over(running) / batch_size))
+
+
+def wrong_predictions(df: DataFrame) -> DataFrame:
+    """Every decided bout whose predicted winner is not the winner: a table, of which a caller may show any part."""
+    return df.filter(F.col("winner").isNotNull() & (F.col("pred_winner") != F.col("winner"))).select(
+        "bout_id", "bout_date", "fighter_a", "fighter_b", F.col("pred_winner").alias("predicted"), F.col("winner").alias("fact"))
+
+
+def batch_composition(batch: DataFrame, plain_fresh: float, plain_old: float) -> DataFrame:
+    """One row: fresh, historical and up-weighted rows of a training batch.
+
+    Up-weighted rows weigh more than their stratum does without the confidence factor.
+    """
+    base = F.when(F.col("is_fresh") == 1, F.lit(plain_fresh)).otherwise(F.lit(plain_old))
+    return batch.agg(F.count("*").alias("total"), F.count_if(F.col("is_fresh") == 1).alias("fresh"), F.count_if(F.col("is_fresh") == 0).alias("historical"),
+                     F.count_if(F.col("sample_weight") > base + 1e-9).alias("up_weighted"))

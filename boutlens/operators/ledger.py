@@ -8,12 +8,9 @@ many tasks and the upper level holds one row per bucket.
 from __future__ import annotations
 
 import hashlib
-import hmac
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as DT
 
 from boutlens import constants as K
 
@@ -35,7 +32,9 @@ def running_balance(events: DataFrame, key: str = "user_id", start: int = 0, sec
     The walk with a floor has a closed form, sum - min(0, lowest sum so far), and both
     parts combine over buckets: no list of a user's events is ever collected.
     ``events``: key, ts, event_id, delta.  Adds ``plain`` (without the floor) and ``balance``.
+    A debit takes one unit: with larger ones a rejected debit and a floor would differ, so they raise an error.
     """
+    events = events.withColumn("delta", F.when(F.col("delta") < -1, F.raise_error("a debit takes one unit")).otherwise(F.col("delta")))
     order = Window.partitionBy(key, "_b").orderBy("ts", "event_id")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     rows = events.withColumn("_b", bucket(F.col("ts"), seconds)).withColumn("_s", F.sum("delta").over(upto))
@@ -132,12 +131,13 @@ def registrations(events: DataFrame, key: str, language: Column) -> DataFrame:
 
 
 def activations(events: DataFrame, key: str, is_set: Column, limit: int) -> DataFrame:
-    """Balance after the last activation: the licence limit plus all later deltas."""
+    """Balance after the last activation: from the licence limit, walked through all later deltas with the floor at 0."""
     moment = F.struct("ts", "event_id")
     last = events.filter(is_set).groupBy(key).agg(F.max(moment).alias("_set"))
     later = events.join(last, key).filter(moment > F.col("_set"))
-    moved = later.groupBy(key).agg(F.sum("delta").alias("_moved"))
-    return last.join(moved, key, "left").select(key, F.col("_set.event_id").alias("activated_by"), (F.lit(limit) + F.coalesce("_moved", F.lit(0))).alias("balance"))
+    walked = running_balance(later.drop("_set"), key, limit)
+    final = walked.groupBy(key).agg(F.max_by("balance", moment).alias("_final"))
+    return last.join(final, key, "left").select(key, F.col("_set.event_id").alias("activated_by"), F.coalesce("_final", F.lit(limit)).cast("bigint").alias("balance"))
 
 
 def user_status(users: DataFrame, licenses: DataFrame, key: str = "user_id") -> DataFrame:
@@ -152,13 +152,20 @@ def fresh(snapshots: DataFrame, as_of: str, ttl: int = K.ODDS_TTL_SECONDS) -> Da
     return snapshots.filter((F.col("ts") > now - F.make_dt_interval(secs=F.lit(ttl))) & (F.col("ts") <= now))
 
 
-def signature(secret: str):
-    """HMAC-SHA256 of a text, first 16 hex digits, as an Arrow batch function."""
+def pads(secret: str) -> tuple[str, str]:
+    """Inner and outer pad of HMAC-SHA256 for a secret, in hex."""
     code = secret.encode()
+    code = (hashlib.sha256(code).digest() if len(code) > 64 else code).ljust(64, b"\0")
+    return bytes(c ^ 0x36 for c in code).hex(), bytes(c ^ 0x5C for c in code).hex()
+
+
+def signature(secret: str):
+    """HMAC-SHA256 of a text, first 16 hex digits, as two nested digests."""
+    inner, outer = (F.unhex(F.lit(p)) for p in pads(secret))
 
-    @F.pandas_udf(DT.StringType())
-    def sign(payload: pd.Series) -> pd.Series:
-        return payload.map(lambda p: hmac.new(code, p.encode(), hashlib.sha256).hexdigest()[:16])
+    def sign(payload: Column) -> Column:
+        first = F.sha2(F.concat(inner, payload.cast("binary")), 256)
+        return F.substring(F.sha2(F.concat(outer, F.unhex(first)), 256), 1, 16)
 
     return sign
 

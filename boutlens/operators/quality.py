@@ -19,24 +19,30 @@ def _lacks(m: Column, key: str) -> Column:
     return F.coalesce(~F.map_contains_key(m, F.lit(key)), F.lit(False))
 
 
+def _missing_mask(column: str, names: list[str]) -> Column:
+    """The keys that a map lacks as bits of a number; none where the map itself is null."""
+    bits = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(1 << i).cast("bigint").alias("bit")) for i, k in enumerate(names)])
+    lacking = F.filter(bits, lambda x: _lacks_key(column, x["key"]))
+    return F.aggregate(lacking, F.lit(0).cast("bigint"), lambda acc, x: acc + x["bit"])
+
+
+def _lacks_key(column: str, key: Column) -> Column:
+    return F.coalesce(~F.map_contains_key(F.col(column), key), F.lit(False))
+
+
 def missing_keys(df: DataFrame) -> DataFrame:
     """Counts of absent keys in ``top``, ``stats_a`` and ``stats_b`` (maps of texts), one pass.
 
-    Present keys are unfolded and counted, combined before the shuffle; what a key lacks
-    to the number of maps is missing.  A row without the map is not counted against its keys.
+    Rows are counted by the set of keys they lack, which combines before the shuffle; only these few groups are unfolded.
+    A row without the map is not counted against its keys.
     """
     spec = {"top": K.BOUT_KEYS, "stats_a": K.STAT_KEYS, "stats_b": K.STAT_KEYS}
-    spark = df.sparkSession
-    scoped = df.select(F.inline_outer(F.array(*[F.struct(F.lit(s).alias("scope"), F.map_keys(s).alias("keys")) for s in spec])))
-    # The empty key stands for the map itself.
-    keys = scoped.filter(F.col("keys").isNotNull()).select("scope", F.explode_outer(F.concat(F.array(F.lit("")), F.col("keys"))).alias("key"))
-    known = keys.filter(F.col("key").isin("", *{k for names in spec.values() for k in names}))
-    present = known.groupBy("scope", "key").agg(F.count("*").alias("present"))
-    maps = present.filter("key = ''").select("scope", F.col("present").alias("maps"))
-    wanted = spark.createDataFrame([(s, k) for s, names in spec.items() for k in names], "scope string, key string")
-    joined = wanted.join(maps, "scope").join(present, ["scope", "key"], "left").withColumn("total", df.agg(F.count("*")).scalar())
-    out = joined.withColumn("n", F.col("maps") - F.coalesce("present", F.lit(0))).filter("n > 0")
-    return out.select("scope", "key", "n", "total", F.round(F.col("n") * 100.0 / F.col("total"), 1).alias("pct"))
+    groups = df.groupBy(*[_missing_mask(s, names).alias(s) for s, names in spec.items()]).agg(F.count("*").alias("rows"))
+    each = F.inline(F.array(*[F.struct(F.lit(s).alias("scope"), F.lit(k).alias("key"), (F.col(s).bitwiseAND(1 << i) != 0).alias("lacks"))
+                              for s, names in spec.items() for i, k in enumerate(names)]))
+    counted = groups.select("rows", each).groupBy("scope", "key").agg(
+        F.coalesce(F.sum(F.when(F.col("lacks"), F.col("rows"))), F.lit(0)).alias("n"), F.sum("rows").alias("total")).filter("n > 0")
+    return counted.select("scope", "key", "n", "total", F.round(F.col("n") * 100.0 / F.col("total"), 1).alias("pct"))
 
 
 def fill_counts(df: DataFrame) -> DataFrame:
@@ -69,19 +75,19 @@ def years(df: DataFrame, date_text: Column) -> DataFrame:
     return by_year.filter(F.col("year").isNotNull()).withColumn("pct", F.round(F.col("n") * 100.0 / total, 1))
 
 
-def drift(df: DataFrame, expected: list[str] | None = None, head: int = 50) -> DataFrame:
-    """Expected keys with how often they miss (ok, some, many), and unexpected keys in each file's first rows.
+def drift(df: DataFrame, expected: list[str] | None = None, head: int | None = None) -> DataFrame:
+    """Expected keys with how often they miss (ok, some, many), and unexpected keys, in one pass over all rows.
 
-    Needs ``stats_a`` (map) and ``pos`` (position in its file).
+    Needs ``stats_a`` (map).  With ``head``, unexpected keys are only looked for in the first rows of each file; that
+    needs ``pos`` (position in the file).
     """
     expected = expected if expected is not None else sorted(K.EXPECTED_FIELDS)
     m = F.col("stats_a")
-    tracked = [k for k in expected if k in K.STAT_KEYS]
-    wide = df.agg(F.count("*").alias("total"), *[F.count_if(_lacks(m, k)).alias(f"c{i}") for i, k in enumerate(tracked)])
-    long = _unpivot(wide, "total", [("expected", k, f"c{i}") for i, k in enumerate(tracked)])
+    wide = df.agg(F.count("*").alias("total"), *[F.count_if(_lacks(m, k)).alias(f"c{i}") for i, k in enumerate(expected)])
+    long = _unpivot(wide, "total", [("expected", k, f"c{i}") for i, k in enumerate(expected)])
     level = F.when(F.col("n") == 0, "ok").when(F.col("n") < F.col("total") * 0.1, "some").otherwise("many")
     found = long.select("key", "n", level.alias("level"))
-    extra = df.filter(F.col("pos") < head).select(F.explode(F.map_keys(m)).alias("key")).filter(~F.col("key").isin(expected))
+    extra = (df if head is None else df.filter(F.col("pos") < head)).select(F.explode(F.map_keys(m)).alias("key")).filter(~F.col("key").isin(expected))
     return found.unionByName(extra.groupBy("key").agg(F.count("*").alias("n")).withColumn("level", F.lit("unexpected")))
 
 

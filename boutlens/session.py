@@ -58,14 +58,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-_STORED: dict[tuple[str, str], DataFrame] = {}
+_STORED: dict[tuple[str, ...], DataFrame] = {}
 
 
 def stored(spark: SparkSession, label: str, build) -> DataFrame:
-    """`materialize` once per session and label, for tables that many plans read in several passes."""
-    key = (spark.sparkContext.applicationId, label)
+    """`materialize` once per session, label and set of input files, for tables that many plans read in several passes.
+
+    The plan is built anew at each call, which is cheap; it names its input files, so input that has grown is not
+    answered from an older table.
+    """
+    df = build()
+    key = (spark.sparkContext.applicationId, label, *sorted(df.inputFiles()))
     if key not in _STORED:
-        _STORED[key] = materialize(build(), label.strip("/").replace("/", "_"))
+        _STORED[key] = materialize(df, label.strip("/").replace("/", "_").replace(":", "_"))
     return _STORED[key]
 
 

@@ -17,6 +17,17 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("value", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_size").alias("bytes"))
 
 
+def is_table(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` holds a stored table (Parquet, as the writers here leave it) and not landed JSON documents."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(path)
+    return not found.select("path").isEmpty()
+
+
+def _parsed(column: Column, name: str) -> Column:
+    """A parsed document; one that does not parse stops the read instead of giving no rows."""
+    return F.when(column.isNull(), F.raise_error(F.concat(F.lit(f"no {name} document: "), F.col("file_name")))).otherwise(column)
+
+
 def _list_text() -> Column:
     """The file text when it is a JSON list; an object would otherwise be read as a list of one."""
     return F.when(F.startswith(F.ltrim("value"), F.lit("[")), F.col("value"))
@@ -30,7 +41,7 @@ def read_parts(spark: SparkSession, path: str, stats_as_map: bool = False) -> Da
     audit, where a missing key differs from a null.
     """
     schema = schemas.BOUT.replace(schemas.STATS, "map<string,string>") if stats_as_map else schemas.BOUT
-    rows = _files(spark, path).withColumn("rows", F.from_json(_list_text(), f"array<struct<{_as_struct(schema)}>>"))
+    rows = _files(spark, path).withColumn("rows", F.from_json(_list_text(), f"array<struct<{as_struct(schema)}>>"))
     part = F.regexp_extract("file_name", r"part(\d+)\.json$", 1).try_cast("bigint")
     out = rows.filter(F.col("rows").isNotNull()).select("file_name", "bytes", F.coalesce(part, F.lit(0)).alias("part"), F.posexplode_outer("rows").alias("pos", "b"))
     out = out.filter(F.col("b").isNotNull()).select("file_name", "bytes", "part", "pos", "b.*")
@@ -38,7 +49,7 @@ def read_parts(spark: SparkSession, path: str, stats_as_map: bool = False) -> Da
     return out.withColumns({"seq": F.shiftleft("part", 32) + F.col("pos"), "fight_key": key})
 
 
-def _as_struct(ddl: str) -> str:
+def as_struct(ddl: str) -> str:
     """Column DDL (name type, ...) as struct fields (name:type, ...), top level only."""
     out, depth, word_done = [], 0, False
     for ch in ddl.replace("\n", " "):
@@ -61,6 +72,19 @@ def unreadable_parts(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter(F.col("rows").isNull()).select("file_name", "bytes")
 
 
+def with_seq(df: DataFrame, order: list[str]) -> DataFrame:
+    """Rows of a stored table with ``fight_key``; the order of ``order`` takes the place of the position in a file."""
+    key = F.concat_ws("_", F.coalesce("fighter_a", F.lit("")), F.coalesce("fighter_b", F.lit("")), F.col("date"))
+    return df.withColumns({"fight_key": key, "seq": F.struct(*order)})
+
+
+def read_bouts(spark: SparkSession, path: str) -> DataFrame:
+    """Bouts from JSON parts or from what `append_bouts` stored."""
+    if is_table(spark, path):
+        return with_seq(spark.read.parquet(path).drop("year"), ["date", "fighter_a", "fighter_b"])
+    return read_parts(spark, path)
+
+
 def append_bouts(df: DataFrame, path: str, max_rows: int = 1_000_000) -> None:
     """Append bouts as Parquet by year.  Files roll by row count; no reader has to find the active part."""
     dated = df.withColumn("year", F.substring("date", 1, 4))
@@ -68,12 +92,18 @@ def append_bouts(df: DataFrame, path: str, max_rows: int = 1_000_000) -> None:
 
 
 def read_pending(spark: SparkSession, path: str) -> DataFrame:
-    """The pending buffer, first row per key; a file that is no list gives no rows."""
+    """The pending buffer, first row per key, from landed JSON lists or from `write_pending`.
+
+    A landed file that is no list gives no rows; `unreadable_parts` reports it.
+    """
+    if is_table(spark, path):
+        return dedup_first(spark.read.parquet(path), "fight_key", ["seq"])
     return dedup_first(read_parts(spark, path), "fight_key", ["seq"])
 
 
 def write_pending(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+    """Store the buffer with its keys and order."""
+    df.write.mode("overwrite").parquet(path)
 
 
 def with_legacy(current: DataFrame, *older: DataFrame) -> DataFrame:
@@ -84,8 +114,14 @@ def with_legacy(current: DataFrame, *older: DataFrame) -> DataFrame:
 
 
 def read_holdout(spark: SparkSession, path: str) -> DataFrame:
-    """(period, fight_key).  Values that are not lists are ignored."""
-    doc = _files(spark, path).select(F.explode(F.from_json("value", schemas.HOLDOUT)).alias("period", "v"))
+    """(period, fight_key), from a JSON document or from `write_holdout`.
+
+    Values that are not lists are ignored; a document that does not parse is an error, since held-out bouts would
+    flow into training.
+    """
+    if is_table(spark, path):
+        return spark.read.parquet(path).select("period", "fight_key")
+    doc = _files(spark, path).select(F.explode(_parsed(F.from_json("value", schemas.HOLDOUT), "holdout")).alias("period", "v"))
     return doc.select("period", F.explode(F.from_json("v", "array<string>")).alias("fight_key"))
 
 
@@ -94,8 +130,10 @@ def write_holdout(df: DataFrame, path: str) -> None:
 
 
 def read_entities(spark: SparkSession, path: str) -> DataFrame:
-    """Entity dictionary with its scan position."""
-    doc = _files(spark, path).select(F.posexplode(F.map_entries(F.from_json("value", schemas.ENTITIES))).alias("pos", "e"))
+    """Entity dictionary with its scan position, from a JSON document or, in parallel, from `write_entities`."""
+    if is_table(spark, path):
+        return spark.read.parquet(path)
+    doc = _files(spark, path).select(F.posexplode(F.map_entries(_parsed(F.from_json("value", schemas.ENTITIES), "entity"))).alias("pos", "e"))
     return doc.select(F.col("pos").cast("bigint").alias("pos"), F.col("e.key").alias("entity_id"), "e.value.*")
 
 
@@ -104,7 +142,11 @@ def write_entities(df: DataFrame, path: str) -> None:
 
 
 def read_weights(spark: SparkSession, path: str) -> DataFrame:
-    """Weight bundles, one per file; keys may carry stray blanks."""
+    """Weight bundles, one per file, or the versions that `write_weights` stored; keys may carry stray blanks."""
+    if is_table(spark, path):
+        names = ["model_id", "weights", "bias", "means", "stds", "names", "accuracy", "trained_on"]
+        stored = spark.read.option("mergeSchema", True).parquet(path)
+        return stored.withColumn("model_id", F.col("model_id").cast("string")).select(*[n for n in names if n in stored.columns])
     raw = _files(spark, path).select("file_name", strip_map(F.from_json("value", "map<string,string>")).alias("m"))
 
     def get(key: str, kind: str) -> Column:

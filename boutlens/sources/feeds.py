@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from boutlens import constants as K
 from boutlens import schemas
 from boutlens.functions.text import method_code, method_type
+from boutlens.sources.datasets import as_struct
 
 
 def local_date(ts: Column, zone: str) -> Column:
@@ -70,9 +71,12 @@ def odds_rows(feed: DataFrame) -> DataFrame:
 
 
 def read_odds_feed(spark: SparkSession, path: str) -> DataFrame:
-    """Landed odds files (a JSON array each) with their feed position."""
-    rows = spark.read.schema(schemas.ODDS_EVENT).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    return rows.withColumn("feed_pos", F.monotonically_increasing_id())
+    """Landed odds files (a JSON array each) with their feed position: files by name, then places in the array."""
+    raw = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    order = raw.select("file").distinct().withColumn("_no", F.row_number().over(Window.orderBy("file")) - 1)
+    event = schemas.ODDS_EVENT.replace("\n", " ")
+    rows = raw.join(order, "file").select("_no", F.posexplode(F.from_json("value", f"array<struct<{as_struct(event)}>>")).alias("pos", "e"))
+    return rows.select("e.*", (F.shiftleft(F.col("_no").cast("bigint"), 32) + F.col("pos")).alias("feed_pos"))
 
 
 def read_scoreboard(spark: SparkSession, path: str) -> DataFrame:
