@@ -130,13 +130,13 @@ def is_stub(a: str, b: str) -> str:
 cte("legs", [], """SELECT l_orderkey, l_suppkey, min(l_linenumber) AS ln,
   sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS score FROM lineitem GROUP BY 1, 2""")
 cte("ranked", ["legs"], """SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY ln, l_suppkey) AS rn FROM legs""")
-cte("bouts0", ["ranked"], """SELECT o.o_orderkey AS bout_id, CAST(o.o_orderdate AS DATE) AS bout_date,
+cte("bouts0", ["ranked"], """SELECT o.o_orderkey * 101 + (a.rn - 1) // 2 AS bout_id, CAST(o.o_orderdate AS DATE) AS bout_date,
   o.o_orderpriority AS priority, o.o_custkey, o.o_totalprice, a.l_suppkey AS a_id, b.l_suppkey AS b_id,
   a.score AS a_score, b.score AS b_score, sa.s_name AS fighter_a, sb.s_name AS fighter_b,
   sa.s_nationkey AS a_nation, sb.s_nationkey AS b_nation,
   CASE WHEN a.score > b.score THEN 'a' WHEN b.score > a.score THEN 'b' END AS winner_side,
   CASE WHEN a.score <> b.score AND greatest(a.score, b.score) >= least(a.score, b.score) * 2 THEN 1 ELSE 0 END AS finish
-  FROM ranked a JOIN ranked b ON a.l_orderkey = b.l_orderkey AND a.rn = 1 AND b.rn = 2
+  FROM ranked a JOIN ranked b ON a.l_orderkey = b.l_orderkey AND a.rn % 2 = 1 AND b.rn = a.rn + 1
   JOIN orders o ON o.o_orderkey = a.l_orderkey
   JOIN supplier sa ON sa.s_suppkey = a.l_suppkey JOIN supplier sb ON sb.s_suppkey = b.l_suppkey""")
 cte("bouts", ["bouts0"], """SELECT *,

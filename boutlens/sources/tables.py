@@ -17,35 +17,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: ids that one order can give to its bouts; a prime, so that ids stay spread under any modulus
+PAIRS_PER_ORDER = 101
+
+
 def bout_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored bout table.  History needs it in three passes, so it is written once."""
     return stored(spark, f"bouts{sf_dir}", lambda: build_bouts(spark, sf_dir))
 
 
 def build_bouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per bout: the first two suppliers of an order meet, the larger sum wins.
+    """One row per bout: suppliers of an order meet in pairs (1-2, 3-4, ..), the larger sum wins.
 
-    Lines are summed per (order, supplier) before the shuffle, so an order with any
-    number of lines stays small.  ``row_number() <= 2`` becomes a group limit that
-    also runs before its shuffle, and the two sides are paired by an aggregate on the
-    same partitioning, without a self join.
+    Lines are summed per (order, supplier) before the shuffle, so an order with any number of lines stays small.  The
+    two sides are paired by an aggregate on the same partitioning, without a self join.  A last supplier without an
+    opponent has no bout.
     """
     lines = table(spark, sf_dir, "lineitem")
     legs = lines.groupBy("l_orderkey", "l_suppkey").agg(
         F.min("l_linenumber").alias("ln"),
         F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("score"))
     order = Window.partitionBy("l_orderkey").orderBy("ln", "l_suppkey")
-    first_two = legs.withColumn("rn", F.row_number().over(order)).filter("rn <= 2")
-    pairs = first_two.groupBy("l_orderkey").agg(
-        F.max(F.when(F.col("rn") == 1, F.col("l_suppkey"))).alias("a_id"),
-        F.max(F.when(F.col("rn") == 2, F.col("l_suppkey"))).alias("b_id"),
-        F.max(F.when(F.col("rn") == 1, F.col("score"))).alias("a_score"),
-        F.max(F.when(F.col("rn") == 2, F.col("score"))).alias("b_score"),
+    placed = legs.withColumn("rn", F.row_number().over(order) - 1).withColumn("pair", F.floor(F.col("rn") / 2))
+    first = F.col("rn") % 2 == 0
+    pairs = placed.groupBy("l_orderkey", "pair").agg(
+        F.max(F.when(first, F.col("l_suppkey"))).alias("a_id"),
+        F.max(F.when(~first, F.col("l_suppkey"))).alias("b_id"),
+        F.max(F.when(first, F.col("score"))).alias("a_score"),
+        F.max(F.when(~first, F.col("score"))).alias("b_score"),
     ).filter(F.col("b_id").isNotNull())
     orders = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("bout_id"), F.to_date("o_orderdate").alias("bout_date"),
+        F.col("o_orderkey").alias("l_orderkey"), F.to_date("o_orderdate").alias("bout_date"),
         F.col("o_orderpriority").alias("priority"), "o_custkey", "o_totalprice")
-    joined = pairs.withColumnRenamed("l_orderkey", "bout_id").join(orders, "bout_id")
+    many = F.raise_error(F.lit("an order has more pairs than ids")).cast("bigint")
+    number = F.when(F.col("pair") < PAIRS_PER_ORDER, F.col("l_orderkey") * PAIRS_PER_ORDER + F.col("pair")).otherwise(many)
+    joined = pairs.join(orders, "l_orderkey").withColumn("bout_id", number)
     i = F.col("bout_id")
     side = F.when(F.col("a_score") > F.col("b_score"), "a").when(F.col("b_score") > F.col("a_score"), "b")
     low = F.least("a_score", "b_score")
