@@ -5,8 +5,9 @@ is longer than ``ENTRY_WORDS``.  Weights are BM25 with statistics over all entri
 as found (``share`` of its own score), so that an entry is found at a sum of 1.  Passages overlap by half and are longer
 than two entries, so each leaked entry lies whole in one of them.
 
-Posting lists are in entry order, cut into blocks with their largest weights.  A passage whose terms' largest weights
-don't reach 1 holds no entry.  The others go through block-max WAND, which returns all entries at 1 or more.
+Entries are numbered by their own score and cut into blocks of neighbours, so that short and long ones don't share a block.
+``top`` has the largest weight of each term in each block: a passage whose terms don't reach 1 in any block holds no
+entry.  The others go through block-max WAND, which returns all entries at 1 or more.
 Found entries are verified: of the question (all but the last sentence or line) and of the answer (the last), a
 share of the three-word runs must stand in the passage.
 
@@ -30,8 +31,9 @@ from boutlens.llm import words
 
 K1, B = 1.2, 0.75
 ENTRY_WORDS, PASSAGE_WORDS = 64, 160
-BLOCK_ENTRIES = 16
-SHARD_WORDS = 500_000
+#: neighbouring entries that share a bound for passages, and postings that share one inside a list
+BLOCK_ENTRIES, BLOCK_POSTINGS = 2, 16
+SHARD_WORDS = 25_000
 #: share of an entry's own score, and of the runs of question and answer, that a passage must hold
 SHARE, QUESTION, ANSWER = 0.6, 0.6, 0.5
 RUN = 3
@@ -76,7 +78,7 @@ def runs(h: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """One shard.  Postings of term i are ``entry[at[i]:at[i+1]]`` with ``weight``; blocks of them have ``top`` and ``last``."""
+    """One shard.  Postings of term i are ``entry[at[i]:at[i+1]]`` with ``weight``; ``top`` is terms by blocks."""
 
     items: list[int]
     questions: list[np.ndarray]
@@ -86,34 +88,35 @@ class Index:
     entry: np.ndarray
     weight: np.ndarray
     most: np.ndarray
+    top: np.ndarray
 
     @classmethod
     def of(cls, items: list[tuple[int, str]], df: dict[int, int], total: int, mean: float, share: float = SHARE) -> Index:
-        ids, questions, answers, rows = [], [], [], []
+        rows = []
         for item, text in items:
             for q, a in entries(text):
                 h = np.concatenate([q, a])
                 t, tf = np.unique(h, return_counts=True)
                 n = np.array([df[x] for x in t.tolist()], float)
                 w = np.log1p((total - n + 0.5) / (n + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(h) / mean))
-                rows.append((t, w / (share * w.sum())))
-                ids.append(item)
-                questions.append(q)
-                answers.append(a)
-        t = np.concatenate([r[0] for r in rows]) if rows else np.empty(0, np.uint64)
-        w = np.concatenate([r[1] for r in rows]) if rows else np.empty(0)
-        e = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+                rows.append((float(w.sum()), item, q, a, t, w / (share * w.sum())))
+        rows.sort(key=lambda r: r[0])
+        t = np.concatenate([np.empty(0, np.uint64), *(r[4] for r in rows)])
+        w = np.concatenate([np.empty(0), *(r[5] for r in rows)])
+        e = np.repeat(np.arange(len(rows)), [len(r[4]) for r in rows])
         order = np.lexsort((e, t))
         t, w, e = t[order], w[order], e[order]
         vocabulary, at = np.unique(t, return_index=True)
         most = np.maximum.reduceat(w, at) if len(t) else w
-        return cls(ids, questions, answers, vocabulary, np.append(at, len(t)), e, w, most)
+        top = np.zeros((len(vocabulary), -(-len(rows) // BLOCK_ENTRIES)), np.float32)
+        np.maximum.at(top, (np.searchsorted(vocabulary, t), e // BLOCK_ENTRIES), w.astype(np.float32))
+        return cls([r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], vocabulary, np.append(at, len(t)), e, w, most, top)
 
     def blocks(self, term: int) -> tuple[list[int], list[float], list[int], list[float]]:
         """A posting list with the last entry and the largest weight of each block."""
         e, w = self.entry[self.at[term] : self.at[term + 1]], self.weight[self.at[term] : self.at[term + 1]]
-        starts = np.arange(0, len(e), BLOCK_ENTRIES)
-        return e.tolist(), w.tolist(), e[np.minimum(starts + BLOCK_ENTRIES, len(e)) - 1].tolist(), np.maximum.reduceat(w, starts).tolist()
+        starts = np.arange(0, len(e), BLOCK_POSTINGS)
+        return e.tolist(), w.tolist(), e[np.minimum(starts + BLOCK_POSTINGS, len(e)) - 1].tolist(), np.maximum.reduceat(w, starts).tolist()
 
     def wand(self, query: np.ndarray, goal: float = 1.0 - 1e-9) -> list[tuple[int, float]]:
         """All (entry, score) at ``goal`` or more for a set of terms, by block-max WAND."""
@@ -138,7 +141,7 @@ class Index:
             bound, ends = 0.0, []
             for i in live[: pivot + 1]:
                 last, top = lists[i][2], lists[i][3]
-                b = at[i] // BLOCK_ENTRIES
+                b = at[i] // BLOCK_POSTINGS
                 while b < len(last) and last[b] < entry:
                     b += 1
                 if b < len(last):
@@ -178,10 +181,14 @@ class Index:
         key = np.concatenate([own, own[own > 0] - 1]) * len(self.vocabulary) + np.concatenate([at[known], at[known][own > 0]])
         key = np.unique(key)
         passage, term = key // len(self.vocabulary), key % len(self.vocabulary)
-        reach = np.bincount(passage, self.most[term]) if len(key) else np.empty(0)
+        if not len(key):
+            return {}
+        first = np.flatnonzero(np.concatenate(([True], passage[1:] != passage[:-1])))
+        reach = np.add.reduceat(self.top[term], first, axis=0).max(axis=1)
         found: dict[int, tuple[float, float, float]] = {}
-        for p in np.flatnonzero(reach >= 1.0 - 1e-9):
-            hits = self.wand(term[passage == p])
+        for i in np.flatnonzero(reach >= 1.0 - 1e-4).tolist():
+            p = int(passage[first[i]])
+            hits = self.wand(term[first[i] : first[i + 1] if i + 1 < len(first) else len(term)])
             if not hits:
                 continue
             have = words.Sequence(h[p * half : p * half + PASSAGE_WORDS])

@@ -26,7 +26,7 @@ def build(seed, n=60):
 
 @pytest.mark.parametrize("seed", range(4))
 def test_wand_returns_all_entries_above_the_goal(seed, monkeypatch):
-    monkeypatch.setattr(dc, "BLOCK_ENTRIES", 3)
+    monkeypatch.setattr(dc, "BLOCK_POSTINGS", 3)
     rng, _, _, index = build(seed)
     for k in range(60):
         query = np.sort(np.array(rng.sample(range(len(index.vocabulary)), min(len(index.vocabulary), 5 + 3 * k))))
