@@ -23,6 +23,7 @@ a component, which is null where no row has an id; rows are told apart by (doc_i
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +50,10 @@ def shingles(text: str | None) -> np.ndarray:
     return words.Sequence(h).of(np.array([0]), np.array([len(h)])) if len(h) else h
 
 
+def set_id(g: np.ndarray) -> int:
+    return int(words.signed(words.mix(np.array([np.add.reduce(words.mix(g)) + np.uint64(len(g))], np.uint64)))[0])
+
+
 def slot(g: np.ndarray) -> np.ndarray:
     return (g >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
 
@@ -66,8 +71,7 @@ def describe(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]
                 if len(g) <= COUNTERS // 8:
                     np.add.at(counts, slot(g), 1)
                 ranges = np.bincount((g >> np.uint64(58)).astype(np.int64), minlength=RANGES)
-                sid = words.signed(words.mix(np.array([np.add.reduce(words.mix(g)) + np.uint64(len(g))], np.uint64)))[0] if len(g) else None
-                out.append((len(g), sid, ranges.astype(np.int32)))
+                out.append((len(g), set_id(g) if len(g) else None, ranges.astype(np.int32)))
             yield pd.DataFrame({"doc_id": frame.doc_id.astype("Int64"), "tid": frame.tid.astype("Int32"), "n": pd.array([o[0] for o in out], "Int64"),
                                 "sid": pd.array([o[1] for o in out], "Int64"), "ranges": [o[2] for o in out], "part": pd.array([None] * len(out), "Int32"), "counts": None})
         each = COUNTERS // PARTS
@@ -108,18 +112,23 @@ def prefixes(docs: DataFrame, counts: np.ndarray, text: str = "text") -> DataFra
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = sent.value
         for frame in frames:
-            out = []
+            tokens, seens, sids, sizes = [], [], [], []
             for t in frame.text:
                 g = shingles(t)
-                n = len(g)
-                if not n:
+                if not len(g):
                     continue
-                sid = words.signed(words.mix(np.array([np.add.reduce(words.mix(g)) + np.uint64(n)], np.uint64)))[0]
                 seen = counts[slot(g)]
-                first = np.lexsort((g, seen))[: n - (n * PERCENT + 99) // 100 + 1]
-                out.append(pd.DataFrame({"token": words.signed(g[first]), "sid": sid, "n": np.int32(n), "pos": np.arange(len(first), dtype=np.int32), "hot": seen[first] > hot}))
-            if out:
-                yield pd.concat(out)
+                # shingles come sorted, so a stable sort by count breaks ties by hash
+                first = np.argsort(seen, kind="stable")[: len(g) - (len(g) * PERCENT + 99) // 100 + 1]
+                tokens.append(g[first])
+                seens.append(seen[first])
+                sids.append(set_id(g))
+                sizes.append(len(g))
+            if tokens:
+                each = np.array([len(x) for x in tokens])
+                pos = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                yield pd.DataFrame({"token": words.signed(np.concatenate(tokens)), "sid": np.repeat(np.array(sids, np.int64), each), "n": np.repeat(np.array(sizes, np.int32), each),
+                                    "pos": pos.astype(np.int32), "hot": np.concatenate(seens) > hot})
 
     rows = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text")).mapInPandas(run, "token long, sid long, n int, pos int, hot boolean")
     # a shingle that isn't hot has few rows, so its group is small; hot ones are spread and kept without a test
@@ -148,7 +157,10 @@ def near_sizes(n: Column, m: Column) -> Column:
 
 
 class Verifier:
-    """Exact comparison of candidate pairs.  One text per set is stored; a round sends on those that its filters leave."""
+    """Exact comparison of candidate pairs.
+
+    One text per set is stored, bucketed by set, so that a round never shuffles them: it picks those that its filters leave.
+    """
 
     def __init__(self, docs: DataFrame, sets: DataFrame, members: DataFrame, text: str):
         spark = docs.sparkSession
@@ -157,8 +169,14 @@ class Verifier:
         self.slim = materialize(one.select("sid", "n", "ranges", "d.doc_id", "d.tid"), "ngram-slim")
         d = self.slim.select("sid", F.col("doc_id").alias("_d"), F.col("tid").alias("_t"))
         texts = docs.select("doc_id", F.hash(text).alias("tid"), F.col(text).alias("text"))
-        texts = texts.join(d, texts.doc_id.eqNullSafe(d._d) & (texts.tid == d._t)).select("sid", "text").dropDuplicates(["sid"])
-        self.texts = materialize(texts, "ngram-texts")
+        texts = texts.join(d, texts.doc_id.eqNullSafe(d._d) & (texts.tid == d._t)).select("sid", "text")
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name = f"ngram_texts_{uuid.uuid4().hex}"
+        texts.repartition(buckets, "sid").dropDuplicates(["sid"]).write.bucketBy(buckets, "sid").saveAsTable(self.name)
+        self.texts = spark.table(self.name)
+
+    def close(self) -> None:
+        self.texts.sparkSession.sql(f"DROP TABLE IF EXISTS {self.name}")
 
     def links(self, pairs: DataFrame, label: str) -> DataFrame:
         """The linked ones of distinct pairs (a, b)."""
@@ -232,6 +250,8 @@ def components(docs: DataFrame, text: str = "text") -> DataFrame:
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "ngram-pairs-last")
     labels = merge(labels, check.links(pairs, "ngram-last"), "ngram-last")
 
+    check.close()  # all that was read from it is written
+
     least = sets.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("least")).join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     named = least.join(least.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("sid", "component_id")
     out = sets.join(materialize(named, "ngram-named"), "sid", "left")

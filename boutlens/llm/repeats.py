@@ -61,15 +61,18 @@ def pieces(docs: DataFrame, window: int, gram: int, text: str = "text") -> DataF
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for d, t, x in zip(frame.doc_id, frame.tid, frame.text, strict=True):
+            sizes, out = [], []
+            for x in frame.text:
                 h = words.text_hashes(x)
                 first, n, place, anchor = cut(h, window, gram)
+                sizes.append(len(first))
                 if len(first):
                     body = words.Sequence(h, words.BYTE_BASE).of(first, first + n + window - 1) ^ words.mix((place - first).astype(np.uint64))
-                    out.append(pd.DataFrame({"doc_id": d, "tid": np.int32(t), "anchor": words.signed(anchor), "body": words.signed(body), "pos": first.astype(np.int32), "n": n.astype(np.int32)}))
+                    out.append((anchor, body, first, n))
             if out:
-                yield pd.concat(out)
+                anchor, body, first, n = (np.concatenate(c) for c in zip(*out, strict=True))
+                yield pd.DataFrame({"doc_id": np.repeat(frame.doc_id.to_numpy(), sizes), "tid": np.repeat(frame.tid.to_numpy(np.int32), sizes), "anchor": words.signed(anchor),
+                                    "body": words.signed(body), "pos": first.astype(np.int32), "n": n.astype(np.int32)})
 
     return _keyed(docs, text).mapInPandas(run, "doc_id long, tid int, anchor long, body long, pos int, n int")
 
