@@ -58,6 +58,21 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that `materialize` wrote.
+
+    For tables of one step only: everything read from them must be written elsewhere, so that no lost task can ask for
+    them again.
+    """
+    for df in frames:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/boutlens/" not in folder:
+                raise ValueError(f"not a table of this library: {folder}")
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 _STORED: dict[tuple[str, ...], DataFrame] = {}
 
 
