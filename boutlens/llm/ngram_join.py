@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boutlens.llm import words
-from boutlens.session import materialize
+from boutlens.session import discard, materialize
 
 SHINGLE, PERCENT = 5, 80
 COUNTERS, PARTS = 1 << 18, 64
@@ -198,7 +198,9 @@ class Verifier:
                     keep.append(100 * both >= PERCENT * (len(g) + len(h) - both))
                 yield frame.loc[keep, ["a", "b"]]
 
-        return materialize(full.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long"), f"{label}-links")
+        out = materialize(full.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long"), f"{label}-links")
+        discard(texts, left)
+        return out
 
 
 def merge(labels: DataFrame, links: DataFrame, label: str) -> DataFrame:
