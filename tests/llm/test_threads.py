@@ -44,6 +44,23 @@ def test_a_long_chain_of_quotes(spark):
     assert got[69].depth == 69 and got[69].path == "/".join(map(str, range(70))) and all(r.thread == 0 for r in got.values())
 
 
+def test_passages_levels_and_latest(spark):
+    data = [
+        (1, 0, "user", "The quick brown fox\njumps over the lazy dog.\n\nSecond part of it"),
+        (1, 1, "user", "Thanks!"),
+        (1, 2, "user", "Bob wrote:\n> Alice wrote:\n>> Thanks!\nonly a deeper quote has an author"),
+        (1, 3, "user", "> The quick\n> brown fox jumps over\n> the lazy dog.\nre-wrapped"),
+        (1, 4, "user", "Thanks!"),
+        (1, 5, "user", "> Thanks!\nof turn 4"),
+        (1, 6, "user", "jumps over the lazy dog."),
+        (1, 7, "user", "> The quick brown fox\n> jumps over the lazy dog.\n>\n> Second part\n> of it\nall of turn 0"),
+        (1, 8, "user", "> Cat wrote:\n>> Thanks!\n> of turn 4\nouter first"),
+        (1, 5000, "user", "Thanks!"), (1, 9000, "user", "> thanks"), (1, 9001, "user", "> re wrapped"),
+    ]
+    got = {r.turn: r.reply_to for r in rows(spark, data).collect()}
+    assert got == {0: None, 1: None, 2: 1, 3: 0, 4: None, 5: 4, 6: None, 7: 0, 8: 5, 5000: None, 9000: 5000, 9001: 3}
+
+
 def test_sql_twin_on_quotes(spark, tmp_path):
     data = [m for m in MESSAGES if m[0] is not None and m[1] is not None]
     spark.createDataFrame(data, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
