@@ -9,8 +9,10 @@ latest earlier message of the conversation that has its passage, else its paragr
 from which most lines of the outermost level with an author come, the latest of equals: deeper levels speak where the outer ones find
 nobody.  Parts of a paragraph that were re-wrapped after cutting have no whole line or paragraph left and are not linked.
 
-Messages without a linked quote begin threads.  ``path`` holds the turns from the beginning of the thread to the message,
-found by doubling, and is the reply order within a conversation.
+Messages without a linked quote begin threads.  ``thread`` (the root) and ``depth`` are scalars found by doubling.  ``path`` holds
+the turns from the beginning of the thread to the message and is the reply order within a conversation; in a thread in which each
+message quotes the one before, all paths together are as long as the square of the thread.  ``path=False`` leaves them out, and no row
+then grows with its thread.
 
 Hot conversations and lines: each (message, text) gets one author before it is joined, so no join multiplies rows.  The latest earlier
 message is found within blocks of 2**``BLOCK_BITS`` turns and over the blocks, so no window runs over all messages with one text.
@@ -108,24 +110,32 @@ def replies(rows: DataFrame) -> DataFrame:
     return linked.groupBy("conv_id", "turn").agg(F.max_by("author", F.struct(-F.col("level"), "n", "author")).alias("reply_to"))
 
 
-def conversations(messages: DataFrame, text: str = "text") -> DataFrame:
-    """``messages``, all rows and columns, with body, quoted_lines, levels, reply_to, thread, depth and path."""
-    own_columns = [c for c in messages.columns if c not in RESULT]
-    rows = parsed(messages.select(*own_columns), text)
-    rows = materialize(rows, "threads-parsed")
-    reply = replies(rows)
+def ancestry(reply: DataFrame, path: bool = False) -> DataFrame:
+    """(conv_id, turn, reply_to) with ``thread``, the root, and ``depth`` by pointer doubling: scalars, whatever the depth.
 
-    # paths of the messages that reply: ``up`` is the ancestor not yet followed
-    paths = materialize(reply.select("conv_id", "turn", "reply_to", F.col("reply_to").alias("up"), F.array("turn").alias("path")), "threads-replies")
+    ``path``: also the turns from the root to the message, an array as long as the thread is deep.
+    """
+    more = ["path"] if path else []
+    # ``up`` is an ancestor ``depth`` steps above, the root once nothing is found for it
+    found = reply.select("conv_id", "turn", "reply_to", F.col("reply_to").alias("up"), F.lit(1).cast("long").alias("depth"), F.lit(True).alias("moved"))
+    found = materialize(found.withColumn("path", F.array("up", "turn")) if path else found, "threads-replies")
     step = 0
-    while not paths.where("up IS NOT NULL").isEmpty():
-        above = paths.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("up").alias("up2"), F.col("path").alias("path2"))
-        met = paths.join(above, (F.col("conv_id") == F.col("c")) & (F.col("up") == F.col("t")), "left")
-        path = F.when(F.col("up").isNull(), F.col("path")).otherwise(F.concat(F.coalesce("path2", F.array("up")), "path"))
-        paths = materialize(met.select("conv_id", "turn", "reply_to", F.col("up2").alias("up"), path.alias("path")), f"threads-paths-{step}")
+    while not found.where("moved").isEmpty():
+        above = found.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), *[F.col(c).alias("path2") for c in more])
+        met = found.join(above, (F.col("conv_id") == F.col("c")) & (F.col("up") == F.col("t")), "left")
+        whole = [F.when(F.col("t").isNull(), F.col("path")).otherwise(F.concat("path2", F.slice("path", F.lit(2), F.size("path")))).alias("path") for _ in more]
+        found = materialize(met.select("conv_id", "turn", "reply_to", F.coalesce("up2", "up").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"),
+                                       F.col("t").isNotNull().alias("moved"), *whole), f"threads-paths-{step}")
         step += 1
+    return found.select("conv_id", "turn", "reply_to", F.col("up").alias("thread"), "depth", *more)
 
-    found = paths.select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), "reply_to", F.col("path").alias("_path"))
+
+def conversations(messages: DataFrame, text: str = "text", path: bool = True) -> DataFrame:
+    """``messages``, all rows and columns, with body, quoted_lines, levels, reply_to, thread, depth and, unless turned off, path."""
+    own_columns = [c for c in messages.columns if c not in RESULT]
+    rows = materialize(parsed(messages.select(*own_columns), text), "threads-parsed")
+    found = ancestry(replies(rows), path).withColumnsRenamed({"conv_id": "_c", "turn": "_t"})
     rows = rows.join(found, (rows.conv_id == found._c) & (rows.turn == found._t), "left")
-    path = F.coalesce("_path", F.array("turn"))
-    return rows.select(*own_columns, "body", "quoted_lines", "levels", "reply_to", path[0].alias("thread"), (F.size(path) - 1).cast("long").alias("depth"), F.array_join(path.cast("array<string>"), "/").alias("path"))
+    written = [F.coalesce(F.array_join(F.col("path").cast("array<string>"), "/"), F.array_join(F.array(F.col("turn").cast("string")), "/")).alias("path")] if path else []
+    return rows.select(*own_columns, "body", "quoted_lines", "levels", "reply_to", F.coalesce("thread", "turn").alias("thread"),
+                       F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), *written)

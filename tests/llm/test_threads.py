@@ -44,6 +44,14 @@ def test_a_long_chain_of_quotes(spark):
     assert got[69].depth == 69 and got[69].path == "/".join(map(str, range(70))) and all(r.thread == 0 for r in got.values())
 
 
+def test_a_deep_thread_without_paths(spark):
+    chain = [(7, i, "user", (f"> line number {i - 1}\n" if i else "") + f"line number {i}") for i in range(300)] + MESSAGES
+    frame = threads.conversations(spark.createDataFrame(chain, SCHEMA), path=False)
+    assert not [f for f in frame.schema if f.dataType.typeName() == "array"] and "path" not in frame.columns
+    got = {(r.conv_id, r.turn): (r.thread, r.depth) for r in frame.collect()}
+    assert all(got[7, i] == (0, i) for i in range(300)) and got[1, 5] == (0, 3) and got[1, 4] == (4, 0) and got[2, None] == (None, 0)
+
+
 def test_passages_levels_and_latest(spark):
     data = [
         (1, 0, "user", "The quick brown fox\njumps over the lazy dog.\n\nSecond part of it"),
