@@ -17,8 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: ids that one order can give to its bouts; a prime, so that ids stay spread under any modulus
+#: ids next to each other that one order gives to its bouts; a prime, so that ids stay spread under any modulus
 PAIRS_PER_ORDER = 101
+#: suppliers of an order that one window numbers; larger orders are numbered in blocks
+BLOCK_BITS = 12
 
 
 def bout_core(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,31 +28,63 @@ def bout_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, f"bouts{sf_dir}", lambda: build_bouts(spark, sf_dir))
 
 
+def numbered(legs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``legs`` with ``rn``, the place from 0 in the order (ln, l_suppkey) of each l_orderkey: small orders and large ones.
+
+    Orders of up to 2**``BLOCK_BITS`` suppliers are numbered by one window.  Larger ones are counted at the levels block of
+    line numbers, line number, block of suppliers, so no window runs over a whole order; their ids (at most one for
+    2**``BLOCK_BITS`` rows) are the only thing that is broadcast.
+    """
+    large = legs.groupBy("l_orderkey").agg(F.count("*").alias("k")).filter(F.col("k") > 2 ** BLOCK_BITS).select("l_orderkey")
+    order = Window.partitionBy("l_orderkey").orderBy("ln", "l_suppkey")
+    small = legs.join(F.broadcast(large), "l_orderkey", "left_anti").withColumn("rn", F.row_number().over(order) - 1)
+
+    levels = ["l_orderkey", "_lines", "ln", "_supps"]
+    rows = legs.join(F.broadcast(large), "l_orderkey", "left_semi").withColumns(
+        {"_lines": F.shiftright("ln", BLOCK_BITS), "_supps": F.shiftright("l_suppkey", BLOCK_BITS)})
+    counts = [rows.groupBy(*levels).agg(F.count("*").alias("k"))]
+    for n in (3, 2):
+        counts.append(counts[-1].groupBy(*levels[:n]).agg(F.sum("k").alias("k")))
+    starts = None
+    for n, level in zip((2, 3, 4), reversed(counts), strict=True):
+        before = Window.partitionBy(*levels[:n - 1]).orderBy(levels[n - 1]).rowsBetween(Window.unboundedPreceding, -1)
+        level = level.select(*levels[:n], F.coalesce(F.sum("k").over(before), F.lit(0)).alias("start"))
+        if starts is not None:
+            above = starts.withColumnRenamed("start", "above")
+            level = level.join(above, levels[:n - 1]).select(*levels[:n], (F.col("start") + F.col("above")).alias("start"))
+        starts = level
+    inside = F.row_number().over(Window.partitionBy(*levels).orderBy("l_suppkey"))
+    placed = rows.withColumn("_in", inside).join(starts, levels).select(*legs.columns, (F.col("_in") - 1 + F.col("start")).alias("rn"))
+    return small.withColumn("rn", F.col("rn").cast("long")), placed
+
+
 def build_bouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per bout: suppliers of an order meet in pairs (1-2, 3-4, ..), the larger sum wins.
 
     Lines are summed per (order, supplier) before the shuffle, so an order with any number of lines stays small.  The
-    two sides are paired by an aggregate on the same partitioning, without a self join.  A last supplier without an
-    opponent has no bout.
+    two sides are paired by an aggregate, without a self join.  A last supplier without an opponent has no bout.
+
+    Ids: order * 101 + pair for the first 101 pairs of an order; each next 101 pairs are moved on by the ids of all orders,
+    so ids are unique for any number of pairs (those beyond the first 101 change when a larger order key comes in).
     """
     lines = table(spark, sf_dir, "lineitem")
     legs = lines.groupBy("l_orderkey", "l_suppkey").agg(
         F.min("l_linenumber").alias("ln"),
         F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("score"))
-    order = Window.partitionBy("l_orderkey").orderBy("ln", "l_suppkey")
-    placed = legs.withColumn("rn", F.row_number().over(order) - 1).withColumn("pair", F.floor(F.col("rn") / 2))
     first = F.col("rn") % 2 == 0
-    pairs = placed.groupBy("l_orderkey", "pair").agg(
+    small, large = [placed.groupBy("l_orderkey", F.floor(F.col("rn") / 2).alias("pair")).agg(
         F.max(F.when(first, F.col("l_suppkey"))).alias("a_id"),
         F.max(F.when(~first, F.col("l_suppkey"))).alias("b_id"),
         F.max(F.when(first, F.col("score"))).alias("a_score"),
         F.max(F.when(~first, F.col("score"))).alias("b_score"),
-    ).filter(F.col("b_id").isNotNull())
+    ).filter(F.col("b_id").isNotNull()) for placed in numbered(legs)]
+    pairs = small.unionByName(large)
     orders = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"), F.to_date("o_orderdate").alias("bout_date"),
         F.col("o_orderpriority").alias("priority"), "o_custkey", "o_totalprice")
-    many = F.raise_error(F.lit("an order has more pairs than ids")).cast("bigint")
-    number = F.when(F.col("pair") < PAIRS_PER_ORDER, F.col("l_orderkey") * PAIRS_PER_ORDER + F.col("pair")).otherwise(many)
+    span = (lines.agg(F.max("l_orderkey").cast("long")).scalar() + 1) * PAIRS_PER_ORDER
+    number = F.col("l_orderkey") * PAIRS_PER_ORDER + F.col("pair") % PAIRS_PER_ORDER
+    number = F.when(F.col("pair") < PAIRS_PER_ORDER, number).otherwise(number + F.floor(F.col("pair") / PAIRS_PER_ORDER) * span)
     joined = pairs.join(orders, "l_orderkey").withColumn("bout_id", number)
     i = F.col("bout_id")
     side = F.when(F.col("a_score") > F.col("b_score"), "a").when(F.col("b_score") > F.col("a_score"), "b")
@@ -70,10 +104,10 @@ def derived(i: Column, priority: Column) -> dict[str, Column]:
     rounds = F.when(priority == "1-URGENT", 5).otherwise(3)
     return {
         "round": (1 + i % rounds).cast("int"),
-        "odds_a": F.when(stub, F.lit(1.85)).otherwise((105 + i * 31 % 400) / 100.0),
-        "odds_b": F.when(stub, F.lit(1.85)).otherwise((105 + i * 53 % 400) / 100.0),
+        "odds_a": F.when(stub, F.lit(1.85)).otherwise((105 + i % 400 * 31 % 400) / 100.0),
+        "odds_b": F.when(stub, F.lit(1.85)).otherwise((105 + i % 400 * 53 % 400) / 100.0),
         "blind_pick": F.when(i % 5 <= 1, "X").when(i % 5 <= 3, "Y"),
-        "blind_conf": (50 + i * 7 % 45).cast("int"),
+        "blind_conf": (50 + i % 45 * 7 % 45).cast("int"),
         "held_out": (i % 10 == 3).cast("int"),
     }
 
