@@ -9,6 +9,7 @@ from boutlens.catalog import sqlkit as Q
 from boutlens.functions.numbers import r6
 from boutlens.operators import entities as EN
 from boutlens.operators import odds as OD
+from boutlens.session import materialize
 from boutlens.sources import tables
 
 ALIASES = ["s_name", "CASE WHEN s_suppkey % 3 = 0 THEN 'The Боец ''' ELSE 'Боец ' END || s_suppkey", "CASE WHEN s_suppkey % 2 = 0 THEN 'Б''оец ' ELSE 'Fighter ' END || s_suppkey"]
@@ -175,10 +176,11 @@ def feed(spark, d):
 def odds_match(spark, d):
     fights = tables.bouts(spark, d).select("bout_id", "fighter_a", "fighter_b")
     names = fights.select(F.col("fighter_a").alias("name")).union(fights.select("fighter_b"))
-    no_dictionary = entities(spark, d).filter("false")
     f = feed(spark, d)
     teams = f.select(F.col("home_team").alias("team")).union(f.select("away_team"))
-    matches = OD.match_names(EN.variants(names, no_dictionary), teams)
+    variants = materialize(EN.variants(names, entities(spark, d)), "odds-variants")
+    matches = materialize(OD.match_names(variants, teams), "odds-matches")
+    matches = matches.unionByName(OD.match_similar(variants, teams, matches))
     out = OD.match_fights(fights, f, matches)
     return out.select("bout_id", F.coalesce("feed_pos", F.lit(-1)).alias("feed_pos"), F.coalesce("reversed", F.lit(-1)).alias("reversed"),
                       F.coalesce("odds_a", F.lit(1.85)).alias("odds_a"), F.coalesce("odds_b", F.lit(1.85)).alias("odds_b"))
