@@ -22,3 +22,14 @@ def query(name: str, sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: the table of the checksum CRC-32 for SQL twins, as a common table expression
+CRC_TABLE = """crc AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab)"""
+
+
+def crc_of(number: str) -> str:
+    """SQL for the unsigned CRC-32 of an integer's decimal text, where `CRC_TABLE` is in scope."""
+    digits = f"list_transform(string_split(CAST({number} AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295, {digits}), lambda c, b: xor(c >> 8, tab[xor(c & 255, b) + 1])), 4294967295)"
