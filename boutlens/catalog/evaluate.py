@@ -13,9 +13,11 @@ from boutlens.functions.numbers import confidence_factor, r6
 from boutlens.operators import dataset as DS
 from boutlens.operators import evaluate as E
 from boutlens.operators import features as X
+from boutlens.operators import models as M
 from boutlens.operators import scoring as S
 from boutlens.operators.history import latest
-from boutlens.plans import flows, training
+from boutlens.plans import flows, periods, training
+from boutlens.session import materialize
 from boutlens.sources import tables
 
 MARKET = "CASE WHEN odds_a <= odds_b THEN fighter_a ELSE fighter_b END"
@@ -166,11 +168,100 @@ def backtest_card(spark, d):
     return out.select(F.date_format("bout_date", "yyyy-MM-dd").alias("card"), "total", "hits", r6(F.col("accuracy")).alias("accuracy"))
 
 
-@query("prequential_eval", Q.with_(["blindscored"], f"""SELECT month, total, hits, accuracy, CAST(sum(total) OVER (ORDER BY month) AS BIGINT) // 150 AS batches_done FROM
-  (SELECT strftime(bout_date, '%Y-%m') AS month, {_acc()} FROM (SELECT bout_date, CASE WHEN pred_winner = winner THEN 1 ELSE 0 END AS c FROM blindscored) GROUP BY 1)"""))
+_PER = f"""
+w0 AS (SELECT {Q.lst(flows.FIXED_WEIGHTS)} AS w, [{', '.join(f'd{j}' for j in range(K.WIDTH))}] AS sd FROM scaling),
+per AS (SELECT period, min(seq) AS start, count(*) AS n FROM (SELECT strftime(bout_date, '%Y-%m') AS period, row_number() OVER (ORDER BY bout_date, bout_id) AS seq FROM feats) GROUP BY 1),
+placed AS MATERIALIZED (SELECT f.*, per.period, seq, n, (seq - start) // {K.BATCH_TRAIN_SIZE} AS batch,
+  {FACTOR_SQL.replace('blind_', 'f.blind_')} AS factor, CASE WHEN winner_side = 'a' THEN 1 ELSE 0 END AS label
+  FROM (SELECT *, row_number() OVER (ORDER BY bout_date, bout_id) AS seq FROM feats) f JOIN per ON per.period = strftime(bout_date, '%Y-%m')),
+hd AS (SELECT period, batch, start - 1 + {K.BATCH_TRAIN_SIZE} * (batch + 1) - {K.RECENT_WINDOW} AS h FROM (SELECT *, unnest(range(n // {K.BATCH_TRAIN_SIZE})) AS batch FROM per)),
+tick AS (SELECT *, ('0x' || substr(md5('{K.TRAIN_SEED}|' || period || '|' || batch || '|' || i), 1, 13))::BIGINT AS t
+  FROM (SELECT *, unnest(CASE WHEN h > {periods.SORTED} THEN range({periods.DRAWS}) ELSE range(1, h + 1) END) AS i FROM hd WHERE h > 0)),
+drawn AS (SELECT period, batch, seq FROM (SELECT period, batch, seq, row_number() OVER (PARTITION BY period, batch ORDER BY k, seq) AS rn FROM
+  (SELECT period, batch, CASE WHEN h > {periods.SORTED} THEN t % h + 1 ELSE i END AS seq, min(CASE WHEN h > {periods.SORTED} THEN i ELSE t END) AS k FROM tick GROUP BY ALL)) WHERE rn <= {K.HISTORICAL_TARGET}),
+tr AS MATERIALIZED (SELECT period, batch, {K.FRESH_WEIGHT}::DOUBLE * factor AS sw, label, {', '.join(K.FEATURE_NAMES)} FROM placed WHERE batch < n // {K.BATCH_TRAIN_SIZE}
+  UNION ALL SELECT d.period, d.batch, {K.HISTORICAL_WEIGHT}::DOUBLE * factor, label, {', '.join(K.FEATURE_NAMES)} FROM drawn d JOIN placed USING (seq)),
+zst AS (SELECT period, batch, {', '.join(f'avg({n}) AS m{j}, greatest(stddev_pop({n}), 1e-8::DOUBLE) AS d{j}' for j, n in enumerate(K.FEATURE_NAMES))} FROM tr GROUP BY ALL),
+zs AS MATERIALIZED (SELECT period, batch, sw, label, [{', '.join(f'CAST({n} AS DOUBLE)' if j in K.UNSCALED else f'({n} - m{j}) / d{j}' for j, n in enumerate(K.FEATURE_NAMES))}] AS z FROM tr JOIN zst USING (period, batch)),
+mask AS MATERIALIZED (SELECT ep, list_transform(range({K.WIDTH}), lambda j: ('0x' || substr(md5('{K.TRAIN_SEED}|' || ep || '|' || j), 1, 8))::BIGINT / 4294967296.0::DOUBLE > {K.BASE_DROPOUT}::DOUBLE) AS keep FROM (SELECT unnest(range({K.EPOCHS})) AS ep))"""
+
+
+def _each(fn, over: str = "w") -> str:
+    """A list built from its elements w[j], one expression per feature."""
+    return "[" + ", ".join(fn(j, f"{over}[{j + 1}]") for j in range(K.WIDTH)) + "]"
+
+
+def _moved(j: int, w: str) -> str:
+    lr, decay = f"{K.LEARNING_RATE}::DOUBLE", f"{K.ALPHA}::DOUBLE * (1 - {K.L1_RATIO}::DOUBLE)"
+    if j in K.NO_DECAY:
+        out = f"{w} - {lr} * g[{j + 1}]"
+    else:
+        out = f"{w} - {lr} * (g[{j + 1}] + {decay} * {w})"
+        zone = f"{K.DEAD_ZONE}::DOUBLE"
+        out = f"CASE WHEN abs({out}) < {zone} THEN CASE WHEN {out} >= 0 THEN {zone} ELSE -{zone} END ELSE {out} END"
+    out = f"CASE WHEN keep[{j + 1}] THEN {out} ELSE {w} END"
+    if j in K.POSITIVE_ONLY:
+        out = f"greatest({out}, {K.POSITIVE_FLOOR}::DOUBLE)"
+    if j == 10:
+        out = f"greatest({out}, {-K.NAMED_LIMITS[10]}::DOUBLE)"
+    if j == 32:
+        out = f"greatest({-K.NAMED_LIMITS[32]}::DOUBLE, least({K.NAMED_LIMITS[32]}::DOUBLE, {out}))"
+    return out
+
+
+def _guarded(j: int, w: str) -> str:
+    old, sd = f"old[{j + 1}]", f"sd[{j + 1}]"
+    half = f"CASE WHEN abs({w} - {old}) > {K.STEP_MIN}::DOUBLE THEN {old} + ({w} - {old}) * {K.STEP_SHARE}::DOUBLE ELSE {old} END"
+    spread = f"{K.ADAPTIVE_CLIP}::DOUBLE / (CASE WHEN {sd} < 1e-8 THEN 1.0::DOUBLE ELSE {sd} END + 1e-8::DOUBLE)"
+    out = f"greatest(-({spread}), least({spread}, {half}))"
+    for limit in [M._LIMITS[j]] if j in M._LIMITS else []:
+        out = f"greatest({-limit}::DOUBLE, least({limit}::DOUBLE, {out}))"
+    if j in M._FLOORS:
+        out = f"greatest({M._FLOORS[j]}::DOUBLE, {out})"
+    return f"greatest({-K.AGE_LIMIT}::DOUBLE, least({K.AGE_LIMIT}::DOUBLE, {out}))" if j in K.UNSCALED else out
+
+
+def _lifted(j: int, w: str) -> str:
+    return f"CASE WHEN abs({w}) < lift THEN CASE WHEN {w} >= 0 THEN lift ELSE -lift END ELSE {w} END"
+
+
+def _paired(j: int, w: str) -> str:
+    if j not in M._PARTNER:
+        return w
+    bound, other = f"{M._PAIR_BOUND[j]}::DOUBLE", f"w[{M._PARTNER[j] + 1}]"
+    clip = lambda x: f"greatest(-{bound}, least({bound}, {x}))"
+    small = clip(f"{w} * ({bound} / greatest(abs({w}), abs({other})))")
+    return f"CASE WHEN abs({w}) <= {bound} THEN {w} WHEN abs({other}) <= {bound} THEN {clip(w)} WHEN abs({w} - {small}) > 0.0001 THEN {small} ELSE {w} END"
+
+
+#: one step per epoch; the last one of a batch also makes the guarded half step from the weights that the batch began with
+PREQUENTIAL_SQL = Q.with_(["scaling"], "").rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + "," + _PER + f""",
+rec(period, batch, ep, old, w, b) AS (SELECT period, 0::BIGINT, 0::BIGINT, w, w, {flows.FIXED_BIAS}::DOUBLE FROM per, w0
+  UNION ALL
+  SELECT period, batch + fin, CASE WHEN fin = 1 THEN 0 ELSE ep + 1 END, CASE WHEN fin = 1 THEN done ELSE old END, CASE WHEN fin = 1 THEN done ELSE w END,
+    CASE WHEN fin = 1 THEN CASE WHEN abs(b) <= {K.BIAS_RESET} THEN greatest({-K.BIAS_LIMIT}::DOUBLE, least({K.BIAS_LIMIT}::DOUBLE, b)) ELSE 0 END ELSE b END
+  FROM (SELECT period, batch, ep, fin, old, raw AS w, b, {_each(_paired)} AS done FROM
+   (SELECT *, w AS raw_, {_each(_lifted)} AS w2 FROM
+    (SELECT *, greatest(list_sum(list_transform(w, lambda x: abs(x))) / {K.WIDTH} * 0.01, 0.00001::DOUBLE) AS lift FROM
+     (SELECT period, batch, ep, fin, old, w AS raw, b, {_each(_guarded)} AS w FROM
+      (SELECT period, batch, ep, CASE WHEN ep = {K.EPOCHS - 1} THEN 1 ELSE 0 END AS fin, old, sd, {_each(_moved)} AS w, b - {K.LEARNING_RATE}::DOUBLE * se AS b FROM
+       (SELECT period, batch, ep, any_value(old) AS old, any_value(w) AS w, any_value(b) AS b, sum(e) / count(*) AS se, {_each(lambda j, z: f'sum(e * {z}) / count(*)', 'z')} AS g FROM
+        (SELECT rec.*, z, (1.0 / (1.0 + exp(-greatest(-500.0::DOUBLE, least(500.0::DOUBLE, list_dot_product(z, w) + b)))) - label) * sw AS e FROM rec JOIN zs USING (period, batch)) GROUP BY period, batch, ep)
+       JOIN mask USING (ep), (SELECT sd FROM w0)))))
+    t(period, batch, ep, fin, old, raw, b, before, lift, raw_, w)))
+SELECT period AS month, batch, CAST(count(*) AS BIGINT) AS total, CAST(sum(c) AS BIGINT) AS hits, {Q.r6('sum(c) * 100.0::DOUBLE / count(*)')} AS accuracy, {Q.r6('max(size)')} AS weight_sum
+FROM (SELECT period, batch, list_sum(list_transform(w, lambda x: abs(x))) AS size, CASE WHEN winner_side IS NOT NULL AND
+  ({' + '.join(f'{Q.scaled(j)} * w[{j + 1}]' for j in range(K.WIDTH))} + b > 0) = (winner_side = 'a') THEN 1 ELSE 0 END AS c
+  FROM placed JOIN scaling ON true JOIN rec USING (period, batch) WHERE ep = 0) GROUP BY ALL"""
+
+
+@query("prequential_eval", PREQUENTIAL_SQL)
 def prequential_eval(spark, d):
-    out = E.prequential(_neutral(spark, d), K.BATCH_TRAIN_SIZE)
-    return out.select("month", "total", "hits", r6(F.col("accuracy")).alias("accuracy"), "batches_done")
+    """Every month from the stored model: each batch of 150 is scored with the weights that the batch before left."""
+    rows, models = periods.train_periods(flows.bout_features(spark, d), fixed_model(spark, d))
+    sizes = models.select("period", "batch", F.aggregate("weights", F.lit(0.0), lambda s, w: s + F.abs(w)).alias("weight_sum"))
+    out = E.hit_counts(_raw_hits(rows), ["period", "batch"]).join(sizes, ["period", "batch"])
+    return out.select(F.col("period").alias("month"), "batch", "total", "hits", r6(F.col("accuracy")).alias("accuracy"), r6(F.col("weight_sum")).alias("weight_sum"))
 
 
 BATCH_CTES = Q.with_(["feats"], "").rstrip() + f""",
@@ -206,15 +297,21 @@ def gradient_step(spark, d):
     return out.select("idx", F.col("z.name").alias("name"), r6(F.col("z.g")).alias("gradient"))
 
 
+def fixed_model(spark, d):
+    """One row (model_id, weights, bias, means, stds): the fixed weights with the scaling of all bouts."""
+    scaling = X.scaling_stats(flows.bout_features(spark, d))
+    weights = F.array(*[F.lit(float(w)) for w in flows.FIXED_WEIGHTS])
+    return scaling.select(F.lit(0).alias("model_id"), weights.alias("weights"), F.lit(flows.FIXED_BIAS).alias("bias"), "scaling.means", "scaling.stds")
+
+
 @query("fit_model")
 def fit_model(spark, d):
     """100 epochs on the training batch, then the guarded half step.  Iterative, so rows only."""
     feats = flows.bout_features(spark, d)
-    scaling = X.scaling_stats(feats).first()["scaling"]
-    model = {"weights": list(flows.FIXED_WEIGHTS), "bias": flows.FIXED_BIAS, "means": list(scaling["means"]), "stds": list(scaling["stds"])}
-    out = training.train_incremental(feats, feats.filter("held_out = 1"), model, pending=100, best_accuracy=0.5)
-    rows = [(i, n, float(w), float(out["bias"]), float(out["accuracy"]), int(out["promoted"])) for i, (n, w) in enumerate(zip(K.FEATURE_NAMES, out["weights"]))]
-    return spark.createDataFrame(rows, "idx int, name string, weight double, bias double, accuracy double, promoted int")
+    out = training.train_incremental(feats, feats.filter("held_out = 1"), materialize(fixed_model(spark, d), "model"), pending=100, best_accuracy=0.5)
+    names = F.array(*[F.lit(n) for n in K.FEATURE_NAMES])
+    out = out.select("bias", "accuracy", F.col("promoted").cast("int").alias("promoted"), F.posexplode_outer(F.arrays_zip(names.alias("name"), F.col("weights").alias("weight"))).alias("idx", "z"))
+    return out.select("idx", "z.name", "z.weight", "bias", "accuracy", "promoted")
 
 
 @query("wrong_predictions", Q.with_(["scored"], "SELECT bout_id, fighter_a, fighter_b, pred_winner AS predicted, winner AS fact FROM scored WHERE pred_winner <> winner"))

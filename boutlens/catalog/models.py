@@ -12,7 +12,7 @@ from boutlens.operators import dataset as DS
 from boutlens.operators import features as X
 from boutlens.operators import models as M
 from boutlens.operators.history import latest
-from boutlens.plans import flows
+from boutlens.plans import flows, training
 from boutlens.sources import tables
 
 NAMES = Q.lst(K.FEATURE_NAMES)
@@ -174,9 +174,7 @@ def weights_update(spark, d):
 
 def eval_rows(spark, d):
     """The evaluation slice as one scalar: an array of at most 100 (features, a_won)."""
-    rows = DS.eval_slice(flows.bout_features(spark, d))
-    one = F.struct(F.array(*K.FEATURE_NAMES).alias("x"), (F.col("winner_side") == "a").alias("a_won"))
-    return rows.agg(F.collect_list(one).alias("rows"))
+    return training.slice_rows(flows.bout_features(spark, d))
 
 
 _XS = "[" + ", ".join(f"CAST({n} AS DOUBLE)" for n in K.FEATURE_NAMES) + "]"

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import random
+import hashlib
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,72 +50,82 @@ def gradient(batch: DataFrame, weights: list[float], bias: float) -> DataFrame:
                   F.expr("count_if(_hit) / count(*)").alias("train_accuracy"))
 
 
-def _step(weights: list[float], grad: list[float], rng: random.Random) -> list[float]:
-    """One update of 46 numbers: dropout mask, decay, dead zone, floors, two limits."""
-    mask = [rng.random() > K.BASE_DROPOUT for _ in weights]
-    for j in K.ENRICHED:
-        mask[j] = rng.random() > K.ENRICHED_DROPOUT
-    out = []
-    for j, (w, g, on) in enumerate(zip(weights, grad, mask)):
-        if on and j in K.NO_DECAY:
-            w -= K.LEARNING_RATE * g
-        elif on:
-            w -= K.LEARNING_RATE * (g + K.ALPHA * (1 - K.L1_RATIO) * w)
-            if abs(w) < K.DEAD_ZONE:
-                w = K.DEAD_ZONE if w >= 0 else -K.DEAD_ZONE
-        if j in K.POSITIVE_ONLY:
-            w = max(w, K.POSITIVE_FLOOR)
-        if j == 10:
-            w = max(w, -K.NAMED_LIMITS[10])
-        if j == 32:
-            w = max(-K.NAMED_LIMITS[32], min(K.NAMED_LIMITS[32], w))
-        out.append(w)
-    return out
-
-
-def fit(batch: DataFrame, weights: list[float], bias: float, epochs: int = K.EPOCHS, seed: int = K.TRAIN_SEED):
-    """Full-batch gradient descent.  Each epoch is one distributed aggregate over the batch.
-
-    Only 48 numbers per epoch reach the driver, whatever the size of the batch.  The
-    batch is written once beforehand.  Returns weights, bias and the accuracy history.
+def keep_masks(epochs: int = K.EPOCHS, seed: int = K.TRAIN_SEED) -> np.ndarray:
+    """Which features learn in which epoch.  Each draw is a hash of (seed, epoch, feature), so that every engine draws the same."""
+    rate = [K.ENRICHED_DROPOUT if j in K.ENRICHED else K.BASE_DROPOUT for j in range(K.WIDTH)]
+    return np.array([[int(hashlib.md5(f"{seed}|{e}|{j}".encode()).hexdigest()[:8], 16) / 2**32 > rate[j] for j in range(K.WIDTH)] for e in range(epochs)]).reshape(epochs, K.WIDTH)
+
+
+def descend(x: np.ndarray, label: np.ndarray, weight: np.ndarray, start: np.ndarray, bias: float, keep: np.ndarray) -> tuple[np.ndarray, float, list[float]]:
+    """Weights, bias and the accuracy at each 50th epoch after full-batch descent over the rows of one batch.
+
+    Features are scaled by the batch's own statistics; decay, dead zone, floors and two limits as in the constants.
     """
-    data = materialize(batch, "training-batch")
-    rng, history = random.Random(seed), []
-    weights = list(weights)
-    for epoch in range(epochs):
-        row = gradient(data, weights, bias).first()
-        weights = _step(weights, row["gradient"], rng)
-        bias -= K.LEARNING_RATE * row["error"]
-        if (epoch + 1) % 50 == 0:
-            history.append((epoch + 1, row["train_accuracy"]))
-    return weights, bias, history
-
-
-def train_incremental(features: DataFrame, holdout: DataFrame, model: dict, pending: int, best_accuracy: float,
-                      epochs: int = K.EPOCHS, seed: int = K.TRAIN_SEED) -> dict:
-    """One batch cycle: sample, fit, guarded half step, evaluate on the slice, accept or not.
-
-    ``model``: weights, bias, means, stds.  Fewer than ten rows: no training.  The current version is always returned;
-    ``promoted`` says whether it beats the best accuracy so far.
+    scaled = (x - x.mean(axis=0)) / np.maximum(x.std(axis=0), 1e-8)
+    scaled[:, K.UNSCALED] = x[:, K.UNSCALED]
+    index = np.arange(K.WIDTH)
+    decay = np.where(np.isin(index, K.NO_DECAY), 0.0, K.ALPHA * (1 - K.L1_RATIO))
+    zone = np.where(np.isin(index, K.NO_DECAY), 0.0, K.DEAD_ZONE)
+    floor = np.where(np.isin(index, K.POSITIVE_ONLY), K.POSITIVE_FLOOR, -np.inf)
+    floor[10] = max(floor[10], -K.NAMED_LIMITS[10])
+    w, history = np.array(start, float), []
+    for epoch, on in enumerate(keep, 1):
+        p = 1.0 / (1.0 + np.exp(-np.clip(scaled @ w + bias, -500.0, 500.0)))
+        error = (p - label) * weight
+        moved = w - K.LEARNING_RATE * (error @ scaled / len(x) + decay * w)
+        moved = np.where(np.abs(moved) < zone, np.where(moved >= 0, zone, -zone), moved)
+        w = np.maximum(np.where(on, moved, w), floor)
+        w[32] = np.clip(w[32], -K.NAMED_LIMITS[32], K.NAMED_LIMITS[32])
+        bias -= K.LEARNING_RATE * float(error.sum()) / len(x)
+        if epoch % 50 == 0:
+            history.append(float(np.mean((p > 0.5) == (label == 1))))
+    return w, bias, history
+
+
+def fit_groups(rows: DataFrame, models: DataFrame, key: str, epochs: int = K.EPOCHS, seed: int = K.TRAIN_SEED) -> DataFrame:
+    """``models`` (key, weights, bias) with new_weights, new_bias and train_accuracy after training on the rows of their key.
+
+    A key's rows are one training batch (label, sample_weight, features): some two hundred rows by the rules of
+    `training_sample`, so each batch is the work of one task and batches of many models train side by side.
+    """
+    keep = keep_masks(epochs, seed)
+
+    def run(batch: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        if not len(model):
+            return pd.DataFrame(columns=[key, "new_weights", "new_bias", "train_accuracy"])
+        w, b, history = np.array(model["weights"][0], float), float(model["bias"][0]), []
+        if len(batch):
+            # a fixed order of the rows fixes the order of the sums
+            batch = batch.sort_values([*K.FEATURE_NAMES, "label", "sample_weight"])
+            w, b, history = descend(batch[K.FEATURE_NAMES].to_numpy(float), batch["label"].to_numpy(float), batch["sample_weight"].to_numpy(float), w, b, keep)
+        return pd.DataFrame({key: model[key][:1], "new_weights": [w.tolist()], "new_bias": [b], "train_accuracy": [history]})
+
+    kind = models.schema[key].dataType.simpleString()
+    out = rows.select(key, "label", "sample_weight", *K.FEATURE_NAMES).groupBy(key).cogroup(models.select(key, "weights", "bias").groupBy(key))
+    return models.join(out.applyInPandas(run, f"{key} {kind}, new_weights array<double>, new_bias double, train_accuracy array<double>"), key)
+
+
+def train_incremental(features: DataFrame, holdout: DataFrame, models: DataFrame, pending: int, best_accuracy: float,
+                      epochs: int = K.EPOCHS, seed: int = K.TRAIN_SEED) -> DataFrame:
+    """One batch cycle for each of ``models`` (model_id, weights, bias, means, stds): sample, fit, guarded half step, evaluation, verdict.
+
+    Under ten rows nothing is trained: status is "too few bouts" and the model comes back as it was.  ``promoted`` says whether the
+    trained model beats the best accuracy so far.
     """
-    spark = features.sparkSession
     batch = materialize(training_batch(features, holdout, pending, seed), "batch")
-    if batch.count() < 10:
-        return {**model, "status": "too few bouts", "promoted": False}
-    new_w, new_b, history = fit(scaled_batch(batch, X.scaling_stats(batch, batch=True)), model["weights"], model["bias"], epochs, seed)
-    one = spark.createDataFrame(
-        [(0, model["weights"], model["means"], model["stds"], new_w, float(new_b))],
-        "model_id int, weights array<double>, means array<double>, stds array<double>, new_weights array<double>, new_bias double")
-    row = M.update_weights(one).select("updated", "updated_bias").first()
-    after = {**model, "weights": list(row["updated"]), "bias": row["updated_bias"]}
-    accuracy = slice_accuracy(features, after)
-    return {**after, "status": "trained", "accuracy": accuracy, "promoted": accuracy / 100.0 > best_accuracy, "history": history}
-
-
-def slice_accuracy(features: DataFrame, model: dict) -> float:
-    """Accuracy in percent on the evaluation slice; under 5 rows in the data set it is 0."""
-    rows = DS.eval_slice(features)
-    p = S.predict_proba([float(w) for w in model["weights"]], float(model["bias"]), model["means"], model["stds"])
-    hit = F.coalesce(((p > 0.5) == (F.col("winner_side") == "a")) & F.col("winner_side").isNotNull(), F.lit(False))
-    got = rows.agg(F.count("*").alias("n"), F.count_if(hit).alias("hits")).first()
-    return got["hits"] * 100.0 / got["n"] if got["n"] >= 5 else 0.0
+    enough = F.lit(batch.count() >= 10)
+    rows = batch.select("label", "sample_weight", *K.FEATURE_NAMES, F.explode(models.agg(F.collect_set("model_id")).scalar()).alias("model_id"))
+    after = M.update_weights(fit_groups(rows, models, "model_id", epochs, seed)).select(
+        "model_id", F.when(enough, F.col("updated")).otherwise(F.col("weights")).alias("weights"), F.when(enough, F.col("updated_bias")).otherwise(F.col("bias")).alias("bias"),
+        "means", "stds", F.when(enough, F.col("train_accuracy")).alias("train_accuracy"))
+    after = materialize(after, "trained")
+    rated = M.accuracy_on_slice(after, slice_rows(features))
+    accuracy = F.when(slice_rows(features).select(F.size("rows")).scalar() >= 5, F.col("slice_accuracy")).otherwise(0.0)
+    return after.join(rated, "model_id").withColumns({
+        "status": F.when(enough, "trained").otherwise("too few bouts"), "accuracy": accuracy, "promoted": enough & (accuracy / 100.0 > best_accuracy)}).drop("slice_accuracy")
+
+
+def slice_rows(features: DataFrame) -> DataFrame:
+    """The evaluation slice as one scalar ``rows``: an array of at most 100 (x, a_won)."""
+    one = F.struct(F.array(*K.FEATURE_NAMES).alias("x"), (F.col("winner_side") == "a").alias("a_won"))
+    return DS.eval_slice(features).agg(F.collect_list(one).alias("rows"))

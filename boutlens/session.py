@@ -46,16 +46,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _FALLBACK[app]
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, *partition: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Used where one result feeds several passes: it cuts the lineage, survives the
-    loss of executors, and keeps column pruning for the readers.  Runs one job.
+    loss of executors, and keeps column pruning for the readers.  Runs one job.  With ``partition``, readers that filter
+    on these columns open only their folders.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/boutlens/{label}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(*partition) if partition else writer).parquet(path)
+    # a partitioned table without rows has no file that tells its columns
+    return spark.read.schema(df.schema).parquet(path) if partition else spark.read.parquet(path)
 
 
 def discard(*frames: DataFrame) -> None:
