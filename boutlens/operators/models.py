@@ -105,19 +105,20 @@ def frozen(old: Column, new: Column) -> Column:
     return F.filter(idx, lambda i: i.isNotNull())
 
 
-def _pair_fix(w: Column, other: Column | None, bound: float | None) -> Column:
-    if other is None:
-        return w
-    limit = F.lit(bound)
+def _pair_fix(w: Column, other: Column, limit: Column) -> Column:
     shrunk = _clip(w * (limit / F.greatest(F.abs(w), F.abs(other))), limit)
-    return (F.when(F.abs(w) <= limit, w).when(F.abs(other) <= limit, _clip(w, limit))
+    return (F.when(limit.isNull() | (F.abs(w) <= limit), w).when(F.abs(other) <= limit, _clip(w, limit))
             .otherwise(F.when(F.abs(w - shrunk) > 0.0001, shrunk).otherwise(w)))
 
 
 def constrain_pairs(weights: str) -> Column:
-    """Pair limits.  One weight out: clip it.  Both out: shrink both by one factor, then clip."""
-    at = [F.get(weights, F.lit(j)) for j in range(K.WIDTH)]
-    return F.array(*[_pair_fix(at[j], at[_PARTNER[j]] if j in _PARTNER else None, _PAIR_BOUND.get(j)) for j in range(K.WIDTH)])
+    """Pair limits.  One weight out: clip it.  Both out: shrink both by one factor, then clip.
+
+    Each weight is zipped with its partner and their bound, so one short rule serves all 46.
+    """
+    partners = F.array(*[F.get(weights, F.lit(_PARTNER[j])) if j in _PARTNER else F.lit(None).cast("double") for j in range(K.WIDTH)])
+    zipped = F.arrays_zip(F.col(weights).alias("w"), partners.alias("other"), _table(_PAIR_BOUND).alias("bound"))
+    return F.transform(zipped, lambda z: _pair_fix(z["w"], z["other"], z["bound"]))
 
 
 def pair_rows(df: DataFrame) -> DataFrame:
@@ -140,10 +141,6 @@ def limit_hits(weights: Column) -> Column:
     return F.filter(at, lambda n: n.isNotNull())
 
 
-def _unpack(arr: str, prefix: str) -> list[Column]:
-    return [F.get(arr, F.lit(j)).alias(f"{prefix}{j}") for j in range(K.WIDTH)]
-
-
 def update_weights(df: DataFrame) -> DataFrame:
     """Move stored weights half way to ``new_weights`` and apply every guard, in this order.
 
@@ -151,52 +148,35 @@ def update_weights(df: DataFrame) -> DataFrame:
     lift off zero, repair of NaN, pair limits.  The order is part of the result: the
     lift may undo an earlier limit.  The bias is reset beyond 0.3, then kept in +-0.05.
 
-    The arrays are unpacked into scalar columns: each stage is then compiled code over
-    named columns, where nested array lambdas would be expanded into one another and
-    evaluated again for every element.
+    Each stage zips what a weight needs into one array and maps a short rule over it.  What is one value for all weights
+    (the lift) is repeated into the zip: inside a rule its definition would be evaluated again for every element.
     """
-    idx = range(K.WIDTH)
     keep = df.columns
-    df = df.select("*", *_unpack("weights", "_o"), *_unpack("new_weights", "_n"), *_unpack("stds", "_s"))
-
-    def staged(name: str, fn) -> list[Column]:
-        return [fn(j).alias(f"{name}{j}") for j in idx]
-
-    def half(j: int) -> Column:
-        o, d = F.col(f"_o{j}"), F.col(f"_n{j}") - F.col(f"_o{j}")
-        return F.when(~F.isnan(d) & (F.abs(d) > K.STEP_MIN), o + d * K.STEP_SHARE).otherwise(o)
-
-    def spread(j: int) -> Column:
-        sd = F.col(f"_s{j}")
-        return K.ADAPTIVE_CLIP / (F.when(sd < 1e-8, F.lit(1.0)).otherwise(sd) + 1e-8)
-
-    def guard(j: int) -> Column:
-        w = F.col(f"_b{j}")
-        if j in _LIMITS:
-            w = _clip(w, F.lit(_LIMITS[j]))
-        if j in _FLOORS:
-            w = _floor(w, F.lit(_FLOORS[j]))
-        return _clip(w, F.lit(K.AGE_LIMIT)) if j in K.UNSCALED else w
-
-    df = df.select("*", *staged("_a", half))
-    df = df.select("*", *staged("_b", lambda j: _clip(F.col(f"_a{j}"), spread(j))))
-    df = df.select("*", *staged("_c", guard))
-    total = sum((F.abs(F.col(f"_c{j}")) for j in idx), F.lit(0.0))
-    df = df.withColumn("_total", total)
+
+    def settle(z: Column) -> Column:
+        o, n, sd = z["o"], z["n"], z["s"]
+        half = F.when(~F.isnan(n - o) & (F.abs(n - o) > K.STEP_MIN), o + (n - o) * K.STEP_SHARE).otherwise(o)
+        spread = K.ADAPTIVE_CLIP / (F.when(sd < 1e-8, F.lit(1.0)).otherwise(sd) + 1e-8)
+        return _clip(_floor(_clip(_clip(half, spread), z["limit"]), z["floor"]), z["age"])
+
+    fixed = F.arrays_zip(F.col("weights").alias("o"), F.col("new_weights").alias("n"), F.col("stds").alias("s"), _table(_LIMITS).alias("limit"),
+                         _table(_FLOORS).alias("floor"), _table(dict.fromkeys(K.UNSCALED, K.AGE_LIMIT)).alias("age"))
+    df = df.withColumn("_c", F.transform(fixed, settle))
+    df = df.withColumn("_total", F.aggregate("_c", F.lit(0.0), lambda s, w: s + F.abs(w)))
     usable = ~F.isnan("_total") & (F.col("_total") > 0)
     df = df.withColumn("_lift", F.when(usable, F.greatest(F.col("_total") / K.WIDTH * 0.01, F.lit(0.00001))).otherwise(F.lit(0.0001)))
 
-    def lift_and_repair(j: int) -> Column:
-        w, new, least = F.col(f"_c{j}"), F.col(f"_n{j}"), F.col("_lift")
+    def lift_and_repair(z: Column) -> Column:
+        w, new, least = z["w"], z["n"], z["lift"]
         repaired = F.when(F.isnan(new), F.lit(0.001)).otherwise(new)
         return (F.when(F.isnan(w) | (F.abs(w) == float("inf")), repaired)
                 .when((F.abs(w) < least) & (w >= 0), least).when(F.abs(w) < least, -least).otherwise(w))
 
-    df = df.select("*", *staged("_w", lift_and_repair))
-    fixed = [_pair_fix(F.col(f"_w{j}"), F.col(f"_w{_PARTNER[j]}") if j in _PARTNER else None, _PAIR_BOUND.get(j)) for j in idx]
+    lifts = F.array_repeat("_lift", K.WIDTH)
+    df = df.withColumn("_w", F.transform(F.arrays_zip(F.col("_c").alias("w"), F.col("new_weights").alias("n"), lifts.alias("lift")), lift_and_repair))
     finite = ~F.isnan("new_bias") & (F.abs("new_bias") <= K.BIAS_RESET)
     bias = F.when(finite, F.greatest(F.lit(-K.BIAS_LIMIT), F.least(F.lit(K.BIAS_LIMIT), F.col("new_bias")))).otherwise(F.lit(0.0))
-    return df.select(*keep, F.array(*fixed).alias("updated"), bias.alias("updated_bias"))
+    return df.select(*keep, constrain_pairs("_w").alias("updated"), bias.alias("updated_bias"))
 
 
 def accuracy_on_slice(models: DataFrame, rows: DataFrame, prefix: str = "") -> DataFrame:
