@@ -112,22 +112,35 @@ def pick_by_index(spark, d):
     return DS.pick_positions(tables.bout_core(spark, d), "bout_date", "bout_id", [0, 2, 5, -1]).select("bout_id", "position")
 
 
-@query("lazy_impute", """SELECT s_suppkey, CASE WHEN reach = 0 THEN fill ELSE reach END AS reach_cm,
-  CASE WHEN camp IS NULL THEN coalesce(seg, 'none') ELSE camp END AS camp_name, needs FROM (
-  SELECT s.s_suppkey, CASE WHEN s.s_suppkey % 4 = 0 THEN 0 ELSE CAST(150 + s.s_suppkey % 76 AS INT) END AS reach,
-    CASE WHEN s.s_suppkey % 5 = 0 THEN NULL ELSE 'camp' END AS camp, 160 + c.c_nationkey AS fill, c.c_mktsegment AS seg,
-    CASE WHEN s.s_suppkey % 4 = 0 OR s.s_suppkey % 5 = 0 THEN 1 ELSE 0 END AS needs
-  FROM supplier s LEFT JOIN customer c ON c.c_custkey = s.s_suppkey)""")
+#: what the side records hold before imputation: gaps in each of the six fields
+_GAPS = {
+    "exp": "CASE WHEN bout_id % 3 = 0 THEN NULL ELSE CAST(fid % 20 AS INT) END",
+    "dob": "CASE WHEN fid % 4 = 0 THEN NULL ELSE CAST('1970-01-01' AS DATE) END",
+    "dob_quality": "CASE WHEN fid % 7 = 0 THEN 0 ELSE 1 END",
+    "camp_name": "CASE WHEN bout_id % 5 <> 0 THEN 'own camp' END",
+    "reach_cm": "CASE WHEN fid % 4 = 1 THEN 0 ELSE 180 END",
+    "height_cm": "CASE WHEN bout_id % 6 = 0 THEN NULL ELSE 175 END",
+}
+
+
+def _impute_sql() -> str:
+    gap = {k: f"({k} IS NULL{'' if k in ('dob', 'camp_name') else f' OR {k} = 0'})" for k in _GAPS}
+    own = ", ".join(f"{x} AS {k}" for k, x in _GAPS.items())
+    got = ", ".join(f"CASE WHEN {g} THEN coalesce(p_{k}, {k}) ELSE {k} END AS {k}" for k, g in gap.items() if k != "dob")
+    names = ", ".join(f"CASE WHEN {g} AND p_{k} IS NOT NULL THEN '{k}' END" for k, g in gap.items())
+    some = " OR ".join(f"({g} AND p_{k} IS NOT NULL)" for k, g in gap.items())
+    return f"""SELECT bout_id, fid, {got}, coalesce(strftime(CASE WHEN dob IS NULL THEN p_dob ELSE dob END, '%Y-%m-%d'), '') AS dob,
+      coalesce(array_to_string([{names}], ','), '') AS filled, coalesce(strftime(CASE WHEN {some} THEN day END, '%Y-%m-%d'), '') AS as_of
+      FROM (SELECT s.*, n.day, {', '.join(f'n.{k} AS p_{k}' for k in _GAPS)} FROM (SELECT bout_id, bout_date, fid, {own} FROM sides) s
+      ASOF LEFT JOIN profiles n ON n.fid = s.fid AND n.day <= s.bout_date - 1)"""
+
+
+@query("lazy_impute", Q.with_(["sides", "profiles"], _impute_sql()))
 def lazy_impute(spark, d):
-    k = F.col("s_suppkey")
-    side = tables.table(spark, d, "supplier").select(
-        k, F.when(k % 4 == 0, 0).otherwise((150 + k % 76).cast("int")).alias("reach_cm"), F.when(k % 5 != 0, "camp").alias("camp_name"))
-    extra = tables.table(spark, d, "customer").select(
-        F.col("c_custkey").alias("s_suppkey"), (160 + F.col("c_nationkey")).alias("f_reach"), F.col("c_mktsegment").alias("f_camp"))
-    df = side.withColumn("needs", R.needs_imputing({"r": F.col("reach_cm"), "c": F.col("camp_name")}).cast("int"))
-    df = df.join(extra, "s_suppkey", "left")
-    return df.select(k, R.impute(F.col("reach_cm"), F.col("f_reach")).alias("reach_cm"),
-                     F.coalesce(R.impute(F.col("camp_name"), F.col("f_camp")), F.lit("none")).alias("camp_name"), "needs")
+    sides = tables.bout_sides(tables.bout_core(spark, d)).select("bout_id", "bout_date", "fid", *[F.expr(x).alias(k) for k, x in _GAPS.items()])
+    out = R.impute_rows(sides, R.from_snapshots(tables.profiles(spark, d)))
+    return out.select("bout_id", "fid", *[k for k in _GAPS if k != "dob"], F.coalesce(F.date_format("dob", "yyyy-MM-dd"), F.lit("")).alias("dob"),
+                      F.array_join("filled", ",").alias("filled"), F.coalesce(F.date_format("filled_as_of", "yyyy-MM-dd"), F.lit("")).alias("as_of"))
 
 
 @query("holdout_anti", B("""SELECT bout_id, fight_key FROM bouts WHERE fight_key NOT IN (SELECT fight_key FROM bouts WHERE held_out = 1)"""))

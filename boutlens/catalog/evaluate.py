@@ -14,6 +14,7 @@ from boutlens.operators import dataset as DS
 from boutlens.operators import evaluate as E
 from boutlens.operators import features as X
 from boutlens.operators import models as M
+from boutlens.operators import records as R
 from boutlens.operators import scoring as S
 from boutlens.operators.history import latest
 from boutlens.plans import flows, periods, training
@@ -264,20 +265,48 @@ def prequential_eval(spark, d):
     return out.select(F.col("period").alias("month"), "batch", "total", "hits", r6(F.col("accuracy")).alias("accuracy"), r6(F.col("weight_sum")).alias("weight_sum"))
 
 
-BATCH_CTES = Q.with_(["feats"], "").rstrip() + f""",
+def _filled(s: str) -> dict[str, str]:
+    """SQL for the six fields of a side after imputation: its own value, or the source's where that is empty."""
+    gap = {k: f"(b.s{s}_{k} IS NULL{'' if k in ('dob', 'camp_name') else f' OR b.s{s}_{k} = 0'})" for k in K.IMPUTE_KEYS}
+    return {k: f"CASE WHEN {g} THEN coalesce(p{s}.{k}, b.s{s}_{k}) ELSE b.s{s}_{k} END" for k, g in gap.items()} | {
+        "filled": "coalesce(array_to_string([" + ", ".join(f"CASE WHEN {g} AND p{s}.{k} IS NOT NULL THEN '{k}' END" for k, g in sorted(gap.items(), key=lambda x: flows.SIDE_STATS.index(x[0]))) + "], ','), '')",
+        "filled_as_of": f"CASE WHEN {' OR '.join(f'({g} AND p{s}.{k} IS NOT NULL)' for k, g in gap.items())} THEN p{s}.day END"}
+
+
+def _imputed_features() -> str:
+    """SQL that puts the imputed fields into the features that use them."""
+    new = {}
+    for s in "ab":
+        new[f"{s}_exp"] = f"CAST(i{s}_exp AS DOUBLE)"
+        new |= {f"{s}_{m}": f"CASE WHEN i{s}_dob_quality > 0 THEN CAST(s{s}_{m} AS DOUBLE) ELSE 0.5::DOUBLE END" for m in ("mystic_factor", "mystic_v2")}
+        new |= {K.FEATURE_NAMES[i + (2 if s == "b" else 0)]: f"CAST(i{s}_{c} AS DOUBLE) / 200.0::DOUBLE" for i, c in ((38 + 0, "reach_cm"), (38 + 1, "height_cm"))}
+    new[K.FEATURE_NAMES[36]] = "a_months_off / 12.0::DOUBLE * ia_exp"
+    return ", ".join(f"{x} AS {n}" for n, x in new.items())
+
+
+BATCH_CTES = Q.with_(["feats", "profiles"], "").rstrip() + f""",
 {SAMPLE_SQL},
-batch AS MATERIALIZED (SELECT f.*, is_fresh, CASE WHEN f.winner_side = 'a' THEN 1 ELSE 0 END AS label,
-  CASE WHEN is_fresh = 1 THEN 1.2::DOUBLE ELSE 0.7::DOUBLE END * {FACTOR_SQL.replace('blind_', 'f.blind_')} AS sample_weight FROM sample JOIN feats f USING (bout_id))"""
+picked AS (SELECT f.*, is_fresh FROM sample JOIN feats f USING (bout_id)),
+known AS (SELECT b.*, {', '.join(f'{x} AS i{s}_{k}' for s in 'ab' for k, x in _filled(s).items())} FROM picked b
+  ASOF LEFT JOIN profiles pa ON pa.fid = b.a_id AND pa.day <= b.bout_date - 1 ASOF LEFT JOIN profiles pb ON pb.fid = b.b_id AND pb.day <= b.bout_date - 1),
+batch AS MATERIALIZED (SELECT * REPLACE ({_imputed_features()}), CASE WHEN winner_side = 'a' THEN 1 ELSE 0 END AS label,
+  CASE WHEN is_fresh = 1 THEN 1.2::DOUBLE ELSE 0.7::DOUBLE END * {FACTOR_SQL} AS sample_weight FROM known)"""
 
 
 def _batch(spark, d):
     feats = flows.bout_features(spark, d)
-    return training.training_batch(feats, feats.filter("held_out = 1"), pending=100)
+    return training.training_batch(feats, feats.filter("held_out = 1"), pending=100, enrich=R.from_snapshots(tables.profiles(spark, d)))
+
+
+_BATCH_SHOWN = ["sample_weight", "a_fin_rate", "b_age", "a_exp", "b_exp", "a_mystic_factor", "b_mystic_v2", K.FEATURE_NAMES[36], *K.FEATURE_NAMES[38:42]]
 
 
-@query("training_batch", BATCH_CTES + f" SELECT bout_id, is_fresh, label, {Q.r6('sample_weight')} AS sample_weight, {Q.r6('a_fin_rate')} AS a_fin_rate, {Q.r6('b_age')} AS b_age FROM batch")
+@query("training_batch", BATCH_CTES + f" SELECT bout_id, is_fresh, label, ia_filled AS filled_a, ib_filled AS filled_b, coalesce(strftime(ia_filled_as_of, '%Y-%m-%d'), '') AS as_of_a, "
+       + ", ".join(f"{Q.r6(c)} AS {c}" for c in _BATCH_SHOWN) + " FROM batch")
 def training_batch(spark, d):
-    return _batch(spark, d).select("bout_id", "is_fresh", "label", *[r6(F.col(c)).alias(c) for c in ("sample_weight", "a_fin_rate", "b_age")])
+    a, b = F.col("stats_a"), F.col("stats_b")
+    return _batch(spark, d).select("bout_id", "is_fresh", "label", F.array_join(a["filled"], ",").alias("filled_a"), F.array_join(b["filled"], ",").alias("filled_b"),
+                                   F.coalesce(F.date_format(a["filled_as_of"], "yyyy-MM-dd"), F.lit("")).alias("as_of_a"), *[r6(F.col(c)).alias(c) for c in _BATCH_SHOWN])
 
 
 _GZ = [n if i in K.UNSCALED else f"(({n} - m{i}) / d{i})" for i, n in enumerate(K.FEATURE_NAMES)]

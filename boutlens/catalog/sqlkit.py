@@ -119,6 +119,11 @@ def age_on(d: str, dob: str) -> str:
             f"AND day({d}) < day({dob})) THEN 1 ELSE 0 END)")
 
 
+cte("profiles", [], """SELECT l_suppkey AS fid, CAST(l_shipdate AS DATE) AS day, CAST(sum(l_linenumber) AS INT) AS exp, DATE '1960-01-01' + CAST(l_suppkey * 41 % 5000 AS INT) AS dob,
+  CASE WHEN l_suppkey % 14 = 0 THEN 0 ELSE 2 END AS dob_quality, 'gym_' || max(l_linenumber) AS camp_name, CAST(min(l_linenumber) + 151 AS INT) AS reach_cm,
+  CAST(max(l_linenumber) + 150 AS INT) AS height_cm FROM lineitem GROUP BY 1, 2""")
+
+
 def implied(o: str) -> str:
     return f"(1.0 / greatest({o}, 1.01))"
 
@@ -219,7 +224,7 @@ _EXPR = ([_feat("a", f) for f in _FIELDS] + [_feat("b", f) for f in _FIELDS]
          + [f"CAST({s}.{f} AS DOUBLE) / 200.0::DOUBLE" for s in "ab" for f in ("reach_cm", "height_cm")]
          + ["a.camp_score", "b.camp_score", "0.3::DOUBLE", "0.3::DOUBLE"])
 _KEEP = ", ".join(f"{s}.{f} AS s{s}_{f}" for s in "ab" for f in
-                  ("fin_rate", "sub_rate", "td_def", "wins", "losses", "reach_cm", "camp_name", "exp", "dob_quality", "dob"))
+                  ("fin_rate", "sub_rate", "td_def", "wins", "losses", "reach_cm", "camp_name", "exp", "dob_quality", "dob", "height_cm", "mystic_factor", "mystic_v2"))
 cte("feats", ["stats", "bouts"], "SELECT o.*, " + _KEEP + ", " + ", ".join(f"{e} AS {n}" for e, n in zip(_EXPR, K.FEATURE_NAMES))
     + " FROM bouts o JOIN stats a ON a.bout_id = o.bout_id AND a.is_a = 1 JOIN stats b ON b.bout_id = o.bout_id AND b.is_a = 0")
 

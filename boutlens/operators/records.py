@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boutlens import constants as K
 from boutlens.functions.numbers import percent
+from boutlens.operators.entities import as_of
 
 INT_FIELDS = ["wins", "losses", "recent_wins", "age", "exp", "months_off", "fights_12m"]
 PERCENT_DEFAULTS = {"fin_rate": 0.5, "sub_rate": 0.0, "td_def": 0.5, "grap_def": 0.5}
@@ -54,12 +57,56 @@ def parse_answer(df: DataFrame, raw: str = "raw", required: list[str] | None = N
     return df.withColumn("answer", F.when(F.size("missing_keys") == 0, F.col("_parsed"))).drop("_parsed")
 
 
+def empty(value: Column) -> Column:
+    """Null or zero."""
+    return value.isNull() | (value.cast("string") == "0")
+
+
 def needs_imputing(columns: dict[str, Column]) -> Column:
     """True when any of the key fields is null or zero."""
-    flags = [c.isNull() | (c.cast("string") == "0") for c in columns.values()]
-    return F.greatest(*[F.coalesce(f, F.lit(True)).cast("int") for f in flags]) == 1
+    return F.greatest(*[empty(c).cast("int") for c in columns.values()]) == 1
 
 
 def impute(value: Column, fill: Column) -> Column:
     """Keep a value unless it is null or zero."""
-    return F.when(value.isNull() | (value.cast("string") == "0"), F.coalesce(fill, value)).otherwise(value)
+    return F.when(empty(value), F.coalesce(fill, value)).otherwise(value)
+
+
+Enrich = Callable[[DataFrame], DataFrame]
+
+
+def from_snapshots(snapshots: DataFrame, lag_days: int = 1) -> Enrich:
+    """An enrichment step from dated records (fid, day, any fields): the latest at least ``lag_days`` before the bout.
+
+    A step takes (fid, bout_date) rows and returns them with whatever fields it knows; any other source can stand in.
+    """
+    fields = [c for c in snapshots.columns if c not in ("fid", "day")]
+
+    def enrich(asked: DataFrame) -> DataFrame:
+        marks = snapshots.groupBy("fid", "day").agg(*[F.max(c).alias(c) for c in fields])
+        found = as_of(asked, marks.select("fid", "day", F.struct(*fields).alias("value")), lag_days)
+        return found.filter("as_of_day IS NOT NULL").select("fid", "bout_date", "as_of_day", "value.*")
+
+    return enrich
+
+
+def impute_rows(sides: DataFrame, enrich: Enrich, keys: list[str] | None = None) -> DataFrame:
+    """Side rows (fid, bout_date, fields) with empty fields filled by ``enrich``, and where the values came from.
+
+    A row asks when any of the key fields is null or zero; then every field that it and the source share is filled if
+    empty.  Adds ``filled`` (names, in the order of the columns) and ``filled_as_of``.  The source is asked once per (fid, bout_date).
+    """
+    keys = keys if keys is not None else K.IMPUTE_KEYS
+    rows = sides.withColumn("_asks", needs_imputing({k: F.col(k) for k in keys}))
+    found = enrich(rows.filter("_asks").select("fid", "bout_date").distinct())
+    day = F.col("_f_as_of_day") if "as_of_day" in found.columns else F.lit(None).cast("date")
+    fields = [c for c in sides.columns if c in found.columns and c not in ("fid", "bout_date")]
+    found = found.select(F.col("fid").alias("_f_fid"), F.col("bout_date").alias("_f_bout_date"), *[F.col(c).alias(f"_f_{c}") for c in found.columns if c in fields or c == "as_of_day"])
+    rows = rows.join(found, F.col("_asks") & (F.col("fid") == F.col("_f_fid")) & (F.col("bout_date") == F.col("_f_bout_date")), "left")
+
+    def gap(c: str) -> Column:
+        return F.col("_asks") & empty(F.col(c)) & F.col(f"_f_{c}").isNotNull()
+
+    names = F.filter(F.array(*[F.when(gap(c), F.lit(c)) for c in fields]) if fields else F.array().cast("array<string>"), lambda n: n.isNotNull())
+    out = [F.when(gap(c), F.col(f"_f_{c}").cast(sides.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in sides.columns]
+    return rows.select(*out, names.alias("filled"), F.when(F.size(names) > 0, day).alias("filled_as_of"))

@@ -10,17 +10,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boutlens import constants as K
-from boutlens.functions.numbers import confidence_factor
+from boutlens.functions.numbers import camp_score, confidence_factor
 from boutlens.operators import dataset as DS
 from boutlens.operators import features as X
 from boutlens.operators import models as M
+from boutlens.operators import records as R
 from boutlens.operators import scoring as S
 from boutlens.session import materialize
 
 
-def training_batch(features: DataFrame, holdout: DataFrame, pending: int, seed: int = K.TRAIN_SEED) -> DataFrame:
-    """Rows, labels and sample weights of one batch, holdout keys left out first."""
+def imputed(sample: DataFrame, enrich: R.Enrich) -> DataFrame:
+    """Bouts whose sides have their gaps filled as of the day before, with ``filled`` per side, and the features of these sides."""
+    fields = [f.name for f in sample.schema["stats_a"].dataType.fields]
+    side = lambda flag, c: F.struct(F.lit(flag).alias("is_a"), F.col(c).alias("s"))
+    sides = sample.select("bout_id", "bout_date", F.inline(F.array(side(1, "stats_a"), side(0, "stats_b")))).select("bout_id", "bout_date", "is_a", "s.*")
+    sides = R.impute_rows(sides, enrich)
+    if "camp_score" in fields:
+        sides = sides.withColumn("camp_score", F.when(F.array_contains("filled", "camp_name"), camp_score(F.col("camp_name"))).otherwise(F.col("camp_score")))
+    paired = X.pair_sides(sides, [*fields, "filled", "filled_as_of"], ["bout_date"]).select("bout_id", "stats_a", "stats_b")
+    rest = sample.drop("stats_a", "stats_b", *K.FEATURE_NAMES)
+    return rest.join(paired, "bout_id").select("*", *X.feature_columns(F.col("stats_a"), F.col("stats_b")))
+
+
+def training_batch(features: DataFrame, holdout: DataFrame, pending: int, seed: int = K.TRAIN_SEED, enrich: R.Enrich | None = None) -> DataFrame:
+    """Rows, labels and sample weights of one batch, holdout keys left out first.
+
+    With ``enrich``, gaps of the drawn rows are filled before their features are taken.
+    """
     sample = DS.training_sample(DS.exclude_holdout(features, holdout), pending, seed)
+    if enrich is not None:
+        sample = imputed(sample, enrich)
     factor = confidence_factor(F.when(F.col("blind_pick").isNotNull(), F.col("blind_conf")))
     return sample.withColumns({
         "label": F.coalesce((F.col("winner_side") == "a").cast("int"), F.lit(0)),
@@ -106,13 +125,13 @@ def fit_groups(rows: DataFrame, models: DataFrame, key: str, epochs: int = K.EPO
 
 
 def train_incremental(features: DataFrame, holdout: DataFrame, models: DataFrame, pending: int, best_accuracy: float,
-                      epochs: int = K.EPOCHS, seed: int = K.TRAIN_SEED) -> DataFrame:
+                      epochs: int = K.EPOCHS, seed: int = K.TRAIN_SEED, enrich: R.Enrich | None = None) -> DataFrame:
     """One batch cycle for each of ``models`` (model_id, weights, bias, means, stds): sample, fit, guarded half step, evaluation, verdict.
 
     Under ten rows nothing is trained: status is "too few bouts" and the model comes back as it was.  ``promoted`` says whether the
     trained model beats the best accuracy so far.
     """
-    batch = materialize(training_batch(features, holdout, pending, seed), "batch")
+    batch = materialize(training_batch(features, holdout, pending, seed, enrich), "batch")
     enough = F.lit(batch.count() >= 10)
     rows = batch.select("label", "sample_weight", *K.FEATURE_NAMES, F.explode(models.agg(F.collect_set("model_id")).scalar()).alias("model_id"))
     after = M.update_weights(fit_groups(rows, models, "model_id", epochs, seed)).select(

@@ -175,6 +175,17 @@ def static_stats(fid: Column, nation: Column) -> dict[str, Column]:
     }
 
 
+def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dated records of competitors from another source, one per (fid, day): what is known of them on the days of their lines."""
+    fid = F.col("fid")
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("fid"), F.to_date("l_shipdate").alias("day")).agg(
+        F.sum("l_linenumber").cast("int").alias("exp"), F.min("l_linenumber").alias("_low"), F.max("l_linenumber").alias("_high"))
+    return lines.select(
+        "fid", "day", "exp", F.date_add(F.lit("1960-01-01").cast("date"), (fid * 41 % 5000).cast("int")).alias("dob"),
+        F.when(fid % 14 == 0, 0).otherwise(2).alias("dob_quality"), F.concat(F.lit("gym_"), F.col("_high").cast("string")).alias("camp_name"),
+        (F.col("_low") + 151).cast("int").alias("reach_cm"), (F.col("_high") + 150).cast("int").alias("height_cm"))
+
+
 def model_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model bundles: the first 46 values of a vector are weights; means, stds and bias follow the id."""
     v = F.col("vec_id")
