@@ -165,27 +165,51 @@ def feed(spark, d):
     return tables.bouts(spark, d).filter("priority <> '5-LOW'").select(F.col("bout_id").alias("feed_pos"), *[F.expr(e).alias(k) for k, e in FEED.items()])
 
 
-@query("odds_match", Q.with_(["feed"], f""", nm AS (SELECT DISTINCT name, v FROM (SELECT name, {Q.norm_latin('name')} AS v FROM (SELECT fighter_a AS name FROM bouts UNION SELECT fighter_b FROM bouts)
-    UNION ALL SELECT name, {Q.surname('name')} FROM (SELECT fighter_a AS name FROM bouts UNION SELECT fighter_b FROM bouts))),
+def _odds_sql() -> str:
+    """All arms at each event in turn; events of the first part of the feed settle most fights, the rest meets the whole feed."""
+    alike = lambda x: f"1.0::DOUBLE - levenshtein(v, {x})::DOUBLE / greatest(length(v), length({x}), 1) >= 0.70"
+    hits = lambda src, ev: " UNION ALL ".join(
+        f"""SELECT b.fighter_a, b.fighter_b, feed_pos, {flag} AS reversed, {oa} AS oa, {ob} AS ob FROM {src} b JOIN m x ON x.name = b.fighter_a
+        JOIN {ev} f ON f.{ta} = x.team JOIN m y ON y.name = b.fighter_b AND y.team = f.{tb}"""
+        for flag, ta, tb, oa, ob in ((0, "home_team", "away_team", "home_odds", "away_odds"), (1, "away_team", "home_team", "away_odds", "home_odds")))
+    best = lambda src, ev: f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fighter_a, fighter_b ORDER BY feed_pos, reversed) AS rn FROM ({hits(src, ev)})) WHERE rn = 1"
+    return f""", ns AS (SELECT fighter_a AS name FROM bouts UNION SELECT fighter_b FROM bouts),
+  k AS (SELECT name, {Q.norm_latin('name')} AS norm, {Q.surname('name')} AS last FROM ns),
+  al AS MATERIALIZED (SELECT entity_id, {Q.norm_latin('alias')} AS norm, {Q.surname('alias')} AS last FROM ents_alias),
+  same AS (SELECT DISTINCT name, entity_id FROM k JOIN al ON al.norm = k.norm OR al.last = k.last),
+  nm AS MATERIALIZED (SELECT DISTINCT name, v FROM (SELECT name, norm AS v FROM k UNION ALL SELECT name, last FROM k UNION ALL SELECT name, al.norm FROM same JOIN al USING (entity_id)
+    UNION ALL SELECT name, al.last FROM same JOIN al USING (entity_id)) WHERE v <> ''),
   tm AS MATERIALIZED (SELECT team, {Q.norm_latin('team')} AS n, {Q.surname('team')} AS l FROM (SELECT home_team AS team FROM feed UNION SELECT away_team FROM feed)),
-  m AS MATERIALIZED (SELECT DISTINCT name, team FROM nm, tm WHERE v = n OR (length(v) >= 4 AND length(l) >= 4 AND v = l) OR (length(v) >= 5 AND length(n) >= 5 AND (contains(n, v) OR contains(v, n)))),
-  hits AS (SELECT b.fighter_a, b.fighter_b, feed_pos, 0 AS reversed, home_odds AS oa, away_odds AS ob FROM (SELECT DISTINCT fighter_a, fighter_b FROM bouts) b JOIN m x ON x.name = b.fighter_a JOIN m y ON y.name = b.fighter_b JOIN feed f ON f.home_team = x.team AND f.away_team = y.team
-    UNION ALL SELECT b.fighter_a, b.fighter_b, feed_pos, 1, away_odds, home_odds FROM (SELECT DISTINCT fighter_a, fighter_b FROM bouts) b JOIN m x ON x.name = b.fighter_a JOIN m y ON y.name = b.fighter_b JOIN feed f ON f.away_team = x.team AND f.home_team = y.team),
-  best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fighter_a, fighter_b ORDER BY feed_pos, reversed) AS rn FROM hits) WHERE rn = 1)
-  SELECT bout_id, coalesce(feed_pos, -1) AS feed_pos, coalesce(reversed, -1) AS reversed, coalesce(oa, 1.85::DOUBLE) AS odds_a, coalesce(ob, 1.85::DOUBLE) AS odds_b FROM bouts b LEFT JOIN best USING (fighter_a, fighter_b)""").replace("\n, nm", ",\nnm").replace("coalesce(oa,", "coalesce(best.oa,").replace("coalesce(ob,", "coalesce(best.ob,"))
-def odds_match(spark, d):
+  m AS MATERIALIZED (SELECT DISTINCT name, team FROM nm, tm WHERE v = n OR (length(v) >= 4 AND length(l) >= 4 AND v = l) OR (length(v) >= 5 AND length(n) >= 5 AND (contains(n, v) OR contains(v, n))) OR {alike('n')} OR {alike('l')}),
+  fs AS MATERIALIZED (SELECT home_team, away_team, min(feed_pos) AS feed_pos, arg_min(home_odds, feed_pos) AS home_odds, arg_min(away_odds, feed_pos) AS away_odds FROM feed GROUP BY 1, 2),
+  head AS MATERIALIZED (SELECT * FROM fs ORDER BY feed_pos LIMIT 40), pairs AS MATERIALIZED (SELECT DISTINCT fighter_a, fighter_b FROM bouts),
+  early AS MATERIALIZED ({best('pairs', 'head')}), late AS MATERIALIZED (SELECT * FROM pairs ANTI JOIN early USING (fighter_a, fighter_b)),
+  best AS MATERIALIZED (SELECT * FROM early UNION ALL {best('late', 'fs')})
+  SELECT bout_id, coalesce(feed_pos, -1) AS feed_pos, coalesce(reversed, -1) AS reversed, coalesce(best.oa, 1.85::DOUBLE) AS odds_a, coalesce(best.ob, 1.85::DOUBLE) AS odds_b
+  FROM bouts b LEFT JOIN best USING (fighter_a, fighter_b)""".replace(", ns", ",\nns", 1)
+
+
+def _odds(spark, d, similar: str):
     fights = tables.bouts(spark, d).select("bout_id", "fighter_a", "fighter_b")
     names = fights.select(F.col("fighter_a").alias("name")).union(fights.select("fighter_b"))
-    f = feed(spark, d)
-    teams = f.select(F.col("home_team").alias("team")).union(f.select("away_team"))
     variants = materialize(EN.variants(names, entities(spark, d)), "odds-variants")
-    matches = materialize(OD.match_names(variants, teams), "odds-matches")
-    matches = matches.unionByName(OD.match_similar(variants, teams, matches))
-    out = OD.match_fights(fights, f, matches)
+    out = OD.match_in_order(fights, materialize(feed(spark, d), "odds-feed"), variants, similar)
     return out.select("bout_id", F.coalesce("feed_pos", F.lit(-1)).alias("feed_pos"), F.coalesce("reversed", F.lit(-1)).alias("reversed"),
                       F.coalesce("odds_a", F.lit(1.85)).alias("odds_a"), F.coalesce("odds_b", F.lit(1.85)).alias("odds_b"))
 
 
+@query("odds_match", Q.with_(["feed", "ents_alias"], _odds_sql()).replace("\n,\nns", ",\nns"))
+def odds_match(spark, d):
+    """All arms in event order, with the edit distance as similarity, which SQL has too."""
+    return _odds(spark, d, "levenshtein")
+
+
+@query("odds_match_ratio")
+def odds_match_ratio(spark, d):
+    """The same with the ratio of matched characters."""
+    return _odds(spark, d, "ratio")
+
+
 def _sim(name: str) -> str:
     arms = []
     for team in ("home_team", "away_team"):

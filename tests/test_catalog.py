@@ -26,7 +26,7 @@ def test_twin(spark, sf, con, name):
 
 def test_every_twin_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.catalog.QUERIES) - set(entry.catalog.ORACLES) == {"fit_model", "fuzzy_topk_ratio"}
+    assert set(entry.catalog.QUERIES) - set(entry.catalog.ORACLES) == {"fit_model", "fuzzy_topk_ratio", "odds_match_ratio"}
 
 
 @pytest.mark.parametrize("name", ["score_bouts", "odds_match", "name_variants", "payment_match", "dedup_first", "fuzzy_topk_lev"])
