@@ -210,22 +210,49 @@ def odds_match_ratio(spark, d):
     return _odds(spark, d, "ratio")
 
 
-def _sim(name: str) -> str:
-    arms = []
-    for team in ("home_team", "away_team"):
-        for v in (Q.norm_latin(f"'{name}'"), Q.surname(f"'{name}'")):
-            n = Q.norm_latin(team)
-            arms.append(f"1.0::DOUBLE - levenshtein({v}, {n})::DOUBLE / greatest(length({v}), length({n}), 1)")
-    return f"greatest({', '.join(arms)}, 0.0::DOUBLE)"
+_TYPED = {"fighter_a": "replace(s_name, 'pp', 'p')", "fighter_b": "CASE WHEN s_suppkey % 2 = 0 THEN 'Сапплайер ' || lpad(CAST(s_suppkey % 90 + 1 AS VARCHAR(9)), 9, '0') ELSE 'Боец ' || (s_suppkey % 90 + 1) END"}
 
 
-_F1, _F2 = "Suplier 000000007", "Сапплайер 42"
-
-
-@query("closest_events", Q.with_(["feed"], f"SELECT feed_pos, {Q.r6('s1')} AS score_1, {Q.r6('s2')} AS score_2 FROM (SELECT feed_pos, {_sim(_F1)} AS s1, {_sim(_F2)} AS s2 FROM feed) ORDER BY s1 + s2 DESC, feed_pos LIMIT 5"))
+@query("closest_events", Q.with_(["feed", "ents_alias"], f""", fights AS MATERIALIZED (SELECT s_suppkey AS fight_id, {', '.join(f'{x} AS {c}' for c, x in _TYPED.items())} FROM supplier),
+  k AS (SELECT name, {Q.norm_latin('name')} AS norm, {Q.surname('name')} AS last FROM (SELECT fighter_a AS name FROM fights UNION SELECT fighter_b FROM fights)),
+  al AS MATERIALIZED (SELECT entity_id, {Q.norm_latin('alias')} AS norm, {Q.surname('alias')} AS last FROM ents_alias),
+  same AS (SELECT DISTINCT name, entity_id FROM k JOIN al ON al.norm = k.norm OR al.last = k.last),
+  nm AS MATERIALIZED (SELECT DISTINCT name, v FROM (SELECT name, norm AS v FROM k UNION ALL SELECT name, last FROM k UNION ALL SELECT name, al.norm FROM same JOIN al USING (entity_id)
+    UNION ALL SELECT name, al.last FROM same JOIN al USING (entity_id)) WHERE v <> ''),
+  tm AS MATERIALIZED (SELECT team, {Q.norm_latin('team')} AS n FROM (SELECT home_team AS team FROM feed UNION SELECT away_team FROM feed)),
+  sc AS MATERIALIZED (SELECT name, team, max(1.0::DOUBLE - levenshtein(v, n)::DOUBLE / greatest(length(v), length(n), 1)) AS s FROM nm, tm GROUP BY 1, 2),
+  ev AS MATERIALIZED (SELECT * FROM (SELECT feed_pos, home_team, away_team, row_number() OVER (PARTITION BY home_team, away_team ORDER BY feed_pos) AS p FROM feed) WHERE p <= 5),
+  e2 AS MATERIALIZED (SELECT h.name, feed_pos, greatest(h.s, a.s) AS s FROM ev JOIN sc h ON h.team = home_team JOIN sc a ON a.team = away_team AND a.name = h.name)
+  SELECT fight_id, CAST(place AS INT) AS place, feed_pos, {Q.r6('sa')} AS score_a, {Q.r6('sb')} AS score_b FROM (SELECT fight_id, x.feed_pos, x.s AS sa, y.s AS sb, row_number() OVER (PARTITION BY fight_id ORDER BY x.s + y.s DESC, x.feed_pos) AS place
+    FROM fights JOIN e2 x ON x.name = fighter_a JOIN e2 y ON y.name = fighter_b AND y.feed_pos = x.feed_pos) WHERE place <= 5""".replace(", fights AS", ",\nfights AS", 1)).replace("\n,\nfights", ",\nfights"))
 def closest_events(spark, d):
-    out = OD.closest_events(feed(spark, d), _F1, _F2)
-    return out.select("feed_pos", r6(F.col("score_1")).alias("score_1"), r6(F.col("score_2")).alias("score_2"))
+    """Misspelt and Cyrillic names of all competitors against the feed, with their aliases."""
+    fights = tables.table(spark, d, "supplier").select(F.col("s_suppkey").alias("fight_id"), *[F.expr(x).alias(c) for c, x in _TYPED.items()])
+    names = fights.select(F.col("fighter_a").alias("name")).union(fights.select("fighter_b"))
+    out = OD.closest_events(fights, materialize(feed(spark, d), "closest-feed"), EN.variants(names, entities(spark, d)), similar="levenshtein")
+    return out.select("fight_id", "place", "feed_pos", r6(F.col("score_a")).alias("score_a"), r6(F.col("score_b")).alias("score_b"))
+
+
+_PAIR = {"name_a": "CASE s_suppkey % 3 WHEN 0 THEN upper(replace(s_name, 'pp', 'p')) WHEN 1 THEN 'zq' || s_suppkey ELSE s_name END",
+         "name_b": "CASE WHEN s_suppkey % 4 = 0 THEN 'Q' ELSE 'Боец ' || s_suppkey END"}
+
+
+@query("decided_pairs", Q.with_(["ents_alias"], f""", pairs AS MATERIALIZED (SELECT s_suppkey AS pair_id, {', '.join(f'{x} AS {c}' for c, x in _PAIR.items())} FROM supplier),
+  pool AS MATERIALIZED (SELECT name, {Q.norm_latin('name')} AS b FROM (SELECT name FROM ({_POOL} UNION SELECT alias FROM ents_alias) WHERE length(name) > 2)),
+  top AS MATERIALIZED (SELECT * FROM (SELECT input, name, s, row_number() OVER (PARTITION BY input ORDER BY s, name) AS rank FROM
+    (SELECT input, name, levenshtein(a, b)::DOUBLE / greatest(length(a), length(b), 1) - 1.0 AS s FROM (SELECT input, {Q.norm_latin('input')} AS a FROM (SELECT name_a AS input FROM pairs UNION SELECT name_b FROM pairs)), pool)) WHERE rank <= 50),
+  one AS (SELECT * FROM top WHERE rank = 1),
+  dec AS (SELECT pair_id, name_a, name_b, -x.s >= {EN.K.ACCEPT_FIRST} AND -y.s >= {EN.K.ACCEPT_SECOND} AS ok, x.name AS best_a, y.name AS best_b FROM pairs JOIN one x ON x.input = name_a JOIN one y ON y.input = name_b),
+  li AS (SELECT pair_id, string_agg(name, '|' ORDER BY s, name) AS cand FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY s, name) AS place FROM
+    (SELECT pair_id, name, min(s) AS s FROM dec JOIN top ON input IN (name_a, name_b) WHERE ok GROUP BY ALL)) WHERE place <= 100 GROUP BY 1)
+  SELECT pair_id, CAST(ok AS INT) AS accepted, CASE WHEN ok THEN best_a ELSE name_a END AS decided_a, CASE WHEN ok THEN best_b ELSE name_b END AS decided_b, coalesce(cand, '') AS candidates
+  FROM dec LEFT JOIN li USING (pair_id)""".replace(", pairs AS", ",\npairs AS", 1)).replace("\n,\npairs", ",\npairs"))
+def decided_pairs(spark, d):
+    """Typed pairs: accepted ones with their candidates, the others as typed."""
+    pairs = tables.table(spark, d, "supplier").select(F.col("s_suppkey").alias("pair_id"), *[F.expr(x).alias(c) for c, x in _PAIR.items()])
+    top = materialize(EN.fuzzy_top(pairs.select(F.explode(F.array("name_a", "name_b")).alias("input")), full_pool(spark, d)), "decided-top")
+    out = EN.decide_pairs(pairs, top)
+    return out.select("pair_id", F.col("accepted").cast("int").alias("accepted"), "decided_a", "decided_b", F.array_join("candidates", "|").alias("candidates"))
 
 
 @query("asof_enrich", Q.with_(["sides"], """, snap AS MATERIALIZED (SELECT l_suppkey AS fid, CAST(l_shipdate AS DATE) AS day, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS value FROM lineitem GROUP BY 1, 2)

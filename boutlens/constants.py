@@ -81,6 +81,10 @@ PAIR_LIMITS = [
     ("children_A+B", 44, 45, 0.10),
 ]
 
+# Least scores of the first and second name of a typed pair.
+ACCEPT_FIRST = 0.70
+ACCEPT_SECOND = 0.07
+
 # Training.
 LEARNING_RATE = 0.005
 EPOCHS = 100

@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import bisect
-import difflib
-import math
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as DT
 
 from boutlens import constants as K
 from boutlens.functions import text as T
+from boutlens.operators import similar as SIM
 
 CYRILLIC = "(?iu)[а-яё]"
 
@@ -119,58 +114,18 @@ def name_pool(sources: list[tuple[DataFrame, str]], cyrillic_only: list[tuple[Da
     return pool.filter(F.length("name") > 2).distinct()
 
 
-_SCORED = DT.ArrayType(DT.StructType([DT.StructField("neg", DT.DoubleType()), DT.StructField("name", DT.StringType())]))
-
-
-def _ratio_top(k: int):
-    """The ``k`` best names of a shard.  Upper bounds (lengths, then letter counts) come first; a ratio is only worked out where
-    its bound reaches the worst of the best so far, so the result is exact.
-    """
+def fuzzy_top(inputs: DataFrame, pool: DataFrame, k: int = 50, method: str = "levenshtein") -> DataFrame:
+    """The ``k`` most similar pool names of each input name, exactly, by their normal forms (`similar.nearest`).
 
-    @F.pandas_udf(_SCORED)
-    def top(name: pd.Series, norms: pd.Series, names: pd.Series) -> pd.Series:
-        out = []
-        for target, ns, raw in zip(name, norms, names):
-            matcher = difflib.SequenceMatcher(None)
-            best: list[tuple[float, str]] = []
-            size = len(target)
-            order = sorted(range(len(ns)), key=lambda i: abs(len(ns[i]) - size))
-            for i in order:
-                matcher.set_seqs(target, ns[i])
-                if len(best) >= k and (matcher.real_quick_ratio() < -best[-1][0] or matcher.quick_ratio() < -best[-1][0]):
-                    continue
-                bisect.insort(best, (-matcher.ratio(), raw[i]))
-                del best[k:]
-            out.append([{"neg": s, "name": r} for s, r in best])
-        return pd.Series(out)
-
-    return top
-
-
-def fuzzy_top(inputs: DataFrame, pool: DataFrame, k: int = 50, method: str = "levenshtein", per_shard: int = 2000) -> DataFrame:
-    """The ``k`` most similar pool names of each input name, exactly.
-
-    The distinct pool is hashed into shards of about ``per_shard`` names (one count job
-    sets their number).  Each input meets each shard as one row, takes the best ``k`` of
-    the shard inside an expression, and the shard winners are ranked.  No pair is ever a
-    row, and no shard grows with the pool.
+    Names with equal forms share a place in the search; each of them is a name of its own in the result.  Names without a letter
+    or digit are like nothing.
     """
     pool = pool.select("name").distinct().withColumn("norm", T.norm_latin(F.col("name")))
-    shards = max(1, math.ceil(pool.count() / per_shard))
-    packed = pool.groupBy(F.pmod(F.xxhash64("name"), F.lit(shards)).alias("shard")).agg(F.collect_list(F.struct("norm", "name")).alias("items"))
-    asked = inputs.select("input").distinct().withColumns({
-        "target": T.norm_latin(F.col("input")), "shard": F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>"))})
-    met = asked.join(packed, "shard")
-    if method == "ratio":
-        met = met.withColumn("best", _ratio_top(k)("target", F.col("items.norm"), F.col("items.name")))
-    else:
-        def lev(p: Column) -> Column:
-            longest = F.greatest(F.length(F.col("target")), F.length(p["norm"]), F.lit(1))
-            return F.struct((F.levenshtein(F.col("target"), p["norm"]) / longest - 1.0).alias("neg"), p["name"].alias("name"))
-        met = met.withColumn("best", F.slice(F.array_sort(F.transform("items", lev)), 1, k))
-    flat = met.select("input", F.inline_outer("best")).filter("name IS NOT NULL")
-    rank = F.row_number().over(Window.partitionBy("input").orderBy("neg", "name"))
-    return flat.withColumn("rank", rank).filter(F.col("rank") <= k).select("input", "name", (-F.col("neg")).alias("score"), "rank")
+    asked = inputs.select("input").distinct().withColumn("target", T.norm_latin(F.col("input")))
+    near = SIM.nearest(asked.select("target"), pool.select("norm", "name"), k, method)
+    found = asked.join(near, F.col("target") == F.col("l")).join(pool, F.col("r") == F.col("norm")).select("input", "name", "score")
+    rank = F.row_number().over(Window.partitionBy("input").orderBy(F.desc("score"), "name"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def pair_candidates(pairs: DataFrame, top: DataFrame, limit: int = 100) -> DataFrame:
@@ -184,6 +139,23 @@ def pair_candidates(pairs: DataFrame, top: DataFrame, limit: int = 100) -> DataF
     return both.withColumn("place", place).filter(F.col("place") <= limit)
 
 
+def decide_pairs(pairs: DataFrame, top: DataFrame, first_least: float = K.ACCEPT_FIRST, second_least: float = K.ACCEPT_SECOND, limit: int = 100) -> DataFrame:
+    """Each typed pair as a whole (pair_id, name_a, name_b): the best known name of both, or both names as typed.
+
+    A pair is accepted when the best score of its first name and of its second reach their thresholds; the second one's is nearly
+    nothing, so in practice the first name decides.  ``candidates``: the united lists of an accepted pair, best first, at most ``limit``; empty otherwise.
+    """
+    best = top.groupBy("input").agg(F.min(F.struct((-F.col("score")).alias("neg"), "name")).alias("best"))
+    out = pairs
+    for c in ("a", "b"):
+        out = out.join(best.select(F.col("input").alias(f"name_{c}"), F.col("best").alias(f"_{c}")), f"name_{c}", "left")
+    score = {c: F.coalesce(-F.col(f"_{c}.neg"), F.lit(0.0)) for c in ("a", "b")}
+    out = out.withColumn("accepted", (score["a"] >= first_least) & (score["b"] >= second_least))
+    out = out.select("pair_id", "accepted", *[F.when(F.col("accepted"), F.col(f"_{c}.name")).otherwise(F.col(f"name_{c}")).alias(f"decided_{c}") for c in ("a", "b")], "name_a", "name_b")
+    listed = pair_candidates(out.filter("accepted"), top, limit).groupBy("pair_id").agg(F.sort_array(F.collect_list(F.struct("place", "name")))["name"].alias("candidates"))
+    return out.join(listed, "pair_id", "left").select("pair_id", "accepted", "decided_a", "decided_b", F.coalesce("candidates", F.array().cast("array<string>")).alias("candidates"))
+
+
 def as_of(left: DataFrame, snapshots: DataFrame, lag_days: int = 1) -> DataFrame:
     """Latest snapshot at or before ``bout_date - lag_days`` for each (fid, bout_date).
 

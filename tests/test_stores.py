@@ -82,7 +82,7 @@ def test_ratio_candidates_equal_brute_force(spark, k):
     names = [f"{a}{b}son {c}" for a in ("Jo", "An", "Pet", "Mik") for b in ("na", "dre", "er", "ha", "el") for c in ("Smith", "Silva", "Ivanov", "Li", "Kim", "Costa", "Ng", "Park")]
     inputs = spark.createDataFrame([("Petrson Silvo",), ("Andreson Kim",)], "input string")
     pool = spark.createDataFrame([(n,) for n in names], "name string")
-    got = EN.fuzzy_top(inputs, pool, k=k, method="ratio", per_shard=50).collect()
+    got = EN.fuzzy_top(inputs, pool, k=k, method="ratio").collect()
     norm = {r.name: r.n for r in pool.select("name", norm_latin(F.col("name")).alias("n")).collect()}
     for asked, target in ((r.input, r.n) for r in inputs.select("input", norm_latin(F.col("input")).alias("n")).collect()):
         want = sorted((-difflib.SequenceMatcher(None, target, norm[n]).ratio(), n) for n in names)[:k]
