@@ -19,15 +19,12 @@ def _lacks(m: Column, key: str) -> Column:
     return F.coalesce(~F.map_contains_key(m, F.lit(key)), F.lit(False))
 
 
-def _missing_mask(column: str, names: list[str]) -> Column:
-    """The keys that a map lacks as bits of a number; none where the map itself is null."""
-    bits = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(1 << i).cast("bigint").alias("bit")) for i, k in enumerate(names)])
-    lacking = F.filter(bits, lambda x: _lacks_key(column, x["key"]))
-    return F.aggregate(lacking, F.lit(0).cast("bigint"), lambda acc, x: acc + x["bit"])
+def _missing(column: str, names: list[str]) -> Column:
+    """The keys that a map lacks; null where the map itself is null.
 
-
-def _lacks_key(column: str, key: Column) -> Column:
-    return F.coalesce(~F.map_contains_key(F.col(column), key), F.lit(False))
+    The map stands once, as an argument: inside a lambda its whole definition would be evaluated for every key.
+    """
+    return F.array_except(F.array(*[F.lit(k) for k in names]), F.map_keys(column))
 
 
 def missing_keys(df: DataFrame) -> DataFrame:
@@ -37,9 +34,9 @@ def missing_keys(df: DataFrame) -> DataFrame:
     A row without the map is not counted against its keys.
     """
     spec = {"top": K.BOUT_KEYS, "stats_a": K.STAT_KEYS, "stats_b": K.STAT_KEYS}
-    groups = df.groupBy(*[_missing_mask(s, names).alias(s) for s, names in spec.items()]).agg(F.count("*").alias("rows"))
-    each = F.inline(F.array(*[F.struct(F.lit(s).alias("scope"), F.lit(k).alias("key"), (F.col(s).bitwiseAND(1 << i) != 0).alias("lacks"))
-                              for s, names in spec.items() for i, k in enumerate(names)]))
+    groups = df.groupBy(*[_missing(s, names).alias(s) for s, names in spec.items()]).agg(F.count("*").alias("rows"))
+    each = F.inline(F.array(*[F.struct(F.lit(s).alias("scope"), F.lit(k).alias("key"), F.array_contains(s, k).alias("lacks"))
+                              for s, names in spec.items() for k in names]))
     counted = groups.select("rows", each).groupBy("scope", "key").agg(
         F.coalesce(F.sum(F.when(F.col("lacks"), F.col("rows"))), F.lit(0)).alias("n"), F.sum("rows").alias("total")).filter("n > 0")
     return counted.select("scope", "key", "n", "total", F.round(F.col("n") * 100.0 / F.col("total"), 1).alias("pct"))
