@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from boutlens.catalog import query
 from boutlens.functions.numbers import r6
+from boutlens.operators import accounts as A
 from boutlens.operators import ledger as L
+from boutlens.session import materialize
 from boutlens.sources import tables
 
 DELTA = "CASE event_type WHEN 'purchase' THEN 3 WHEN 'view' THEN -1 WHEN 'error' THEN 1 ELSE 0 END"
@@ -120,6 +122,50 @@ def payment_status(spark, d):
     return events(spark, d).select("event_id").join(paid, "event_id", "left").select("event_id", F.coalesce("status", F.lit("not_found")).alias("status"))
 
 
+#: accounts: what the events mean.  Users without a signup are unknown; some debits take 5, some licences are unlimited
+ACCOUNT = {
+    "kind": "CASE WHEN event_type = 'signup' THEN 'register' WHEN event_type = 'purchase' THEN 'credit' WHEN event_type = 'error' THEN 'refund' WHEN event_type = 'click' AND event_id % 9 = 0 THEN 'activate' WHEN event_type IN ('view', 'click') THEN 'debit' END",
+    "amount": "CASE WHEN event_type = 'purchase' THEN event_id % 4 WHEN event_type = 'click' AND event_id % 9 = 0 THEN CASE WHEN event_id % 2 = 0 THEN -1 ELSE 8 END WHEN event_type IN ('view', 'click') AND event_id % 7 = 0 THEN 5 ELSE 1 END",
+    "days": "CASE WHEN event_type = 'purchase' THEN CAST(event_id % 3 AS INT) ELSE 0 END",
+}
+
+
+def account_events(spark, d):
+    rows = events(spark, d).filter("event_type IN ('signup', 'purchase', 'error', 'click', 'view')")
+    expires = F.when(F.expr("event_type = 'click' AND event_id % 9 = 0 AND event_id % 5 <> 0"), F.col("ts").cast("timestamp") + F.expr("make_dt_interval(CAST(event_id % 6 AS INT))"))
+    return rows.select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", *[F.expr(x).alias(k) for k, x in ACCOUNT.items()], expires.alias("expires_at"))
+
+
+#: one step per event of each user
+_WALK = f"""WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, ts, event_id, {', '.join(f'{x} AS {k}' for k, x in ACCOUNT.items())},
+    CASE WHEN event_type = 'click' AND event_id % 9 = 0 AND event_id % 5 <> 0 THEN ts + to_days(CAST(event_id % 6 AS INT)) END AS until,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE event_type IN ('signup', 'purchase', 'error', 'click', 'view')),
+  w(user_id, event_id, i, kind, status, balance, plan, expires, active) AS (SELECT DISTINCT user_id, -1::BIGINT, 0::BIGINT, '', '', 0::BIGINT, '', NULL::TIMESTAMP, false FROM e
+   UNION ALL SELECT user_id, event_id, i, kind, status,
+     CASE WHEN status <> 'ok' THEN balance WHEN kind = 'register' THEN {A.K.TRIAL_PREDICTIONS} WHEN kind = 'activate' THEN amount WHEN kind = 'credit' THEN balance + amount WHEN balance = -1 THEN -1
+       WHEN kind = 'refund' THEN balance + amount ELSE balance - amount END,
+     CASE WHEN status <> 'ok' THEN plan WHEN kind = 'register' THEN 'free' WHEN kind = 'activate' THEN 'pro' ELSE plan END,
+     CASE WHEN status <> 'ok' THEN expires WHEN kind = 'register' THEN NULL WHEN kind = 'activate' THEN until WHEN kind = 'credit' AND days > 0 THEN greatest(coalesce(expires, ts + to_days(days)), ts + to_days(days)) ELSE expires END,
+     CASE WHEN status = 'expired' THEN false WHEN status = 'ok' AND (kind IN ('register', 'activate') OR (kind = 'credit' AND days > 0)) THEN true ELSE active END
+   FROM (SELECT e.*, w.balance, w.plan, w.expires, w.active, CASE WHEN e.kind = 'register' THEN CASE WHEN w.plan = '' THEN 'ok' ELSE 'none' END WHEN w.plan = '' THEN 'unknown' WHEN e.kind <> 'debit' THEN 'ok'
+       WHEN NOT w.active THEN 'inactive' WHEN w.expires IS NOT NULL AND e.ts > w.expires THEN 'expired' WHEN w.balance = -1 OR w.balance >= e.amount THEN 'ok' ELSE 'empty' END AS status
+     FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1))"""
+
+
+@query("account_walk", f"{_WALK} SELECT event_id, status, balance, plan, coalesce(strftime(expires, '%Y-%m-%d %H:%M:%S'), '') AS expires, CAST(active AS INT) AS is_active FROM w WHERE i > 0")
+def account_walk(spark, d):
+    out = A.walk(account_events(spark, d))
+    return out.select("event_id", "status", "balance", "plan", F.coalesce(F.date_format("expires_at", "yyyy-MM-dd HH:mm:ss"), F.lit("")).alias("expires"), F.col("is_active").cast("int").alias("is_active"))
+
+
+@query("account_final", f"""{_WALK}, l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY i DESC) AS r FROM w WHERE status <> 'unknown' OR kind = 'debit')
+  SELECT user_id, CAST(max(CASE WHEN r = 1 THEN balance END) AS BIGINT) AS balance, max(CASE WHEN r = 1 THEN plan END) AS plan, count(*) FILTER (kind = 'debit' AND status = 'ok') AS accepted, count(*) FILTER (kind = 'debit' AND status <> 'ok') AS rejected
+  FROM l WHERE i > 0 GROUP BY 1""")
+def account_final(spark, d):
+    out = A.final(materialize(A.walk(account_events(spark, d)), "accounts-walked"))
+    return out.select("user_id", "balance", "plan", "accepted", "rejected")
+
+
 _LANG = "CASE event_id % 4 WHEN 0 THEN 'ru' WHEN 1 THEN 'en' END"
 
 

@@ -32,9 +32,8 @@ def running_balance(events: DataFrame, key: str = "user_id", start: int = 0, sec
     The walk with a floor has a closed form, sum - min(0, lowest sum so far), and both
     parts combine over buckets: no list of a user's events is ever collected.
     ``events``: key, ts, event_id, delta.  Adds ``plain`` (without the floor) and ``balance``.
-    A debit takes one unit: with larger ones a rejected debit and a floor would differ, so they raise an error.
+    A step below the floor takes what is there; accounts that reject a debit larger than the balance are `accounts.walk`.
     """
-    events = events.withColumn("delta", F.when(F.col("delta") < -1, F.raise_error("a debit takes one unit")).otherwise(F.col("delta")))
     order = Window.partitionBy(key, "_b").orderBy("ts", "event_id")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     rows = events.withColumn("_b", bucket(F.col("ts"), seconds)).withColumn("_s", F.sum("delta").over(upto))
