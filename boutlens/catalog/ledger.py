@@ -209,8 +209,8 @@ def events_tumbling(spark, d):
 @query("events_session", """SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid FROM (
   SELECT user_id, event_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) <= 7200000000 THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, sid""")
 def events_session(spark, d):
-    g = events(spark, d).groupBy("user_id", F.session_window("ts", "2 hours").alias("w")).agg(F.count("*").alias("n"))
-    return g.select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("start"), "n")
+    g = L.sessions(events(spark, d))
+    return g.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("start"), "n")
 
 
 _SECRET = "example-secret"

@@ -1,20 +1,18 @@
 """Balances, payments and licences over event tables.
 
-Histories per user or per amount are scanned in two levels, inside a time bucket and
-over the buckets of a key, so that one busy user or one popular amount is spread over
-many tasks and the upper level holds one row per bucket.
+Histories per user or per amount are scanned in sorted ranges (`ranges`) whose edges follow the measured amounts of
+rows, so that one busy user or one popular amount is spread over many tasks and the upper level holds one row per range.
 """
 
 from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boutlens import constants as K
-
-HOUR = 3600
+from boutlens.operators.ranges import in_order, running
 
 
 def micros(ts: Column | str) -> Column:
@@ -22,30 +20,18 @@ def micros(ts: Column | str) -> Column:
     return F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
 
 
-def bucket(ts: Column, seconds: int) -> Column:
-    return F.floor(micros(ts) / (seconds * 1000000.0)).cast("bigint")
-
-
-def running_balance(events: DataFrame, key: str = "user_id", start: int = 0, seconds: int = HOUR) -> DataFrame:
+def running_balance(events: DataFrame, key: str = "user_id", start: int = 0) -> DataFrame:
     """Balance after each event when every step is ``max(0, balance + delta)``.
 
     The walk with a floor has a closed form, sum - min(0, lowest sum so far), and both
-    parts combine over buckets: no list of a user's events is ever collected.
+    parts are running totals over sorted ranges: no list of a user's events is ever collected.
     ``events``: key, ts, event_id, delta.  Adds ``plain`` (without the floor) and ``balance``.
     A step below the floor takes what is there; accounts that reject a debit larger than the balance are `accounts.walk`.
     """
-    order = Window.partitionBy(key, "_b").orderBy("ts", "event_id")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = events.withColumn("_b", bucket(F.col("ts"), seconds)).withColumn("_s", F.sum("delta").over(upto))
-    rows = rows.withColumn("_m", F.min("_s").over(upto))
-    blocks = rows.groupBy(key, "_b").agg(F.sum("delta").alias("_sum"), F.min("_s").alias("_low"))
-    earlier = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_sum0", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)) + start)
-    blocks = blocks.withColumn("_low0", F.min(F.col("_sum0") + F.col("_low")).over(earlier)).select(key, "_b", "_sum0", "_low0")
-    joined = rows.join(blocks, [key, "_b"])
-    plain = F.col("_sum0") + F.col("_s")
-    lowest = F.least(F.lit(0), F.col("_low0"), F.col("_sum0") + F.col("_m"))
-    return joined.withColumns({"plain": plain, "balance": plain - lowest}).drop("_b", "_s", "_m", "_sum0", "_low0")
+    rows = running(in_order(events, [key], ["ts", "event_id"], "balances"), [key], {"_s": ("sum", F.col("delta").cast("long"))})
+    rows = running(rows, [key], {"_low": ("min", F.col("_s"))})
+    plain = F.col("_s") + start
+    return rows.withColumns({"plain": plain, "balance": plain - F.least(F.lit(0), F.col("_low") + start)}).drop("_s", "_low", "_part", "_row")
 
 
 def final_balance(events: DataFrame, key: str = "user_id", start: int = 0) -> DataFrame:
@@ -58,13 +44,24 @@ def final_balance(events: DataFrame, key: str = "user_id", start: int = 0) -> Da
     return g.select(key, "balance", (F.col("_debits") - rejected).alias("accepted"), rejected.alias("rejected"))
 
 
-def previous_time(events: DataFrame, key: str, seconds: int = 24 * HOUR) -> DataFrame:
+def previous_time(events: DataFrame, key: str) -> DataFrame:
     """Add ``previous_ts``: time of the key's previous event."""
-    rows = events.withColumn("_b", bucket(F.col("ts"), seconds))
-    inside = F.lag("ts").over(Window.partitionBy(key, "_b").orderBy("ts", "event_id"))
-    ends = rows.groupBy(key, "_b").agg(F.max("ts").alias("_end"))
-    ends = ends.select(key, "_b", F.lag("_end").over(Window.partitionBy(key).orderBy("_b")).alias("_prev"))
-    return rows.withColumn("_in", inside).join(ends, [key, "_b"]).withColumn("previous_ts", F.coalesce("_in", "_prev")).drop("_b", "_in", "_prev")
+    rows = in_order(events, [key], ["ts", "event_id"], "previous")
+    return running(rows, [key], {"previous_ts": ("max", F.col("ts"))}, inclusive=False).drop("_part", "_row")
+
+
+def sessions(events: DataFrame, key: str = "user_id", gap: int = 7200) -> DataFrame:
+    """(key, start, end, n): runs of events with at most ``gap`` seconds between neighbours.
+
+    Events are numbered by session in sorted ranges, so the sessions of a hot key are put together over the edges of its
+    ranges and its events never meet in one task.
+    """
+    rows = in_order(events.select(key, "ts", "event_id"), [key], ["ts", "event_id"], "sessions")
+    rows = running(rows, [key], {"_before": ("max", F.col("ts"))}, inclusive=False)
+    opens = F.col("_before").isNull() | (micros("ts") - micros("_before") > gap * 1_000_000)
+    rows = running(rows, [key], {"_session": ("sum", opens.cast("long"))})
+    out = rows.groupBy(key, "_session").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("n"))
+    return out.drop("_session")
 
 
 def rate_limit(events: DataFrame, key: str, pro: Column, hours: int = K.TRAINING_PAUSE_HOURS) -> DataFrame:
@@ -78,29 +75,25 @@ def rate_limit(events: DataFrame, key: str, pro: Column, hours: int = K.TRAINING
 def match_payments(receipts: DataFrame, reservations: DataFrame, seconds: int = K.PAYMENT_WINDOW_SECONDS) -> DataFrame:
     """Each receipt with the earliest reservation of the same amount made up to ``seconds`` before it.
 
-    A reservation goes to its earliest receipt only.  The window touches two time
-    buckets at most: the rest of the first is searched by a window inside (amount,
-    bucket), the second only needs its earliest reservation.  No receipt-reservation
-    pairs are formed.  Both inputs: event_id, ts, amount.
+    A reservation goes to its earliest receipt only.  Each receipt is put at the start of its window among the reservations of its
+    amount; read backwards in sorted ranges, the last reservation seen is the first one after that moment.  No receipt-reservation
+    pairs are formed, and a popular amount is spread over ranges.  Both inputs: event_id, ts, amount.
     """
-    res = reservations.select("amount", "ts", F.struct("ts", F.col("event_id").alias("reservation_id")).alias("_res")).withColumn("_b", bucket(F.col("ts"), seconds))
-    opens = F.col("ts") - F.make_dt_interval(secs=F.lit(seconds))
-    ask = receipts.select("amount", opens.alias("_from"), F.struct("ts", F.col("event_id").alias("receipt_id")).alias("_rec"))
-    ask = ask.withColumn("_b", bucket(F.col("_from"), seconds))
-    marks = ask.select("amount", "_b", F.col("_from").alias("_t"), F.lit(0).alias("_kind"), F.lit(None).cast(res.schema["_res"].dataType).alias("_res"), "_rec")
-    offers = res.select("amount", "_b", F.col("ts").alias("_t"), F.lit(1).alias("_kind"), "_res", F.lit(None).cast(ask.schema["_rec"].dataType).alias("_rec"))
-    following = Window.partitionBy("amount", "_b").orderBy("_t", "_kind", F.col("_res.reservation_id")).rowsBetween(0, Window.unboundedFollowing)
-    found = marks.unionByName(offers).withColumn("_first", F.first("_res", ignorenulls=True).over(following)).filter("_kind = 0")
-    heads = res.groupBy("amount", "_b").agg(F.min("_res").alias("_head")).withColumn("_b", F.col("_b") - 1)
-    both = found.join(heads, ["amount", "_b"], "left").withColumn("_hit", F.coalesce("_first", "_head"))
-    hits = both.filter(F.col("_hit.ts") <= F.col("_rec.ts"))
+    moment = lambda us, kind, i: {"_t": -us, "_kind": -F.lit(kind), "_id": -i}
+    offers = reservations.select("amount", F.struct("ts", F.col("event_id").alias("reservation_id")).alias("_res"))
+    ask = receipts.select("amount", F.struct("ts", F.col("event_id").alias("receipt_id")).alias("_rec"))
+    offers = offers.withColumn("_rec", F.lit(None).cast(ask.schema["_rec"].dataType)).withColumns(moment(micros(F.col("_res.ts")), 1, F.col("_res.reservation_id")))
+    marks = ask.withColumn("_res", F.lit(None).cast(offers.schema["_res"].dataType)).withColumns(moment(micros(F.col("_rec.ts")) - seconds * 1_000_000, 0, F.col("_rec.receipt_id")))
+    rows = in_order(marks.unionByName(offers), ["amount"], ["_t", "_kind", "_id"], "payments")
+    rows = running(rows, ["amount"], {"_next": ("max", F.when(F.col("_res").isNotNull(), F.struct("_row", "_res")))})
+    hits = rows.filter(F.col("_rec").isNotNull()).withColumn("_hit", F.col("_next._res")).filter(F.col("_hit.ts") <= F.col("_rec.ts"))
     one = hits.groupBy(F.col("_hit.reservation_id").alias("reservation_id"), "amount").agg(F.min("_rec").alias("_rec"))
     return one.select("reservation_id", "_rec.receipt_id", "amount", F.col("_rec.ts").alias("paid_at"))
 
 
 def amount_collisions(reservations: DataFrame, seconds: int = K.PAYMENT_WINDOW_SECONDS) -> DataFrame:
     """Reservations whose amount was already reserved in the ``seconds`` before."""
-    df = previous_time(reservations, "amount", seconds)
+    df = previous_time(reservations, "amount")
     gap = (micros("ts") - micros("previous_ts")) / 1000000.0
     return df.filter(gap <= seconds)
 

@@ -101,9 +101,9 @@ def test_signature_equals_the_standard_library(spark):
         assert all(r.s == hmac.new(secret.encode(), r.p.encode(), hashlib.sha256).hexdigest()[:16] for r in got)
 
 
-def test_activation_never_goes_below_zero_and_large_debits_are_refused(spark):
+def test_activation_never_goes_below_zero_and_large_steps_stop_no_job(spark):
     rows = [("u", "2024-01-01 00:00:00", 0, 0, True)] + [("u", f"2024-01-01 0{i}:00:00", i, -1, False) for i in range(1, 7)] + [("u", "2024-01-01 09:00:00", 9, 2, False)]
     df = spark.createDataFrame(rows, "user_id string, t string, event_id int, delta int, s boolean").withColumn("ts", F.to_timestamp("t"))
     assert L.activations(df, "user_id", F.col("s"), 3).first().balance == 2
-    with pytest.raises(Exception, match="one unit"):
-        L.running_balance(df.withColumn("delta", F.lit(-2))).collect()
+    walked = L.running_balance(df.withColumn("delta", F.lit(-2)), start=3).orderBy("ts").collect()
+    assert [r.balance for r in walked] == [1, 0, 0, 0, 0, 0, 0, 0] and walked[-1].plain == 3 - 16
