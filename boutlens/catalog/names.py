@@ -55,18 +55,21 @@ _scalar("amount_extract", "events", "event_id", RAW_SMS, lambda c: F.coalesce(T.
     "amount")
 
 
-def _marks_sql(x):
-    kept = f"regexp_replace({x}, '{T.DROPPED}', '', 'g')"
-    return f"trim(regexp_replace(regexp_replace({kept}, '{T.DASHES}', '-', 'g'), '{T.SPACE}', ' ', 'g'))"
+def _clean_text_sql(x):
+    out = f"regexp_replace(regexp_replace({x}, '{T.DROPPED}', '', 'g'), '{T.DASHES}', '-', 'g')"
+    blank = T.SPACE[:-1]
+    for _ in range(2):
+        out = f"regexp_replace({out}, '(?i)({T.LETTER}){blank}+({T.LETTER})({blank}|[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}{T.LETTER[1:-1]}]|$)', '\\1\\2\\3', 'g')"
+    return f"trim(regexp_replace({out}, '{T.SPACE}', ' ', 'g'))"
 
 
 @query("clean_text", f"""SELECT src, id, part, length(t) AS n, md5(t) AS digest FROM (
-  SELECT 'documents' AS src, doc_id AS id, CAST(0 AS BIGINT) AS part, {_marks_sql('text')} AS t FROM documents
-  UNION ALL SELECT 'conversations', conv_id, turn, {_marks_sql('text')} FROM conversations)""")
+  SELECT 'documents' AS src, doc_id AS id, CAST(0 AS BIGINT) AS part, {_clean_text_sql('text')} AS t FROM documents
+  UNION ALL SELECT 'conversations', conv_id, turn, {_clean_text_sql('text')} FROM conversations)""")
 def clean_text(spark, d):
     docs = tables.table(spark, d, "documents").select(F.lit("documents").alias("src"), F.col("doc_id").alias("id"), F.lit(0).cast("bigint").alias("part"), "text")
     talk = tables.table(spark, d, "conversations").select(F.lit("conversations").alias("src"), F.col("conv_id").alias("id"), F.col("turn").alias("part"), "text")
-    t = T.strip_marks(F.col("text"))
+    t = T.clean_text(F.col("text"))
     return docs.union(talk).select("src", "id", "part", t.alias("t")).select(
         "src", "id", "part", F.length("t").alias("n"), F.md5("t").alias("digest"))
 

@@ -37,14 +37,22 @@ def strip_marks(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(kept, DASHES, "-"), SPACE, " "))
 
 
-def clean_text(text: Column, passes: int = 10) -> Column:
-    """`strip_marks` that also rejoins letter-spaced words, in at most ``passes`` sweeps."""
+def join_spaced(text: Column) -> Column:
+    """Words spelt with blanks, put together: a lone letter joins the word before it, again and again until nothing changes.
+
+    Two sweeps reach that end for words of any length.  One sweep takes lone letters in pairs, since a letter that has just
+    been joined cannot be joined to as well: of the letters after a word, the first joins the word and the others each
+    other, two by two.  If their number is even, one is left alone, and the second sweep joins it to the pair before.
+    """
+    for _ in range(2):
+        text = F.regexp_replace(text, rf"(?iuU)({LETTER})\s+({LETTER})(\s|[^\w{LETTER[1:-1]}]|$)", "$1$2$3")
+    return text
+
+
+def clean_text(text: Column) -> Column:
+    """`strip_marks` that also rejoins letter-spaced words."""
     kept = F.regexp_replace(F.coalesce(text, F.lit("")), DROPPED, "")
-    joined = F.regexp_replace(kept, DASHES, "-")
-    spaced = rf"(?iuU)({LETTER})\s+({LETTER})(?=\s|[^\wа-яёa-zA-Z]|$)"
-    for _ in range(passes):
-        joined = F.regexp_replace(joined, spaced, "$1$2")
-    return F.trim(F.regexp_replace(joined, SPACE, " "))
+    return F.trim(F.regexp_replace(join_spaced(F.regexp_replace(kept, DASHES, "-")), SPACE, " "))
 
 
 def norm_ru(name: Column) -> Column:

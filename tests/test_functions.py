@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -38,6 +39,20 @@ def test_clean_text_joins_spaced_letters(spark):
     assert many(spark, texts, "n string", T.clean_text(F.col("n"))) == ["abc", "x - y", "Ив ан Петров", "onetwo", "wellknown"]
 
 
+def test_two_sweeps_are_the_fixed_point(spark):
+    """Against as many sweeps as it takes, each of which looks ahead at the boundary without taking it."""
+    rng = random.Random(12)
+    rule = re.compile(r"([а-яёa-zA-Z])\s+([а-яёa-zA-Z])(?=\s|[^\wа-яёa-zA-Z]|$)", re.IGNORECASE)
+    texts = ["", " ", "a", "a b", "a b c d e f g h i j k l m n o p q r s t u v w x y z", "ab c. d e 1 f g2 h_ i", "И в а н о в  и  П е т р о в"]
+    texts += ["".join(rng.choice(["a", "Б", "ё", "xy", " ", " ", "  ", ".", "1", "_", "é"]) for _ in range(rng.randrange(1, 40))) for _ in range(600)]
+    want = []
+    for t in texts:
+        while (new := rule.sub(r"\1\2", t)) != t:
+            t = new
+        want.append(t)
+    assert many(spark, texts, "n string", T.join_spaced(F.col("n"))) == want
+
+
 def test_split_pair(spark):
     got = many(spark, ["A B vs C D", "A B C D", "one", "x" * 41 + " - y", "A — B"], "n string", T.split_pair(F.col("n")))
     assert [g and (g["f1"], g["f2"]) for g in got] == [("A B", "C D"), ("A B", "C D"), None, None, ("A", "B")]
