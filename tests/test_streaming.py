@@ -67,3 +67,33 @@ def test_count_trigger(spark, tmp_path):
     assert trained == [180]
     assert trigger.status() == {"buffer_size": 60, "batch_size": 150, "is_training": True, "fights_remaining": 90}
     assert trigger.flush() == "buffered" and trigger.set_training(False) == "buffered"
+
+
+def test_a_micro_batch_reads_no_earlier_folders(spark, tmp_path):
+    trained = []
+    trigger = CountTrigger(spark, str(tmp_path / "buf"), lambda df, i: trained.append((i, df.count(), len(df.inputFiles()))), "bout_id long", size=30)
+    rows = lambda a, n: spark.range(a, a + n).select(F.col("id").alias("bout_id")).coalesce(1)
+    seen = []
+    for k in range(12):
+        trigger.on_batch(rows(10 * k, 10), k)
+        seen.append((len(trigger.pending().inputFiles()), len(trigger._lists())))
+    assert trained == [(2, 30, 3), (5, 30, 3), (8, 30, 3), (11, 30, 3)]
+    assert max(f for f, _ in seen) == 2 and max(n for _, n in seen) == 2
+    # an empty micro-batch is not listed, and a replayed one counts once
+    trigger.on_batch(rows(0, 0), 12)
+    trigger.on_batch(rows(500, 20), 13)
+    trigger.on_batch(rows(500, 20), 13)
+    assert trigger.status()["buffer_size"] == 20 and sorted(r["bout_id"] for r in trigger.pending().collect()) == list(range(500, 520))
+    trigger.on_batch(rows(600, 15), 14)
+    assert trained[-1][:2] == (14, 35) and trigger.flush() == "empty"
+
+
+def test_stream_windows_equal_the_batch_forms(spark, tmp_path):
+    rows = [(i, T0 + dt.timedelta(minutes=7 * i), i % 3, "view" if i % 2 else "click", float(i)) for i in range(200)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double")
+    got = _run(jobs.tumbling(_stream(spark, df, tmp_path / "w")), "tumbling", tmp_path, "complete").collect()
+    want = df.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select("w.start", "event_type", "n", "total")
+    assert {tuple(r) for r in got} == {tuple(r) for r in want.collect()} and got
+    ended = _run(jobs.sessions(_stream(spark, df.filter("event_id % 10 < 3 OR user_id = 0"), tmp_path / "s2"), gap="30 minutes"), "sessions", tmp_path, "complete").collect()
+    batch = L.sessions(df.filter("event_id % 10 < 3 OR user_id = 0"), gap=1799)
+    assert {(r["user_id"], r["start"], r["n"]) for r in ended} == {(r["user_id"], r["start"], r["n"]) for r in batch.collect()} and ended
