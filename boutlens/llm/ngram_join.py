@@ -44,9 +44,11 @@ HOT = 8
 
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct shingle hashes of one text."""
-    h = words.text_hashes(text, lower=True)
+    h = words.text_hashes((text or "").encode().lower())  # bytes: only A-Z change
     if len(h) >= SHINGLE:
-        return np.unique(words.Sequence(h).grams(SHINGLE))
+        g = words.Sequence(h).grams(SHINGLE)
+        g.sort()
+        return g[np.append(True, g[1:] != g[:-1])]
     return words.Sequence(h).of(np.array([0]), np.array([len(h)])) if len(h) else h
 
 
