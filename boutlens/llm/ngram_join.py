@@ -222,10 +222,24 @@ def merge(labels: DataFrame, links: DataFrame, label: str) -> DataFrame:
 
 
 def components(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, tid, n_shingles, component_id): a row per row of ``docs``; ``tid`` is the hash of the text."""
+    """(doc_id, tid, n_shingles, component_id, comp): a row per row of ``docs``; ``tid`` is the hash of the text, ``comp`` tells components
+    apart that share a name, since one id can be on unrelated texts; it is null for empty sets."""
     sets, counts = describe(docs, text)
     tokens = prefixes(docs, total(counts), text)
     check = Verifier(docs, sets, tokens, text)
+    try:
+        labels = materialize(_labels(tokens, check), "ngram-labels")
+    finally:
+        check.close()
+
+    least = sets.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("least")).join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    named = least.join(least.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("sid", "component_id", "comp")
+    out = sets.join(materialize(named, "ngram-named"), "sid", "left")
+    return out.select("doc_id", "tid", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "comp")
+
+
+def _labels(tokens: DataFrame, check: Verifier) -> DataFrame:
+    """(sid, comp) of all sets that share a prefix shingle with another."""
     labels = check.slim.select("sid", F.col("sid").alias("comp"))
 
     def pivots(r: int) -> DataFrame:
@@ -252,21 +266,23 @@ def components(docs: DataFrame, text: str = "text") -> DataFrame:
     pairs = out.join(other, (F.col("token") == F.col("t")) & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("large")) | (F.col("a") < F.col("b")))
                      & near_sizes(F.col("na"), F.col("nb")) & (room >= alpha(F.col("na"), F.col("nb"))))
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "ngram-pairs-last")
-    labels = merge(labels, check.links(pairs, "ngram-last"), "ngram-last")
-
-    check.close()  # all that was read from it is written
-
-    least = sets.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("least")).join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    named = least.join(least.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("sid", "component_id")
-    out = sets.join(materialize(named, "ngram-named"), "sid", "left")
-    return out.select("doc_id", "tid", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return merge(labels, check.links(pairs, "ngram-last"), "ngram-last")
 
 
 def representatives(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that name their group, once each; all rows without an id stay, as do rows without words."""
-    own = [c for c in docs.columns if not c.startswith("_")]
-    keep = components(docs, text).where("doc_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias("_d"), F.col("tid").alias("_t")).distinct()
-    rows = docs.withColumn("_tid", F.hash(text))
-    rows = rows.join(keep, rows.doc_id.eqNullSafe(keep._d) & (rows._tid == keep._t), "left_semi")
-    once = rows.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    """One row of ``docs``, with all its columns, of each component: the one whose id names it.
+
+    Where that id is on several texts of the component, the one with the least hash; where it is on unrelated texts, each of their components keeps its
+    own row.  All rows without an id stay.  Of the rows of one id without words, one stays.
+    """
+    own = docs.columns
+    at = "_tid"
+    while at in own:
+        at += "_"
+    found = components(docs, text)
+    named = found.where("doc_id = component_id").groupBy("doc_id", "comp").agg(F.min("tid").alias("tid")).select("doc_id", "tid")
+    keep = materialize(named.unionByName(found.where("doc_id IS NULL").select("doc_id", "tid")).distinct(), "ngram-keep").toDF("_keep_d", "_keep_t")
+    rows = docs.select(*own, F.hash(text).alias(at))
+    rows = rows.join(keep, rows["doc_id"].eqNullSafe(keep["_keep_d"]) & (rows[at] == keep["_keep_t"]), "left_semi")
+    once = rows.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", at])
     return once.unionByName(rows.where("doc_id IS NULL")).select(*own)

@@ -68,12 +68,27 @@ def test_components_equal_brute_force(make, monkeypatch, seed, fan, hot):
     assert sorted(map(tuple, got), key=repr) == brute(rows)
 
 
+def groups(rows):
+    """Components as sets of rows; rows without words are one group per id."""
+    sets = [grams(t) for _, t in rows]
+    out = []
+    for i, (d, _) in enumerate(rows):
+        linked = [g for g in out if any((sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])) or (not sets[i] and not sets[j] and d == rows[j][0]) for j in g)]
+        out = [g for g in out if g not in linked] + [{i}.union(*linked)]
+    return out
+
+
 def test_one_row_of_each_group_stays(make):
-    rows = corpus(4, groups=4, size=8)
-    want = {c for _, n, c in brute(rows) if c is not None}
-    kept = ngram_join.representatives(make(rows).withColumn("extra", F.lit(7))).collect()
-    named = [r.doc_id for r in kept if r.doc_id is not None]
-    assert set(named) == want and len(named) == len(want) and all(r.extra == 7 for r in kept)
+    rows = corpus(4, groups=4, size=8) + [(502, None), (0, "unrelated text under a reused id"), (0, "yet another one with that id")]
+    kept = ngram_join.representatives(make(rows).withColumn("extra", F.lit(7)).withColumn("_tid", F.lit(8)).withColumn("_mine", F.lit(9)).withColumn("comp", F.lit(1))).collect()
+    assert all((r.extra, r._tid, r._mine, r.comp) == (7, 8, 9, 1) for r in kept)
+    named = [(r.doc_id, r.text) for r in kept if r.doc_id is not None]
+    want = [g for g in groups(rows) if any(rows[i][0] is not None for i in g)]
+    for g in want:
+        least = min(rows[i][0] for i in g if rows[i][0] is not None)
+        mine = {rows[i] for i in g}
+        assert sum(r in mine and r[0] == least for r in named) == 1, (least, mine)
+    assert len(named) == len(want) and sum(d == 0 for d, _ in named) >= 2
     assert sum(r.doc_id is None for r in kept) == 2
 
 
