@@ -205,6 +205,12 @@ class Verifier:
         return out
 
 
+def _sweep(df: DataFrame) -> None:
+    """Spark deletes shuffle files once the driver's JVM has collected the frames that made them.  Between steps that each shuffle
+    much this is asked for, so that the files of finished steps don't add up on disk."""
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def merge(labels: DataFrame, links: DataFrame, label: str) -> DataFrame:
     """Labels (sid, comp) after links between their components."""
     edge = lambda e: e.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
@@ -226,6 +232,7 @@ def components(docs: DataFrame, text: str = "text") -> DataFrame:
     apart that share a name, since one id can be on unrelated texts; it is null for empty sets."""
     sets, counts = describe(docs, text)
     tokens = prefixes(docs, total(counts), text)
+    _sweep(tokens)
     check = Verifier(docs, sets, tokens, text)
     try:
         labels = materialize(_labels(tokens, check), "ngram-labels")
@@ -255,6 +262,7 @@ def _labels(tokens: DataFrame, check: Verifier) -> DataFrame:
 
     for r in range(ROUNDS):
         labels = merge(labels, check.links(materialize(pivots(r), f"ngram-pairs-{r}"), f"ngram-{r}"), f"ngram-{r}")
+        _sweep(labels)
 
     rows = materialize(tokens.join(labels, "sid"), "ngram-members")
     large = rows.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("large"), F.count("*").alias("comps")).where("comps > 1")
