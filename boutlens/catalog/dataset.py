@@ -316,3 +316,20 @@ def audit_sample(spark, d):
     df = tables.table(spark, d, "orders").select(
         "o_orderkey", F.floor(F.col("o_orderkey") / 2000).alias("file"), (F.col("o_orderkey") % 2000).alias("pos"))
     return QA.samples(df, "file", "pos").select("file", "o_orderkey", "rows_in_file", "label")
+
+
+#: the service tables' unique columns, with repetitions: relation, column, table, rows, value
+_SERVICE = [
+    ("users", "device_id", "customer", "true", "'dev' || (c_custkey - CASE WHEN c_custkey % 50 = 0 THEN 1 ELSE 0 END)"),
+    ("users", "email", "customer", "true", "CASE WHEN c_custkey % 3 <> 0 THEN lower(c_mktsegment) || (c_custkey % 900) || '@example.org' END"),
+    ("payments", "transaction_id", "events", "event_type = 'purchase'", "'tx' || CAST(floor(event_id / 3) AS BIGINT)"),
+    ("licenses", "user_id", "events", "event_type = 'signup'", "user_id"),
+]
+
+
+@query("service_keys", " UNION ALL ".join(
+    f"SELECT '{relation}' AS relation, '{key}' AS key, CAST({value} AS VARCHAR) AS value, count(*) AS n FROM {source} WHERE {rows} AND ({value}) IS NOT NULL GROUP BY 3 HAVING count(*) > 1"
+    for relation, key, source, rows, value in _SERVICE))
+def service_keys(spark, d):
+    """Devices, addresses, transactions and licences per user that are not unique."""
+    return QA.key_violations([(relation, tables.table(spark, d, source).filter(rows).select(F.expr(value).alias(key)), key) for relation, key, source, rows, value in _SERVICE])

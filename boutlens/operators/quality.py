@@ -106,3 +106,16 @@ def file_sizes(df: DataFrame) -> DataFrame:
 def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that occur more than once; counts are combined before the shuffle."""
     return df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def key_violations(checks: list[tuple[str, DataFrame, str]]) -> DataFrame:
+    """(relation, key, value, n) of values that occur more than once where they must be unique; missing values may repeat.
+
+    Counts are combined before the shuffle, one row per distinct value.
+    """
+    parts = [duplicates(df.filter(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("value")), ["value"]).select(
+        F.lit(relation).alias("relation"), F.lit(key).alias("key"), "value", "n") for relation, df, key in checks]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -211,3 +211,10 @@ def test_odds_feed(spark, tmp_path):
     (tmp_path / "o.json").write_text(json.dumps(events))
     got = feeds.odds_rows(feeds.read_odds_feed(spark, f"{tmp_path}/o.json")).orderBy("home_team").collect()
     assert [(r["bookmaker"], r["home_odds"], r["away_odds"]) for r in got] == [("Book", 1.6, 1.85), ("no data", 1.85, 1.85), ("Book", 1.85, 1.85)]
+
+
+def test_key_violations_skip_missing_values(spark):
+    from boutlens.operators import quality as QA
+    df = spark.createDataFrame([("a", 1), ("a", 2), (None, 3), (None, 3), ("b", 4)], "device string, user long")
+    got = {tuple(r) for r in QA.key_violations([("users", df, "device"), ("licenses", df, "user"), ("none", df.limit(0), "user")]).collect()}
+    assert got == {("users", "device", "a", 2), ("licenses", "user", "3", 2)}
