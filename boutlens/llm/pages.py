@@ -11,7 +11,8 @@ and on the same texts dressed in other layouts (`dressed`), so that it doesn't r
 
 Defined cases: null and empty pages and pages without text give an empty text; repeated rows give equal texts; without any page to learn
 from, the layouts are dressed with the texts of paragraphs; broken markup is read as browsers do, roughly: unknown end tags are skipped,
-paragraphs, list items and cells end where the next begins, unclosed raw elements run to the end.
+paragraphs, list items and cells end where the next begins, unclosed raw elements run to the end, a ``<`` whose tag never ends is text.
+Very long, broad, deep or broken pages take time and memory in proportion to their length.  A page is one row, read whole by one task.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import html
 import math
 import random
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 SAMPLE, DRESSES = 300, 3
 TREES, DEPTH, BINS, RATE = 60, 3, 32, 0.25
 PRICE = 1.0
-BATCH_PAGES = 64
+BATCH_PAGES, SCORED = 64, 8192
 
 # Elements of HTML by the way they take part in text.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -42,7 +45,13 @@ STOPS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table
 #: block elements that end an open paragraph
 ENDS_P = frozenset("address article aside blockquote center div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
+#: for the tags that end open blocks: (blocks that they end, blocks beyond which they don't look)
+ENDS = {name: (("p",), ("td", "th", "table", "body")) for name in sorted(ENDS_P)} | {name: (ended, STOPS.get(name, ())) for name, ended in CLOSES.items() if name != "p"}
+
+START = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z]))")
+NAME = re.compile(r"[^\s/>]*+")
+REST = re.compile(r"((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>", re.S)
+SPECIAL = re.compile(r"[\"'>]")
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 TOKEN = re.compile(r"[a-z]+")
 
@@ -59,12 +68,72 @@ class Block:
     number: int = -1
 
 
+class Tags:
+    """Tags of a page, one after the other, in time linear in the page, whatever is left open.
+
+    A tag ends at the first ``>`` outside quotes.  What looks like a tag but has no such end is text.  Where one has none, the ends for
+    the rest of the page are found in one sweep from its end, so no later one is searched for in vain.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = page.rfind(">")
+        self.dead = 0
+        self.places: list[int] | None = None
+        self.ends: list[int] = []
+
+    def _sweep(self, at: int) -> None:
+        self.places = [m.start() for m in SPECIAL.finditer(self.page, at)]
+        self.ends = [-1] * (len(self.places) + 1)
+        after = {}
+        for k in range(len(self.places) - 1, -1, -1):
+            c = self.page[self.places[k]]
+            if c == ">":
+                self.ends[k] = self.places[k]
+            else:
+                self.ends[k] = self.ends[after[c] + 1] if c in after else -1
+                after[c] = k
+
+    def _end(self, at: int) -> int:
+        """Place of the ``>`` that ends the tag whose attributes begin at ``at``, or -1."""
+        if self.places is None:
+            m = REST.match(self.page, at)
+            if m:
+                return m.end() - 1
+            self._sweep(at)
+        return self.ends[bisect_left(self.places, at)]
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """(start, end, name, closing, attributes) of the first tag from ``at`` on; comments and declarations have no name."""
+        page = self.page
+        while m := START.search(page, at):
+            at = m.end()
+            if m.group(1):
+                stop = page.find("-->", at)
+                return m.start(), stop + 3 if stop >= 0 else len(page), "", False, ""
+            if at > self.last:
+                continue
+            if m.group(2):
+                return m.start(), page.index(">", at) + 1, "", False, ""
+            if at <= self.dead:
+                continue
+            named = NAME.match(page, at).end()
+            end = self._end(named)
+            if end >= 0:
+                return m.start(), end + 1, page[at - 1 : named].lower(), bool(m.group(3)), page[named:end]
+            self.dead = named
+        return None
+
+
 def tree(page: str | None) -> list[Block]:
     """Blocks of a page, parents before children; the first is the root."""
     root = Block("#page", None, 0, ["#page"])
     blocks, at, links, order = [root], 0, 0, 0
     here = root
     page = page or ""
+    tags = Tags(page)
+    #: the blocks from the root to here, by tag
+    path: dict[str, list[Block]] = {}
     text: list[str] = []
     linked = 0
 
@@ -78,23 +147,30 @@ def tree(page: str | None) -> list[Block]:
             text.clear()
             linked = 0
 
+    def leave(b: Block) -> None:
+        nonlocal here
+        while here is not b.parent:
+            path[here.tag].pop()
+            here = here.parent
+
+    def deepest(names: tuple[str, ...]) -> Block | None:
+        return max((path[t][-1] for t in names if path.get(t)), key=lambda b: b.depth, default=None)
+
     while at < len(page):
-        m = TAG.search(page, at)
-        end = m.start() if m else len(page)
+        tag = tags.next(at)
+        end = tag[0] if tag else len(page)
         if end > at:
             part = page[at:end]
             text.append(part)
             if links:
                 linked += len(part.strip())
-        if not m:
+        if not tag:
             break
-        at = m.end()
-        name = m.group(2)
+        _, at, name, closing, attributes = tag
         if not name:
             continue
-        name, closing = name.lower(), m.group(1)
         if name in RAW:
-            if not closing and not m.group(3).rstrip().endswith("/"):
+            if not closing and not attributes.rstrip().endswith("/"):
                 stop = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(page, at)
                 at = page.find(">", stop.start()) + 1 or len(page) if stop else len(page)
             continue
@@ -106,36 +182,24 @@ def tree(page: str | None) -> list[Block]:
             continue
         flush()
         if closing:
-            b = here
-            while b is not None and b.tag != name:
-                b = b.parent
-            if b is not None and b.parent is not None:
-                here, links = b.parent, 0
+            if path.get(name):
+                leave(path[name][-1])
+                links = 0
             continue
         if name in VOID:
             continue
-        ended = CLOSES.get(name, ()) if name != "p" else ()
-        if name in ENDS_P:
-            b = here
-            while b.parent is not None and b.tag not in ("td", "th", "table", "body"):
-                if b.tag == "p":
-                    here = b.parent
-                    break
-                b = b.parent
-        if ended:
-            b = here
-            while b.parent is not None and b.tag not in STOPS.get(name, ()):
-                if b.tag in ended:
-                    here = b.parent
-                    break
-                b = b.parent
+        if name in ENDS:
+            ended, barrier = map(deepest, ENDS[name])
+            if ended is not None and (barrier is None or ended.depth > barrier.depth):
+                leave(ended)
         links = 0
         tokens = ["<" + name]
-        for a in ATTRIBUTE.findall(m.group(3)):
+        for a in ATTRIBUTE.findall(attributes):
             tokens += TOKEN.findall((a[1] or a[2] or a[3]).lower())
         b = Block(name, here, here.depth + 1, tokens)
         here.children.append(b)
         blocks.append(b)
+        path.setdefault(name, []).append(b)
         here = b
     flush()
     for i, b in enumerate(blocks):
@@ -150,6 +214,7 @@ def features(blocks: list[Block], odds: dict[str, float]) -> np.ndarray:
     linked = np.array([sum(r[2] for r in b.runs) for b in blocks], float)
     ends = np.array([sum(r[1].count(".") + r[1].count(",") for r in b.runs) for b in blocks], float)
     chars, links, stops, tags = own.copy(), linked.copy(), ends.copy(), np.ones(n)
+    same = Counter((b.parent.number, b.tag) for b in blocks if b.parent is not None)
     for b in reversed(blocks):
         if b.parent is not None:
             p, i = b.parent.number, b.number
@@ -168,13 +233,14 @@ def features(blocks: list[Block], odds: dict[str, float]) -> np.ndarray:
         p = b.parent
         up = above[p.number] if p is not None else (0.0, 0.0)
         above[i] = (min(up[0], low), max(up[1], high))
-        brothers = p.children if p is not None else [b]
-        family = sum(chars[x.number] for x in brothers)
-        alike = sum(x.tag == b.tag for x in brothers)
+        # sums over all children of the parent, b among them
+        k = p.number if p is not None else 0
+        family, linked_family = (chars[k] - own[k], links[k] - linked[k]) if p is not None else (chars[0], links[0])
+        brothers, alike = (len(p.children), same[k, b.tag]) if p is not None else (1, 1)
         density = links[i] / chars[i] if chars[i] else 0.0
-        around = sum(links[x.number] for x in brothers) / family if family else 0.0
+        around = linked_family / family if family else 0.0
         out[i] = (scores[0], low, high, up[0], up[1], b.depth, len(b.children), math.log1p(chars[i]), math.log1p(own[i]), density, stops[i] / (chars[i] + 1),
-                  tags[i] / (chars[i] + 10), chars[i] / total, passed[i] / total, len(brothers), alike / len(brothers), chars[i] / family if family else 0.0, around)
+                  tags[i] / (chars[i] + 10), chars[i] / total, passed[i] / total, brothers, alike / brothers, chars[i] / family if family else 0.0, around)
     return out
 
 
@@ -188,6 +254,10 @@ class Boosted:
     base: float
 
     def score(self, x: np.ndarray) -> np.ndarray:
+        """Scores of rows, some thousand at a time, so that a page of very many blocks needs no large arrays."""
+        return np.concatenate([self._score(x[at : at + SCORED]) for at in range(0, len(x), SCORED)] or [np.empty(0)])
+
+    def _score(self, x: np.ndarray) -> np.ndarray:
         trees = np.arange(len(self.split))
         node = np.zeros((len(x), len(trees)), np.int64)
         rows = np.arange(len(x))[:, None]
@@ -402,9 +472,11 @@ def train(pages: list[str | None], seed: int = 1) -> Model:
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE, column: str = "html") -> Model:
-    """A model from a bounded sample of pages, those with the smallest hashes."""
-    rows = pages.where(F.col(column).isNotNull()).select(F.col(column).alias("html")).withColumn("_h", F.xxhash64("html")).orderBy("_h", "html").limit(sample)
-    return train([r.html for r in rows.collect()])
+    """A model from a bounded sample of different pages, those with the smallest hashes: hashes are chosen first, then pages fetched."""
+    rows = pages.where(F.col(column).isNotNull()).select(F.col(column).alias("html"), F.xxhash64(column).alias("_h"))
+    chosen = [r._h for r in rows.select("_h").distinct().orderBy("_h").limit(sample).collect()]
+    found = rows.where(F.col("_h").isin(chosen)).groupBy("_h").agg(F.min("html").alias("html")).collect() if chosen else []
+    return train([r.html for r in sorted(found, key=lambda r: r._h)])
 
 
 def extract(pages: DataFrame, model: Model, column: str = "html") -> DataFrame:

@@ -4,6 +4,7 @@ import html
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -91,3 +92,47 @@ def test_edge_rows(spark, model):
     assert [r.text for r in got if r.page_id in (1, 2, 3)] == ["", "", ""]
     assert max(r.n_chars for r in got) == 399_999
     assert pages.extract(frame.limit(0), pages.fit(frame.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("page, blocks, text", [
+    ("<div>" + "<p>some text, here.</p>" * 100_000 + "</div>", 100_002, " ".join(["some text, here."] * 100_000)),
+    ("<div>" * 100_000 + "x<p>y", 100_002, "x y"),
+    ("<div>" * 100_000 + "</p></li>" * 100_000, 100_001, ""),
+    ("<a " * 100_000, 1, ("<a " * 100_000).strip()),
+    ("<a '" * 100_001 + ">", 1, "<a '"),
+    ("<!" * 100_000, 1, "<!" * 100_000),
+], ids=["siblings", "levels", "ends of nothing", "open tags", "open quotes", "open declarations"])
+def test_large_and_broken_pages_take_time_by_their_length(page, blocks, text, model):
+    began = time.process_time()
+    made = pages.tree(page)
+    scores = model.boosted.score(pages.features(made, model.odds))
+    assert len(pages.decode(made, scores)) == len(made) == blocks
+    assert time.process_time() - began < 30  # a minute and far more where each tag looks at all others
+    assert " ".join(r[1] for r in sorted(r for b in made for r in b.runs)) == text
+
+
+def test_sums_over_siblings(real, model):
+    for page in real[:20]:
+        blocks = pages.tree(page)
+        got = pages.features(blocks, model.odds)
+        chars = [0] * len(blocks)
+        for b in reversed(blocks):
+            chars[b.number] += sum(len(r[1]) for r in b.runs)
+            if b.parent is not None:
+                chars[b.parent.number] += chars[b.number]
+        for b in blocks:
+            brothers = b.parent.children if b.parent is not None else [b]
+            family = sum(chars[x.number] for x in brothers)
+            assert got[b.number, 14] == len(brothers)
+            assert got[b.number, 15] == sum(x.tag == b.tag for x in brothers) / len(brothers)
+            assert got[b.number, 16] == (chars[b.number] / family if family else 0)
+
+
+def test_the_sample_is_of_different_pages(spark, monkeypatch):
+    rows = [("<p>hot</p>",)] * 500 + [(f"<p>{k}</p>",) for k in range(9)] + [(None,)]
+    seen = []
+    monkeypatch.setattr(pages, "train", seen.append)
+    pages.fit(spark.createDataFrame(rows, "html string"), sample=10)
+    assert sorted(seen[0]) == sorted({r[0] for r in rows if r[0]})
+    pages.fit(spark.createDataFrame([], "html string"))
+    assert seen[1] == []
