@@ -10,8 +10,9 @@ the running total nearest to the running target, so the last error is about half
 source or size with a third of all rows never meets in one task.
 
 Defined cases: null texts and texts without words have size 0 and take 0 words; a null source is a source of its own and comes last
-in the order of weights; repeated rows are separate rows; columns
-named like the results are replaced; results depend on no partitioning.
+in the order of weights; repeated rows are separate rows, but
+those with one doc_id and text have one hash, and so all meet in one block; very long texts are counted in their row; an empty table gives no rows; columns
+named like the results are replaced, all others, whatever their names, come back as they were; results depend on no partitioning.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from boutlens.llm.columns import set_aside
 from boutlens.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -87,8 +89,7 @@ def _copies(cap: float):
 
 def mix(docs: DataFrame, cap: float = 3.0, text: str = "text") -> DataFrame:
     """``docs``, all rows and columns, with size, source_size, target, copies and taken."""
-    own = [c for c in docs.columns if c not in RESULT]
-    docs = docs.select(*own)
+    docs, own = set_aside(docs, ("doc_id", "source", text), RESULT)
     rows = sized(docs, text).withColumn("_h", F.xxhash64("doc_id", text))
     classes = materialize(rows.groupBy("_s", "size").agg(F.count("*").alias("n"), F.first("source").alias("source")), "mixing-classes")
     by_source = classes.groupBy("_s").agg(F.first("source").alias("source"), F.sum(F.col("size") * F.col("n")).alias("source_size"))

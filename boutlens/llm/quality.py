@@ -2,7 +2,8 @@
 
 Every measure is a built-in expression over the whole text; no user function runs.  Words are runs of
 characters other than a space and ``\\x09-\\x0D``.  A null text has no words; a text without words fails the base rule.
-Rows are judged one by one, so repeated rows, ties and clashing extra columns change nothing.
+Rows are judged one by one, so repeated rows and ties change nothing; a very long text is judged whole, in arrays of its words within its row;
+an empty table gives no rows.  Columns named like the results are replaced, all others, whatever their names, come back as they were.
 """
 
 from __future__ import annotations
@@ -12,8 +13,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boutlens.llm.columns import set_aside
+
 WORD = r"[^\x20\x09-\x0D]+"
 WINDOW = 8
+RESULT = ("m", "base_failed", "kept")
 
 # Frequent function words of the four languages of the corpus.
 STOP_WORDS = (
@@ -96,6 +100,7 @@ def verdict(rules: tuple[Rule, ...] = RULES, m: str = "m") -> Column:
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """``docs`` with ``m``, ``base_failed`` and ``kept``."""
+    docs, own = set_aside(docs, (text,), RESULT)
     rows = measures(docs, text)
     base = (F.col("m.n_words") < 20) | (100 * F.col("m.n_repeat_words") > 30 * F.col("m.n_words"))
-    return rows.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+    return rows.select(*own, "m", base.alias("base_failed"), (~base & verdict(rules)).alias("kept"))

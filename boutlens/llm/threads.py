@@ -20,7 +20,8 @@ message is found within blocks of 2**``BLOCK_BITS`` turns and over the blocks, s
 Defined cases: a null text is empty; attribution lines ("... wrote:", "... schrieb:", "... a écrit :", "... escribió:") directly before a
 deeper quote go with it; a message with only quotes is left with an empty text; null conv_id or turn link with nothing and
 are their own thread; rows are told apart by (conv_id, turn, role, text), so repeated rows get equal results; of rows with one
-(conv_id, turn), each can be replied to, and quotes of the message are counted over all of them.
+(conv_id, turn), each can be replied to, and quotes of the message are counted over all of them; a very long text is parsed whole, in time by its length; an empty table
+gives no rows; columns named like the results are replaced, all others, whatever their names, come back as they were.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from boutlens.llm.columns import set_aside
 from boutlens.session import materialize
 
 QUOTE = r"^[ \t]*(>[ \t]*)+"
@@ -132,8 +134,8 @@ def ancestry(reply: DataFrame, path: bool = False) -> DataFrame:
 
 def conversations(messages: DataFrame, text: str = "text", path: bool = True) -> DataFrame:
     """``messages``, all rows and columns, with body, quoted_lines, levels, reply_to, thread, depth and, unless turned off, path."""
-    own_columns = [c for c in messages.columns if c not in RESULT]
-    rows = materialize(parsed(messages.select(*own_columns), text), "threads-parsed")
+    messages, own_columns = set_aside(messages, ("conv_id", "turn", text), RESULT if path else RESULT[:-1])
+    rows = materialize(parsed(messages, text), "threads-parsed")
     found = ancestry(replies(rows), path).withColumnsRenamed({"conv_id": "_c", "turn": "_t"})
     rows = rows.join(found, (rows.conv_id == found._c) & (rows.turn == found._t), "left")
     written = [F.coalesce(F.array_join(F.col("path").cast("array<string>"), "/"), F.array_join(F.array(F.col("turn").cast("string")), "/")).alias("path")] if path else []

@@ -66,3 +66,16 @@ def test_targets_copies_and_reruns(make, monkeypatch, block):
 def test_small_tables(make, rows):
     got = mixing.mix(make(rows)).collect()
     assert len(got) == len(rows) and all(r.taken <= 3 * r.size for r in got)
+
+
+def test_columns_of_any_name_come_back(make):
+    names = ["n", "copies_all", "rate", "_s", "_h", "_block", "_rank", "_before", "_in", "_blocks", "weight", "caller_0", "a`b.c", "m"]
+    docs = make(corpus(2, 60))
+    for k, name in enumerate(names):
+        docs = docs.withColumn(name, F.lit(f"kept {k}"))
+    got = mixing.mix(docs)
+    assert got.columns == [*docs.columns, *mixing.RESULT]
+    rows = got.collect()
+    assert len(rows) == docs.count() and all(r[name] == f"kept {k}" for r in rows for k, name in enumerate(names))
+    key = lambda x: sorted((r.doc_id, r.size, r.taken) for r in x)
+    assert key(rows) == key(mixing.mix(make(corpus(2, 60))).collect())

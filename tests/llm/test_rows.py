@@ -84,3 +84,16 @@ def test_equal_words_have_equal_hashes_wherever_they_stand():
     assert all(len(v) == 1 for v in by.values()) and len({min(v) for v in by.values()}) == len(by)
     s = words.Sequence(h)
     assert len(np.unique(s.grams(3))) == len({tuple(ws[i : i + 3]) for i in range(len(ws) - 2)})
+
+
+def test_quality_gives_columns_of_any_name_back(make):
+    names = ["_w", "_lines", "_win", "_twice", "_order", "_places", "M", "Kept", "caller_0"]
+    docs = make([(1, "a b c " * 20), (2, None)])
+    for name in names:
+        docs = docs.withColumn(name, F.lit("mine"))
+    got = quality.judge(docs)
+    kept = [c for c in docs.columns if c.lower() not in quality.RESULT]
+    assert got.columns == [*kept, *quality.RESULT]
+    assert all(r[c] == "mine" for r in got.collect() for c in names if c in kept)
+    plain = {r.doc_id: r.m for r in quality.judge(make([(1, "a b c " * 20), (2, None)])).collect()}
+    assert {r.doc_id: r.m for r in got.collect()} == plain

@@ -1,6 +1,7 @@
 """Quotation linking."""
 
 import duckdb
+from pyspark.sql import functions as F
 
 from boutlens.llm import queries_threads, threads
 
@@ -26,8 +27,6 @@ def rows(spark, data, **more):
 
 
 def test_replies_paths_and_bodies(spark):
-    from pyspark.sql import functions as F
-
     got = {(r.conv_id, r.turn): r for r in rows(spark, MESSAGES, path=F.lit("clash"), h=F.lit(1)).collect()}
     replies = {k[1]: r.reply_to for k, r in got.items() if k[0] == 1}
     assert replies == {0: None, 1: 0, 2: 1, 3: 0, 4: None, 5: 2, 6: None, 7: None, 8: None}
@@ -84,3 +83,15 @@ def test_sql_twin_on_quotes(spark, tmp_path):
 def test_no_python_in_the_plan(spark):
     frame = spark.createDataFrame(MESSAGES, SCHEMA).select("conv_id", "turn", "role", "text")
     assert "Python" not in threads.parsed(frame)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_columns_of_any_name_come_back(spark):
+    names = ["_raw", "_own", "_worded", "_kept", "_runs", "_tree", "_quotes", "_units", "_c", "_t", "h", "up", "x", "caller_0"]
+    rows = spark.createDataFrame([(1, 0, "hello there"), (1, 1, "> hello there\nyes"), (None, 2, None)], "conv_id long, turn int, text string")
+    plain = sorted(threads.conversations(rows).collect(), key=str)
+    for name in names:
+        rows = rows.withColumn(name, F.lit("mine"))
+    got = threads.conversations(rows)
+    assert got.columns == [*rows.columns, *threads.RESULT]
+    assert all(r[c] == "mine" for r in got.collect() for c in names)
+    assert sorted(got.drop(*names).collect(), key=str) == plain
