@@ -62,3 +62,32 @@ def test_edge_rows(make, spark, labels):
     got = toxicity.score(docs, model).collect()
     assert len(got) == 6 and all(0 <= r.score <= 1 for r in got)
     assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_every_labelled_row_counts(make, spark):
+    """More rows of a class than any sample held: the last ones, by the hash of their ids, still decide, in one group and in many."""
+    rows = [(i, f"common word{i % 50} " + ("vile" if i % 2 == 0 else "fine"), "en", int(i % 2 == 0)) for i in range(8000)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    known = docs.where(toxicity.in_training()).select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h").collect()
+    late = {r.doc_id for r in known[-400:]}
+    rows = [(i, "common raremark" if i in late else t, lang, 1 if i in late else y) for i, t, lang, y in rows]
+    docs = make([r[:3] for r in rows])
+    labels = spark.createDataFrame([(r[0], 1, r[3]) for r in rows], "doc_id long, quality int, toxic int")
+    train = docs.where(toxicity.in_training()).join(labels.withColumnRenamed("toxic", "y"), "doc_id").select("doc_id", "text", "lang", "y")
+    for model in (toxicity.fit_rows(train), toxicity.fit_rows(train, group_rows=700)):
+        assert model.score("common raremark") > 0.7 > 0.5 > model.score("common word3 fine")
+    again = toxicity.fit_rows(train.repartition(5), group_rows=700)
+    assert np.array_equal(again.table, model.table) and again.bias == model.bias
+
+
+def test_thresholds_equal_a_replay(spark):
+    rng = random.Random(4)
+    rows = [(lang, round(rng.random(), 2), int(rng.random() < 0.4)) for lang in ["en"] * 300 + ["de"] * 200 + ["few"] * 30 + [None] * 40]
+    want = {}
+    for lang in ("en", "de"):
+        own = [(s, y) for x, s, y in rows if x == lang]
+        at = sorted({s for s, _ in own}, reverse=True)
+        f1 = [2 * sum(y for s, y in own if s >= t) / (sum(s >= t for s, _ in own) + sum(y for _, y in own)) for t in at]
+        k = f1.index(max(f1))
+        want[lang] = (at[k] + (at[k + 1] if k + 1 < len(at) else 0.0)) / 2
+    assert toxicity.thresholds(spark.createDataFrame(rows, "lang string, score double, y int")) == pytest.approx(want)
