@@ -2,8 +2,8 @@
 
 The bouts of a period come in batches of a fixed size, in order of date and id.  A full batch trains the model that the next batch
 of the same period is scored with; the rest of a period that fills no batch trains nothing.  Periods start from the same
-stored model and are chains of their own, so step k works on batch k of all periods at once.  Steps follow each other
-because batch k needs the weights of batch k - 1: there are as many as the longest period has full batches.
+stored model and are chains of their own.  Batch k needs the weights of batch k - 1, so a chain is worked off in one task, and chains
+side by side; a task reads its rows in order and holds one batch at a time, however long the period is.
 
 A training batch is the new rows, at full weight, and some older rows, drawn from all bouts before the latest ``window``.  The draw is
 by position, so it costs as many rows as it takes, however long the history is.
@@ -11,6 +11,10 @@ by position, so it costs as many rows as it takes, however long the history is.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +23,7 @@ from boutlens.functions.numbers import confidence_factor
 from boutlens.operators import models as M
 from boutlens.operators import scoring as S
 from boutlens.operators.history import global_position
-from boutlens.plans.training import fit_groups
+from boutlens.plans.training import descend, keep_masks
 from boutlens.session import materialize
 
 #: histories up to this many rows are drawn from by sorting, longer ones by repeated draws
@@ -75,6 +79,43 @@ def folded(models: DataFrame) -> DataFrame:
     return models.select("period", "batch", F.array(*coef).alias("coef"), shift.alias("intercept"))
 
 
+def chains(epochs: int, seed: int):
+    """For rows ordered by (period, batch), with the start of every chain beside them: the weights after each batch, as batch + 1."""
+    keep = keep_masks(epochs, seed)
+
+    def trained(rows: pd.DataFrame, w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
+        # a fixed order of the rows fixes the order of the sums
+        rows = rows.sort_values([*K.FEATURE_NAMES, "label", "sample_weight"])
+        new, bias, _ = descend(rows[K.FEATURE_NAMES].to_numpy(float), rows["label"].to_numpy(float), rows["sample_weight"].to_numpy(float), w, b, keep)
+        return M.settled(w, new, np.array(rows["stds"].iloc[0], float), bias)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest, chain, w, b = None, None, None, 0.0
+
+        def step(rows: pd.DataFrame) -> pd.DataFrame:
+            nonlocal chain, w, b
+            period, batch = rows["period"].iloc[0], int(rows["batch"].iloc[0])
+            if chain is None or period != chain[0]:
+                chain, w, b = (period,), np.array(rows["weights"].iloc[0], float), float(rows["bias"].iloc[0])
+            w, b = trained(rows, w, b)
+            return pd.DataFrame({"period": [period], "batch": [batch + 1], "weights": [w.tolist()], "bias": [b]})
+
+        for part in parts:
+            part = part if rest is None else pd.concat([rest, part], ignore_index=True)
+            if not len(part):
+                continue
+            new = (part["period"] != part["period"].shift()) | (part["batch"] != part["batch"].shift())
+            edges = np.flatnonzero(new.to_numpy())
+            # the last batch of a part may go on in the next one
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                yield step(part.iloc[i:j])
+            rest = part.iloc[edges[-1]:]
+        if rest is not None and len(rest):
+            yield step(rest)
+
+    return run
+
+
 def train_periods(features: DataFrame, model: DataFrame, period: Column | None = None, size: int = K.BATCH_TRAIN_SIZE, window: int = K.RECENT_WINDOW,
                   older: int = K.HISTORICAL_TARGET, epochs: int = K.EPOCHS, seed: int = K.TRAIN_SEED) -> tuple[DataFrame, DataFrame]:
     """Rows with ``proba_a`` from the weights of their own time, and the table (period, batch, weights, bias, means, stds) of these weights.
@@ -83,20 +124,16 @@ def train_periods(features: DataFrame, model: DataFrame, period: Column | None =
     """
     period = F.date_format("bout_date", "yyyy-MM") if period is None else period
     rows, starts = in_batches(features, size, period)
-    # a folder per batch: a step reads its own rows only
-    train = materialize(training_rows(rows, starts, size, window, older, seed).repartition("batch", "period"), "periods-train", "batch")
-    steps = starts.agg(F.max(F.expr(f"n div {size}"))).first()[0] or 0
-    first = model.select(F.struct("weights", "bias", "means", "stds").alias("m")).scalar()
-    now = materialize(starts.select("period", F.lit(0).alias("batch"), first.alias("m")).select("period", "batch", "m.*"), "periods-model-0")
-    versions = [now]
-    for k in range(steps):
-        here = now.join(starts.filter(F.expr(f"n div {size} > {k}")).select("period"), "period")
-        fitted = M.update_weights(fit_groups(train.filter(F.col("batch") == k), here, "period", epochs, seed))
-        now = materialize(fitted.select("period", F.lit(k + 1).alias("batch"), F.col("updated").alias("weights"), F.col("updated_bias").alias("bias"), "means", "stds"), f"periods-model-{k + 1}")
-        versions.append(now)
-    spark = features.sparkSession
-    # all steps have one schema, so their folders are read as one table
-    models = spark.read.schema(now.schema).parquet(*sorted({f.rsplit("/", 1)[0] for v in versions for f in v.inputFiles()}))
+    first = materialize(model.select("weights", "bias", "means", "stds"), "periods-model")
+    start = first.select(F.struct("weights", "bias", "means", "stds").alias("m")).scalar()
+    train = training_rows(rows, starts, size, window, older, seed).select("period", "batch", "label", "sample_weight", *K.FEATURE_NAMES)
+    # two partitions a period, so that few periods share a task
+    train = train.repartition(2 * max(starts.count(), 1), "period").sortWithinPartitions("period", "batch").withColumn("_m", start)
+    after = train.select("period", "batch", "label", "sample_weight", *K.FEATURE_NAMES, "_m.weights", "_m.bias", "_m.stds").mapInPandas(
+        chains(epochs, seed), f"period {rows.schema['period'].dataType.simpleString()}, batch int, weights array<double>, bias double")
+    after = after.withColumn("_m", start).select("period", "batch", "weights", "bias", "_m.means", "_m.stds")
+    begun = starts.withColumn("_m", start).select("period", F.lit(0).alias("batch"), "_m.weights", "_m.bias", "_m.means", "_m.stds")
+    models = materialize(begun.unionByName(after), "periods-models")
     scored = rows.join(materialize(folded(models), "periods-folded"), ["period", "batch"])
     z = S.linear([F.col(n) for n in K.FEATURE_NAMES], [F.get("coef", F.lit(j)) for j in range(K.WIDTH)], F.col("intercept"))
     return scored.withColumn("proba_a", S.sigmoid(z)).drop("coef", "intercept"), models

@@ -4,6 +4,8 @@ import hashlib
 import math
 import statistics
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,3 +110,32 @@ def test_one_cycle_of_several_models(spark, sf, bouts):
     assert out[0].status == "trained" and out[0].promoted and len(out[0].train_accuracy) == 1 and out[0].bias != out[1].bias
     none = training.train_incremental(bouts.limit(5), bouts.limit(0), one, 100, 0.0).first()
     assert none.status == "too few bouts" and not none.promoted and list(none.weights) == list(one.first().weights) and none.accuracy == pytest.approx(none.accuracy)
+
+
+def test_settled_equals_update_weights(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(60):
+        old, new = rng.normal(0, 0.2, K.WIDTH), rng.normal(0, 0.4, K.WIDTH)
+        if k % 3 == 0:
+            new[rng.integers(K.WIDTH, size=4)] = [np.nan, np.inf, -np.inf, 0.0]
+        if k % 5 == 0:
+            old[rng.integers(K.WIDTH, size=2)] = [np.nan, 0.0]
+        rows.append((k, old.tolist(), np.where(rng.random(K.WIDTH) < 0.2, 0.0, rng.random(K.WIDTH)).tolist(), new.tolist(), [0.01, 0.2, 0.4, float("nan")][k % 4]))
+    df = spark.createDataFrame(rows, "k int, weights array<double>, stds array<double>, new_weights array<double>, new_bias double")
+    for r in M.update_weights(df).collect():
+        w, b = M.settled(*(np.array(rows[r.k][i], float) for i in (1, 3, 2)), rows[r.k][4])
+        assert np.allclose(w, np.array(r.updated), atol=1e-12, equal_nan=True) and b == r.updated_bias
+
+
+def test_a_chain_over_cut_parts(spark):
+    """A batch that is spread over parts of the input is one batch, and chains don't touch."""
+    rng = np.random.default_rng(5)
+    rows = pd.DataFrame(rng.random((600, K.WIDTH)), columns=K.FEATURE_NAMES)
+    rows = rows.assign(period=["p"] * 400 + ["q"] * 200, batch=[i // 100 % 4 for i in range(600)], label=rng.integers(0, 2, 600), sample_weight=1.0)
+    rows = rows.assign(weights=[[0.01] * K.WIDTH] * 600, stds=[[1.0] * K.WIDTH] * 600, bias=0.0)
+    run = periods.chains(3, SEED)
+    whole = pd.concat(run(iter([rows])))
+    cut = pd.concat(run(rows.iloc[i:i + 37] for i in range(0, 600, 37)))
+    assert whole[["period", "batch"]].values.tolist() == [["p", 1], ["p", 2], ["p", 3], ["p", 4], ["q", 1], ["q", 2]]
+    assert whole.reset_index(drop=True).equals(cut.reset_index(drop=True))
