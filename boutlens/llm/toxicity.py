@@ -283,10 +283,18 @@ def fit_rows(rows: DataFrame, group_rows: int = GROUP_ROWS, seed: int = 1) -> Mo
     return unflat(values, start)
 
 
+def training_rows(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
+    """Labelled rows that may be used for training (doc_id, text, lang, y).
+
+    Labels grow with the corpus, so they are merged at any size and never broadcast: the work of a small run tells that of a large one.
+    """
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & in_training()).select("doc_id", F.col("toxic").cast("int").alias("y")).distinct()
+    return docs.where(in_training()).select("doc_id", F.col(text).alias("text"), "lang").join(known.hint("merge"), "doc_id")
+
+
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
     """A model from all labelled rows that may be used for training, with the thresholds of their languages."""
-    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & in_training()).select("doc_id", F.col("toxic").cast("int").alias("y")).distinct()
-    rows = materialize(docs.where(in_training()).select("doc_id", F.col(text).alias("text"), "lang").join(known, "doc_id"), "toxicity-rows")
+    rows = materialize(training_rows(docs, labels, text), "toxicity-rows")
     model = fit_rows(rows)
     model.thresholds = thresholds(score(rows, model).select("lang", "score", "y"))
     return model

@@ -91,3 +91,12 @@ def test_thresholds_equal_a_replay(spark):
         k = f1.index(max(f1))
         want[lang] = (at[k] + (at[k + 1] if k + 1 < len(at) else 0.0)) / 2
     assert toxicity.thresholds(spark.createDataFrame(rows, "lang string, score double, y int")) == pytest.approx(want)
+
+
+def test_labels_are_merged_also_where_they_are_few(make, spark):
+    docs = make([(i, f"text {i}", "en") for i in range(20)])
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(15)] * 2, "doc_id long, quality int, toxic int")
+    rows = toxicity.training_rows(docs, labels)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert sorted(r.doc_id for r in rows.collect()) == [i for i in range(15) if zlib.crc32(str(i).encode()) % 3 != 1]
