@@ -107,3 +107,21 @@ def test_activation_never_goes_below_zero_and_large_steps_stop_no_job(spark):
     assert L.activations(df, "user_id", F.col("s"), 3).first().balance == 2
     walked = L.running_balance(df.withColumn("delta", F.lit(-2)), start=3).orderBy("ts").collect()
     assert [r.balance for r in walked] == [1, 0, 0, 0, 0, 0, 0, 0] and walked[-1].plain == 3 - 16
+
+
+def test_tables_are_stored_by_tasks_of_bounded_size(spark, monkeypatch):
+    from boutlens import session
+
+    seen = []
+    monkeypatch.setattr(session, "materialize", lambda df, label: seen.append({k: session._bytes(spark.conf.get(k)) for k in session.BOUNDS}) or df)
+    kept = {k: spark.conf.get(k) for k in session.BOUNDS}
+    try:
+        for given, inside in (("64MB", 16 << 20), ("4m", 4 << 20)):
+            for k in session.BOUNDS:
+                spark.conf.set(k, given)
+            session.stored(spark, f"bounded-{given}", lambda: spark.range(3))
+            assert seen.pop() == dict.fromkeys(session.BOUNDS, inside) and all(spark.conf.get(k) == given for k in session.BOUNDS)
+    finally:
+        session.forget()
+        for k, v in kept.items():
+            spark.conf.set(k, v)
