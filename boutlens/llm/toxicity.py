@@ -3,7 +3,8 @@
 A word is embedded as the mean of rows of one hashed table: one for the whole lower-cased word and one for each of its beginnings
 of four to six bytes.  Filters of several widths slide over the words; each keeps its largest response in
 the whole text, and a logistic layer scores these.  Texts are read in blocks of words that overlap by the widest
-filter, so memory doesn't grow with a text.
+filter, so memory doesn't grow with a text.  Many short texts are hashed, embedded and searched at once; products of matrices are
+taken text by text, since their last bits depend on their shape, so no score depends on a text's neighbours.
 
 The model is fitted on all labelled rows that may be used for training.  How far each piece leans to a class is counted over all of
 them.  They are then hashed into groups of some ``GROUP_ROWS`` rows; each group fits the common start on its own, and the mean of what
@@ -18,6 +19,7 @@ counts once for each; repeated rows get equal scores; columns named like the res
 from __future__ import annotations
 
 import copy
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,18 +39,33 @@ WIDTHS, FILTERS = (1, 2, 3), 6
 BEGINNINGS = (4, 5, 6)
 EPOCHS, BATCH, RATE = 8, 32, 0.02
 BLOCK_WORDS = 4096
+#: bytes of texts hashed at once
+BLOCK_BYTES = 1 << 15
 THRESHOLD = 0.7
 LEAST_PER_LANGUAGE = 20
 
 
-def pieces(text: str | None) -> np.ndarray:
-    """Rows of the table for each word: the word and its beginnings (the word again where it is shorter)."""
-    raw = words.LOWER[np.frombuffer((text or "").encode(), np.uint8)]
+def pieces(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+    """For each text the rows of the table for each word: the word and its beginnings (the word again where it is shorter)."""
+    some, size = [], 0
+    for text in texts:
+        some.append((text or "").encode())
+        size += len(some[-1]) + 1
+        if size >= BLOCK_BYTES:
+            yield from _pieces(some)
+            some, size = [], 0
+    if some:
+        yield from _pieces(some)
+
+
+def _pieces(texts: list[bytes]) -> list[np.ndarray]:
+    """`pieces` of some texts, hashed as one; the space between two ends every word."""
+    raw = words.LOWER[np.frombuffer(b" ".join(texts), np.uint8)]
     s, e = words.spans(raw, words.PUNCTUATION)
     out = np.empty((len(s), 1 + len(BEGINNINGS)), np.int32)
     for k, h in enumerate(words.hashes_to(raw, s, e, [e, *(np.minimum(e, s + n) for n in BEGINNINGS)])):
-        out[:, k] = (words.mix(h + np.uint64(k)) % np.uint64(ROWS)).astype(np.int32)
-    return out
+        out[:, k] = (words.mix(h + np.uint64(k)) & np.uint64(ROWS - 1)).astype(np.int32)
+    return np.split(out, np.searchsorted(s, np.cumsum([len(t) + 1 for t in texts[:-1]])))
 
 
 @dataclass
@@ -69,35 +86,70 @@ class Model:
         return cls(table, filters, np.zeros(n, np.float32), rng.normal(0, 0.1, n).astype(np.float32), 0.0, {})
 
     def embed(self, rows: np.ndarray) -> np.ndarray:
-        x = self.table[rows[:, 0]]
-        for k in range(1, rows.shape[1]):
-            x += self.table[rows[:, k]]
+        first, *others = rows.T.astype(np.intp)
+        x = self.table.take(first, axis=0)
+        for k in others:
+            x += self.table.take(k, axis=0)
         return x / np.float32(rows.shape[1])
 
-    def respond(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Largest response of each filter and the word where it begins; 0 and -1 without any above 0."""
-        best, where = np.zeros(len(self.shift), np.float32), np.full(len(self.shift), -1)
-        reach = max(WIDTHS) - 1
-        for at in range(0, len(rows), BLOCK_WORDS):
-            x = self.embed(rows[at : at + BLOCK_WORDS + reach])
-            for i, f in enumerate(self.filters):
-                w, n = f.shape[0], min(len(x) - f.shape[0] + 1, BLOCK_WORDS)
+    def respond(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """For the pieces of each text, the largest response of each filter and the word where it begins; 0 and -1 without any above 0."""
+        best, where = np.zeros((len(texts), len(self.shift)), np.float32), np.full((len(texts), len(self.shift)), -1)
+        run, size = [], 0
+        for i, rows in enumerate(texts):
+            for at in range(0, len(rows), BLOCK_WORDS):
+                run.append((i, at, rows[at : at + BLOCK_WORDS + max(WIDTHS) - 1]))
+                size += len(run[-1][2])
+                if size >= BLOCK_WORDS:
+                    self._respond(run, best, where)
+                    run, size = [], 0
+        if run:
+            self._respond(run, best, where)
+        return best, where
+
+    def _respond(self, run: list[tuple[int, int, np.ndarray]], best: np.ndarray, where: np.ndarray) -> None:
+        """Raises ``best`` and ``where`` by the responses to blocks: of text i, from word ``at``, these pieces."""
+        x = self.embed(np.concatenate([rows for _, _, rows in run]))
+        ends = np.cumsum([len(rows) for _, _, rows in run])
+        begins = ends - [len(rows) for _, _, rows in run]
+        top, value = np.zeros((len(run), len(self.shift)), np.intp), np.empty((len(run), len(self.shift)), np.float32)
+        for i, f in enumerate(self.filters):
+            z, part = np.empty((len(x), FILTERS), np.float32), slice(i * FILTERS, (i + 1) * FILTERS)
+            for t, a, b in zip(top[:, part], begins.tolist(), ends.tolist(), strict=True):
+                n = min(b - a - f.shape[0] + 1, BLOCK_WORDS)
                 if n < 1:
+                    z[a] = -np.inf
                     continue
-                z = x[:n] @ f[0]
-                for k in range(1, w):
-                    z += x[k : k + n] @ f[k]
-                part = slice(i * FILTERS, (i + 1) * FILTERS)
-                top = z.argmax(axis=0)
-                value = z[top, np.arange(FILTERS)] + self.shift[part]
-                more = value > best[part]
-                best[part] = np.where(more, value, best[part])
-                where[part] = np.where(more, at + top, where[part])
-        return best, where
+                own = z[a : a + n]
+                np.matmul(x[a : a + n], f[0], out=own)
+                for k in range(1, f.shape[0]):
+                    own += x[a + k : a + k + n] @ f[k]
+                t[:] = own.argmax(axis=0)
+            value[:, part] = z[begins[:, None] + top[:, part], np.arange(FILTERS)]
+        value += self.shift
+        text, at = np.array([i for i, _, _ in run]), np.array([at for _, at, _ in run])
+        # the first blocks of all texts at once, then the later ones in their order
+        for j in [np.flatnonzero(at == 0), *np.flatnonzero(at)[:, None]]:
+            more = value[j] > best[text[j]]
+            best[text[j]] = np.where(more, value[j], best[text[j]])
+            where[text[j]] = np.where(more, at[j, None] + top[j], where[text[j]])
+
+    def scores(self, texts: Iterable[str | None]) -> list[float]:
+        out, some, size = [], [], 0
+        for rows in pieces(texts):
+            some.append(rows)
+            size += len(rows) + 1
+            if size >= BLOCK_WORDS:
+                out += self._scores(some)
+                some, size = [], 0
+        return out + self._scores(some)
+
+    def _scores(self, texts: list[np.ndarray]) -> list[float]:
+        z = np.array([float(b @ self.weight) for b in self.respond(texts)[0]]) + self.bias
+        return (1 / (1 + np.exp(-np.clip(z, -500, 500)))).tolist()
 
     def score(self, text: str | None) -> float:
-        z = float(self.respond(pieces(text))[0] @ self.weight) + self.bias
-        return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
+        return self.scores([text])[0]
 
 
 class Adam:
@@ -112,11 +164,13 @@ class Adam:
             x -= rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.999**self.t)) + 1e-8)
 
 
-def count_pieces(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+def count_pieces(texts: Iterable[np.ndarray], y: np.ndarray) -> np.ndarray:
     """Texts of each class that hold each piece."""
-    held = np.zeros((2, ROWS))
-    for r, c in zip(rows, y, strict=True):
-        held[int(c), np.unique(r)] += 1
+    held, last = np.zeros((2, ROWS)), np.empty(ROWS, np.int64)
+    for rows, c in zip(texts, y, strict=True):
+        piece, at = rows.ravel(), np.arange(rows.size)
+        last[piece] = at
+        held[int(c), piece[last[piece] == at]] += 1
     return held
 
 
@@ -158,44 +212,61 @@ def train(texts: list[str | None], labels: list[int], seed: int = 1) -> Model:
     n0 = len(y) - n1
     if not (n0 and n1):
         return constant(n1 / len(y) if len(y) else 0.0, seed)
-    rows = [pieces(t) for t in texts]
+    rows = list(pieces(texts))
     return descend(begin(count_pieces(rows, y), n0, n1, seed), rows, y, n1 / len(y), seed)
 
 
+def spread(filters: list[np.ndarray]) -> np.ndarray:
+    """Filter, word of its window, dimension; zero beyond a filter's width."""
+    out = np.zeros((len(filters), FILTERS, max(WIDTHS), WIDTH), np.float32)
+    for k, f in enumerate(filters):
+        out[k, :, : len(f)] = f.transpose(2, 0, 1)
+    return out.reshape(-1, *out.shape[2:])
+
+
 def descend(model: Model, rows: list[np.ndarray], y: np.ndarray, share: float, seed: int = 1) -> Model:
     """``model``, fitted on from where it is; ``share`` is that of class 1 among all training rows."""
     rng = np.random.default_rng(seed)
     bias = np.array([model.bias], np.float32)
     params = [*model.filters, model.shift, model.weight, bias]
     adam, squares = Adam(*(p.shape for p in params)), np.full(ROWS, 1e-6, np.float32)
+    n, there, place = len(model.shift), np.zeros(ROWS, bool), np.empty(ROWS, np.int64)
+    inside = np.arange(max(WIDTHS)) < np.repeat(WIDTHS, FILTERS)[:, None]
     # both classes weigh the same while fitting; the bias is set to the true share afterwards
     heavy = np.where(y > 0, 0.5 / share, 0.5 / (1 - share))
     for epoch in range(EPOCHS):
         order = rng.permutation(len(y))
         rate = RATE * (1 - epoch / EPOCHS)
         for b in range(0, len(order), BATCH):
-            grads = [np.zeros_like(p) for p in params]
-            touched, pulls = [], []
-            for i in order[b : b + BATCH]:
-                best, where = model.respond(rows[i])
-                p = 1 / (1 + np.exp(-np.clip(float(best @ model.weight) + float(bias[0]), -30, 30)))
-                d = (p - y[i]) * heavy[i] / BATCH
-                grads[-2] += d * best
-                grads[-1] += d
-                for j in np.flatnonzero(where >= 0):
-                    k, c = divmod(int(j), FILTERS)
-                    w = WIDTHS[k]
-                    near = rows[i][where[j] : where[j] + w]
-                    pull = d * model.weight[j]
-                    grads[k][:, :, c] += pull * model.table[near].mean(axis=1)
-                    grads[-3][j] += pull
-                    touched.append(near.ravel())
-                    pulls.append(np.repeat(pull * model.filters[k][:, :, c] / near.shape[1], near.shape[1], axis=0))
+            some = order[b : b + BATCH]
+            texts = [rows[i] for i in some]
+            best, where = model.respond(texts)
+            z = np.array([float(r @ model.weight) for r in best]) + float(bias[0])
+            d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[some]) * heavy[some] / BATCH
+            pull = np.where(where >= 0, d[:, None] * model.weight, 0)
+            # the words of the winning windows: text, filter, place in the window
+            used = (where >= 0)[:, :, None] & inside
+            text, filt, tap = np.nonzero(used)
+            near = np.concatenate(texts)[np.cumsum([0, *map(len, texts[:-1])])[text] + where[text, filt] + tap]
+            seen = np.zeros((*used.shape, WIDTH))
+            seen[used] = pull[text, filt, None] * model.embed(near)
+            # summed text by text, as rounded sums depend on their order
+            sums = np.zeros(inside.size * WIDTH + 2 * n + 1, np.float32)
+            for part in np.concatenate([seen.reshape(len(texts), -1), pull, d[:, None] * best, d[:, None]], axis=1):
+                sums += part
+            taps, *others = np.split(sums, inside.size * WIDTH + np.array([0, n, 2 * n]))
+            taps = taps.reshape(len(WIDTHS), FILTERS, max(WIDTHS), WIDTH)
+            grads = [*[taps[k, :, :w].transpose(1, 2, 0) for k, w in enumerate(WIDTHS)], *others]
+            back = pull[text, filt, None] * spread(model.filters)[filt, tap] / near.shape[1]
             adam.step(params, grads, rate)
-            if touched:
-                at, back = np.unique(np.concatenate(touched), return_inverse=True)
+            if len(near):
+                there[near] = True
+                at = np.flatnonzero(there)
+                there[at] = False
+                place[at] = np.arange(len(at))
                 g = np.zeros((len(at), WIDTH), np.float32)
-                np.add.at(g, back, np.concatenate(pulls).astype(np.float32))
+                cells = place[near][:, :, None] * WIDTH + np.arange(WIDTH)
+                np.add.at(g.reshape(-1), cells.ravel(), np.repeat(back.astype(np.float32)[:, None], near.shape[1], axis=1).ravel())
                 squares[at] += (g * g).mean(axis=1)
                 model.table[at] -= 4 * rate * g / np.sqrt(squares[at])[:, None]
     model.bias = float(bias[0])
@@ -243,7 +314,7 @@ def _counted(batches):
     """(y, piece, n) of a task's rows."""
     held = np.zeros((2, ROWS))
     for batch in batches:
-        held += count_pieces([pieces(t) for t in batch.text], batch.y.to_numpy())
+        held += count_pieces(pieces(batch.text), batch.y.to_numpy())
     y, piece = np.nonzero(held)
     yield pd.DataFrame({"y": y.astype(np.int32), "piece": piece.astype(np.int32), "n": held[y, piece].astype(np.int64)})
 
@@ -266,7 +337,7 @@ def fit_rows(rows: DataFrame, group_rows: int = GROUP_ROWS, seed: int = 1) -> Mo
         group = group.sort_values(["doc_id", "y", "tie", "lang"], ignore_index=True, kind="stable")
         model = copy.deepcopy(sent.value)
         before = flat(model)
-        model = descend(model, [pieces(t) for t in group.text], group.y.to_numpy(np.float32), n1 / n, seed)
+        model = descend(model, list(pieces(group.text)), group.y.to_numpy(np.float32), n1 / n, seed)
         moved = flat(model) - before
         at = np.flatnonzero(np.any(moved != 0, axis=1))
         out = pd.DataFrame(np.rint(moved[at] * (len(group) / n) / UNIT).astype(np.int64), columns=names)
@@ -306,7 +377,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([sent.value.score(t) for t in texts], dtype=float)
+        return pd.Series(sent.value.scores(texts), dtype=float)
 
     rows = docs.withColumn("score", of(F.coalesce(F.col(text), F.lit(""))))
     by = F.create_map(*[F.lit(x) for pair in sorted(model.thresholds.items()) for x in pair]) if model.thresholds else F.lit(None).cast("map<string,double>")

@@ -100,3 +100,86 @@ def test_labels_are_merged_also_where_they_are_few(make, spark):
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert sorted(r.doc_id for r in rows.collect()) == [i for i in range(15) if zlib.crc32(str(i).encode()) % 3 != 1]
+
+
+def test_short_texts_are_handled_many_at_once(monkeypatch):
+    """Calls grow with words, not with texts."""
+    rows = corpus(1500, 5)
+    calls = {"hashes": 0, "embed": 0}
+    hashes_to, embed = toxicity.words.hashes_to, toxicity.Model.embed
+
+    def counted(name, f):
+        def g(*args):
+            calls[name] += 1
+            return f(*args)
+
+        return g
+
+    monkeypatch.setattr(toxicity.words, "hashes_to", counted("hashes", hashes_to))
+    monkeypatch.setattr(toxicity.Model, "embed", counted("embed", embed))
+    toxicity.train([r[1] for r in rows], [r[3] for r in rows])
+    n_bytes, n_batches = sum(len(r[1]) for r in rows), -(-len(rows) // toxicity.BATCH)
+    assert calls["hashes"] <= n_bytes / (1 << 15) + 1
+    assert calls["embed"] <= 3 * toxicity.EPOCHS * n_batches
+
+
+def test_texts_at_once_score_as_alone():
+    rows = corpus(200, 6)
+    model = toxicity.train([r[1] for r in rows], [r[3] for r in rows])
+    texts = [None, "", "a", " ., ", "Vile", "vile nasty,", *[r[1] for r in rows], "ÜBEL schlimm\tvile", "w " * 9000 + "vile", *[""] * 9000, "vile\nx"]
+    got = model.scores(texts)
+    assert got == [model.score(t) for t in texts] and model.scores([]) == []
+    assert got[-1] > got[0]
+
+
+def plainly(model, rows, y, share, epochs):
+    """The fit, text by text and filter by filter."""
+    rng, bias = np.random.default_rng(1), np.array([model.bias], np.float32)
+    params = [*model.filters, model.shift, model.weight, bias]
+    adam, squares = toxicity.Adam(*(p.shape for p in params)), np.full(toxicity.ROWS, 1e-6, np.float32)
+    for epoch in range(epochs):
+        order, rate = rng.permutation(len(y)), toxicity.RATE * (1 - epoch / epochs)
+        for b in range(0, len(order), toxicity.BATCH):
+            grads, pulls = [np.zeros_like(p) for p in params], {}
+            for i in order[b : b + toxicity.BATCH]:
+                x, won = model.table[rows[i]].mean(axis=1), []
+                for k, c in np.ndindex(len(toxicity.WIDTHS), toxicity.FILTERS):
+                    f = model.filters[k][:, :, c]
+                    z = [float((x[a : a + len(f)] * f).sum()) + model.shift[k * toxicity.FILTERS + c] for a in range(len(x) - len(f) + 1)]
+                    a = int(np.argmax(z)) if z else 0
+                    won.append((k, c, a, z[a]) if z and z[a] > 0 else (k, c, -1, 0.0))
+                best = np.array([v for *_, v in won])
+                d = 1 / (1 + np.exp(-(best @ model.weight + bias[0]))) - y[i]
+                d *= (0.5 / share if y[i] else 0.5 / (1 - share)) / toxicity.BATCH
+                grads[-2] += (d * best).astype(np.float32)
+                grads[-1] += np.float32(d)
+                for j, (k, c, a, _) in enumerate(won):
+                    if a >= 0:
+                        f = model.filters[k][:, :, c]
+                        grads[k][:, :, c] += d * model.weight[j] * x[a : a + len(f)]
+                        grads[-3][j] += d * model.weight[j]
+                        for t, tap in enumerate(f.copy()):
+                            for r in rows[i][a + t]:
+                                pulls[r] = pulls.get(r, 0) + d * model.weight[j] * tap / rows[i].shape[1]
+            adam.step(params, grads, rate)
+            for r, g in pulls.items():
+                squares[r] += (g * g).mean()
+                model.table[r] -= 4 * rate * g / np.sqrt(squares[r])
+    return model, float(bias[0])
+
+
+def test_fit_equals_a_plain_replay(monkeypatch):
+    monkeypatch.setattr(toxicity, "EPOCHS", 1)
+    rows = corpus(70, 7)
+    texts, y = [*[" ".join(r[1].split()[-9:]) for r in rows], "", None, "vile", "vile a"], np.array([*[r[3] for r in rows], 0, 0, 1, 1], np.float32)
+    found = [p for (p,) in map(toxicity.pieces, [[t] for t in texts])]
+    start = lambda: toxicity.begin(toxicity.count_pieces(found, y), float((y == 0).sum()), float(y.sum()))
+    held = np.zeros((2, toxicity.ROWS))
+    for p, c in zip(found, y, strict=True):
+        for r in set(p.ravel().tolist()):
+            held[int(c), r] += 1
+    assert np.array_equal(toxicity.count_pieces(found, y), held)
+    got = toxicity.descend(start(), found, y, float(y.mean()))
+    want, bias = plainly(start(), found, y, float(y.mean()), 1)
+    for a, b in zip([*got.filters, got.shift, got.weight, got.bias, got.table], [*want.filters, want.shift, want.weight, bias, want.table], strict=True):
+        assert np.allclose(a, b, rtol=1e-3, atol=1e-4)
