@@ -11,6 +11,7 @@ by position, so it costs as many rows as it takes, however long the history is.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +29,25 @@ from boutlens.session import materialize
 
 #: histories up to this many rows are drawn from by sorting, longer ones by repeated draws
 SORTED, DRAWS = 1024, 240
+#: batches whose older rows one task draws
+TOGETHER = 256
 
 
-def ticket(seed: int, period: Column, batch: Column, i: Column) -> Column:
-    """52 random bits per (seed, period, batch, i)."""
-    text = F.concat_ws("|", F.lit(str(seed)), period, batch.cast("string"), i.cast("string"))
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long")
+def ticket(text: str) -> int:
+    """52 random bits of a text."""
+    return int(hashlib.md5(text.encode()).hexdigest()[:13], 16)
+
+
+def draw(text: str, h: int, older: int) -> list[int]:
+    """The ``older`` positions from 1 to ``h`` that a batch draws; ``text`` names the seed, the period and the batch."""
+    if h <= SORTED:
+        return sorted(range(1, h + 1), key=lambda i: (ticket(f"{text}|{i}"), i))[:older]
+    drawn: dict[int, None] = {}
+    for i in range(max(DRAWS, 4 * older)):
+        if len(drawn) >= older:
+            break
+        drawn[ticket(f"{text}|{i}") % h + 1] = None
+    return list(drawn)
 
 
 def in_batches(features: DataFrame, size: int, period: Column) -> tuple[DataFrame, DataFrame]:
@@ -45,14 +59,24 @@ def in_batches(features: DataFrame, size: int, period: Column) -> tuple[DataFram
 
 
 def older_rows(starts: DataFrame, size: int, window: int, older: int, seed: int) -> DataFrame:
-    """(period, batch, seq): the positions that each full batch draws from the bouts before its window."""
+    """(period, batch, seq): the positions that each full batch draws from the bouts before its window.
+
+    The draws of a batch are a small loop over plain numbers: as an array expression Spark works the whole list of hashes out again for
+    every element that it takes from it.  Batches are spread by their number, since their rows are few and narrow.
+    """
     full = starts.filter(F.col("n") >= size).select("period", "start", F.explode(F.expr(f"sequence(0, n div {size} - 1)")).alias("batch"))
     full = full.withColumn("h", F.col("start") - 1 + size * (F.col("batch") + 1) - window).filter("h > 0")
-    few = full.filter(F.col("h") <= SORTED).withColumn("at", F.slice(F.array_sort(F.transform(
-        F.expr("sequence(1L, h)"), lambda i: F.struct(ticket(seed, F.col("period"), F.col("batch"), i).alias("t"), i.alias("seq")))), 1, older)["seq"])
-    many = full.filter(F.col("h") > SORTED).withColumn("at", F.slice(F.array_distinct(F.transform(
-        F.sequence(F.lit(0), F.lit(max(DRAWS, 4 * older) - 1)), lambda i: ticket(seed, F.col("period"), F.col("batch"), i) % F.col("h") + 1)), 1, older))
-    return few.unionByName(many).select("period", "batch", F.explode("at").alias("seq"))
+    full = full.select("period", "batch", F.col("h").cast("long").alias("h"), F.concat_ws("|", F.lit(str(seed)), F.col("period"), F.col("batch").cast("string")).alias("text"))
+    batches = starts.agg(F.sum(F.expr(f"n div {size}"))).first()[0] or 0
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            at = [draw(text, h, older) for text, h in zip(part["text"], part["h"], strict=True)]
+            yield part[["period", "batch"]].assign(seq=at).explode("seq").dropna(subset=["seq"]).astype({"seq": "int64"})
+
+    spread = full.repartition(batches // TOGETHER + 1, "period", "batch")
+    kinds = {f.name: f.dataType.simpleString() for f in full.schema}
+    return spread.mapInPandas(run, f"period {kinds['period']}, batch {kinds['batch']}, seq bigint")
 
 
 def training_rows(rows: DataFrame, starts: DataFrame, size: int, window: int, older: int, seed: int) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import statistics
+import time
 
 import numpy as np
 import pandas as pd
@@ -96,6 +97,19 @@ def test_draws_are_distinct_and_before_the_window(spark):
         assert r.n == r.d == min(60, h) and r.lo >= 1 and r.hi <= h
 
 
+def test_draws_of_many_batches_take_no_longer_than_their_hashes(spark):
+    """Each of 1680 batches draws from a long history: the positions of plain Python, in a few seconds."""
+    starts = spark.createDataFrame([(f"p{p}", 10_000 + 3000 * p, 3000 + p) for p in range(84)], "period string, start long, n long")
+    begun, got = time.time(), {}
+    for r in periods.older_rows(starts, 150, 300, 60, SEED).collect():
+        got.setdefault((r.period, r.batch), set()).add(r.seq)
+    assert time.time() - begun < 60 and len(got) == 84 * 20
+    for p, k in ((0, 0), (41, 7), (83, 19)):
+        h = 10_000 + 3000 * p - 1 + 150 * (k + 1) - 300
+        want = [draw(f"{SEED}|p{p}|{k}|{i}") % h + 1 for i in range(240)]
+        assert got[f"p{p}", k] == set(list(dict.fromkeys(want))[:60])
+
+
 def test_no_rows_and_no_full_batch(spark, sf, bouts):
     model = fixed_model(spark, sf)
     for rows in (bouts.limit(0), bouts.orderBy("bout_id").limit(3)):
