@@ -8,6 +8,7 @@ import random
 from pyspark.sql import functions as F
 
 from boutlens import constants as K
+from boutlens.operators import evaluate as E
 from boutlens.operators import dataset as DS
 from boutlens.operators import entities as EN
 from boutlens.operators import ledger as L
@@ -218,3 +219,14 @@ def test_key_violations_skip_missing_values(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), (None, 3), (None, 3), ("b", 4)], "device string, user long")
     got = {tuple(r) for r in QA.key_violations([("users", df, "device"), ("licenses", df, "user"), ("none", df.limit(0), "user")]).collect()}
     assert got == {("users", "device", "a", 2), ("licenses", "user", "3", 2)}
+
+
+def test_wrong_predictions_are_filtered_after_the_score_is_worked_out_once(spark):
+    """The score is in the plan once, whatever the filter asks of the prediction; undecided and unpredicted bouts are left out."""
+    rows = [(1, 0.3, "b"), (2, 0.3, "a"), (3, None, "a"), (4, -0.3, "a"), (5, -0.3, None), (6, -0.3, "b")]
+    df = spark.createDataFrame(rows, "bout_id long, x double, winner string").selectExpr("*", "DATE'2001-02-03' AS bout_date", "'a' AS fighter_a", "'b' AS fighter_b", "1 / (1 + exp(-x)) AS p")
+    df = df.selectExpr("*", "CASE WHEN p > 0.9 THEN 0.9 WHEN p < 0.1 THEN 0.1 ELSE p END AS q").selectExpr("*", "CASE WHEN q > 0.5 THEN 'a' WHEN q <= 0.5 THEN 'b' END AS pred_winner")
+    out = E.wrong_predictions(df)
+    assert sorted(map(tuple, out.select("bout_id", "predicted", "fact").collect())) == [(1, "a", "b"), (4, "b", "a")]
+    assert out.columns == ["bout_id", "bout_date", "fighter_a", "fighter_b", "predicted", "fact"]
+    assert out._jdf.queryExecution().optimizedPlan().toString().upper().count("EXP(") == 1
